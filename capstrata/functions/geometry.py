@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = list[Column]
@@ -62,6 +62,37 @@ def solve3(m: list[Vec], b: Vec) -> Vec:
     return out
 
 
+def with_extremes(df: DataFrame, m: list[list[str]], low: str, high: str) -> DataFrame:
+    """Smallest and largest eigenvalue of a symmetric 3x3 matrix of columns.
+
+    Trigonometric form, one named column per step, so no expression is repeated.
+    """
+    c = [[F.col(m[i][j]) for j in AXES] for i in AXES]
+    df = df.withColumn("_q", (c[0][0] + c[1][1] + c[2][2]) / 3)
+    q = F.col("_q")
+    off = c[0][1] ** 2 + c[0][2] ** 2 + c[1][2] ** 2
+    df = df.withColumn("_p", F.sqrt(((c[0][0] - q) ** 2 + (c[1][1] - q) ** 2 + (c[2][2] - q) ** 2 + 2 * off) / 6))
+    shifted = [[c[i][j] - q if i == j else c[i][j] for j in AXES] for i in AXES]
+    df = df.withColumn("_phi", F.acos(clamp(det3(shifted) / F.when(F.col("_p") > 0, F.col("_p") ** 3) / 2, -1.0, 1.0)) / 3)
+    return (df.withColumn(low, F.coalesce(q + 2 * F.col("_p") * F.cos(F.col("_phi") + 2 * math.pi / 3), q))
+            .withColumn(high, F.coalesce(q + 2 * F.col("_p") * F.cos("_phi"), q)).drop("_q", "_p", "_phi"))
+
+
+def with_smallest_axis(df: DataFrame, m: list[list[str]], out: list[str]) -> DataFrame:
+    """Unit eigenvector of the smallest eigenvalue: the longest cross product of two rows of M - low I."""
+    df = with_extremes(df, m, "_low", "_high")
+    rows = [[F.col(m[i][j]) - F.col("_low") if i == j else F.col(m[i][j]) for j in AXES] for i in AXES]
+    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        df = df.withColumns({f"_k{n}{a}": c for a, c in zip(AXES, cross(rows[i], rows[j]))})
+    df = df.withColumns({f"_w{n}": dot(vec(*[f"_k{n}{a}" for a in AXES]), vec(*[f"_k{n}{a}" for a in AXES])) for n in AXES})
+    w = vec("_w0", "_w1", "_w2")
+    first = (w[0] >= w[1]) & (w[0] >= w[2])
+    df = df.withColumns({f"_k{a}": F.when(first, F.col(f"_k0{a}")).when(w[1] >= w[2], F.col(f"_k1{a}")).otherwise(F.col(f"_k2{a}")) for a in AXES})
+    df = df.withColumn("_size", F.sqrt(F.greatest(*w)))
+    df = df.withColumns({o: F.col(f"_k{a}") / F.when(F.col("_size") > 0, F.col("_size")) for a, o in zip(AXES, out)})
+    return df.drop("_low", "_high", "_size", *[f"_k{n}{a}" for n in AXES for a in AXES], *[f"_w{n}" for n in AXES], *[f"_k{a}" for a in AXES])
+
+
 # --- poses -----------------------------------------------------------------
 
 def quaternion_rotation(w: Column, x: Column, y: Column, z: Column) -> list[Vec]:
@@ -202,18 +233,24 @@ def floor_axes(n: Vec) -> tuple[Vec, Vec]:
     return u, cross(n, u)
 
 
-def plane_line(floor_n: Vec, floor_d: Column, wall_n: Vec, wall_d: Column,
-               origin: Vec, u: Vec, v: Vec) -> tuple[Vec, Vec]:
-    """Line shared by a wall and the floor as (origin, direction); NULL when parallel."""
-    d = cross(floor_n, wall_n)
-    size = norm(d)
-    d = [c / F.when(size >= 1e-6, size) for c in d]
-    du, dv = dot(d, u), dot(d, v)
-    first = F.when(F.abs(du) > 1e-8, du).otherwise(dv)
-    sign = F.when(first < 0, -1.0).otherwise(1.0)
-    d = [c * sign for c in d]
-    start = solve3([floor_n, wall_n, d], [-floor_d, -wall_d, dot(d, origin)])
-    return start, d
+def with_plane_line(df: DataFrame, start: list[str], direction: list[str]) -> DataFrame:
+    """Line shared by a wall plane a, b, c, d and the floor frame; NULL when parallel.
+
+    The first floor component of the direction that is not zero is positive. Each step is a
+    named column, so the solve does not repeat the direction's expression.
+    """
+    n, w = vec("fn_x", "fn_y", "fn_z"), vec("a", "b", "c")
+    o, u, v = (vec(*[f"f{k}_{a}" for a in "xyz"]) for k in "ouv")
+    raw = ["_d0", "_d1", "_d2"]
+    df = df.withColumns(dict(zip(raw, cross(n, w)))).withColumn("_size", norm(vec(*raw)))
+    df = df.withColumns({r: F.col(r) / F.when(F.col("_size") >= 1e-6, F.col("_size")) for r in raw})
+    df = df.withColumns({"_du": dot(vec(*raw), u), "_dv": dot(vec(*raw), v)})
+    df = df.withColumn("_sign", F.when(F.when(F.abs("_du") > 1e-8, F.col("_du")).otherwise(F.col("_dv")) < 0, -1.0).otherwise(1.0))
+    df = df.withColumns({d: F.col(r) * F.col("_sign") for d, r in zip(direction, raw)})
+    d = vec(*direction)
+    df = df.withColumn("_k", dot(d, o)).withColumn("_nf", -F.col("f_d")).withColumn("_nw", -F.col("d"))
+    solved = solve3([n, w, d], vec("_nf", "_nw", "_k"))
+    return df.withColumns(dict(zip(start, solved))).drop(*raw, "_size", "_du", "_dv", "_sign", "_k", "_nf", "_nw")
 
 
 def orientation(ny: Column, degrees: float) -> Column:

@@ -31,8 +31,12 @@ def equivalent(a: Column, b: Column, floating: bool) -> Column:
 
 
 def round6(c: Column) -> Column:
-    """Six decimals with the same IEEE steps in every engine, no negative zero."""
-    return F.floor(c * 1e6 + 0.5).cast("double") / F.lit(1e6)
+    """Six decimals with the same IEEE steps in every engine, no negative zero.
+
+    The rounding point lies just below one half, so sums of short decimals that differ in
+    their last bit still round alike.
+    """
+    return F.floor(c * 1e6 + 0.5003).cast("double") / F.lit(1e6)
 
 
 def within_interval(value: Column, lower: Column, upper: Column,

@@ -26,7 +26,7 @@ def r6c(*names):
 
 
 def round3(c):
-    return F.floor(c * 1e3 + 0.5).cast("double") / F.lit(1e3)
+    return F.floor(c * 1e3 + 0.5003).cast("double") / F.lit(1e3)
 
 
 # --- ordered checks ---------------------------------------------------------

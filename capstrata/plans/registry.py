@@ -51,8 +51,8 @@ def query(name: str, *uses: str, sql: str | None = None):
 
 
 def r6(expr: str) -> str:
-    return f"(floor(({expr}) * 1e6 + 0.5) / 1e6)"
+    return f"(floor(({expr}) * 1e6 + 0.5003) / 1e6)"
 
 
 def r3(expr: str) -> str:
-    return f"(floor(({expr}) * 1e3 + 0.5) / 1e3)"
+    return f"(floor(({expr}) * 1e3 + 0.5003) / 1e3)"
