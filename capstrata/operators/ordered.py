@@ -175,14 +175,13 @@ def runs_of(df: DataFrame, keys: list[str], bin_col: str, run: str = "run") -> D
 def group_diameter(df: DataFrame, keys: list[str], xyz: list[str], out: str) -> DataFrame:
     """Largest pairwise distance per group, exact, without forming all pairs.
 
-    The extremes along 13 fixed directions give a lower bound. A point whose farthest
+    The extremes along the axes and space diagonals give a lower bound. A point whose farthest
     bounding-box corner is nearer than that bound cannot end a longest pair, so only the
     few points beyond it are compared.
     """
     x, y, z = (F.col(c) for c in xyz)
     points = df.select(*keys, *xyz).distinct()
-    directions = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)
-                  if (a, b, c) > (0, 0, 0)]
+    directions = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1)]
     at = F.struct(*xyz)
     ends = []
     for i, (a, b, c) in enumerate(directions):

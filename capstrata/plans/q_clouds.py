@@ -346,7 +346,7 @@ def boundary_report(v):
     floor_points = lab.where("plane_index = 0")
     cells = bd.floor_cells(bd.floor_coordinates(floor_points, frames), v.stations, BOUNDARY)
     floor = bd.supported_views(floor_points, v.stations, ["capture_id"], 3, BOUNDARY)
-    wall = bd.supported_views(coords, v.stations, ["capture_id", "plane_index"], 2, WALL)
+    wall = bd.supported_views(lab.where("plane_index in (1, 2, 3)"), v.stations, ["capture_id", "plane_index"], 2, WALL)
     out = bd.boundary_report(floor, cells, wall, bd.wall_spans(coords, w, v.stations, frames, WALL))
     return out.select("capture_id", "plane_index", "observations", "views", *r6c("baseline_m"), "status", "parts")
 
