@@ -29,18 +29,14 @@ def enforce(violations: DataFrame) -> None:
 
 # --- content ------------------------------------------------------------------
 
-def asset_lines(assets: DataFrame) -> DataFrame:
-    return assets.select("capture_id", F.concat_ws("\t", "path", "sha256", F.col("bytes").cast("string")).alias("line"))
-
-
 def asset_identity(assets: DataFrame, prefix: str = "capture-") -> DataFrame:
     """One hash per capture over its sorted asset list.
 
-    Large captures are hashed as a tree: assets fall into buckets by the leading hex digits
-    of their content hash, each bucket hashes its own sorted lines, and the capture hashes
-    its at most 4096 bucket hashes. No task gathers a whole capture.
+    Large captures are hashed as a tree: assets fall into 65536 buckets by a hash of their
+    path, each bucket hashes its own sorted lines, and the capture hashes its bucket hashes.
+    No task gathers a whole capture, and equal contents still spread by path.
     """
-    lines = assets.select("capture_id", F.substring("sha256", 1, 3).alias("_b"),
+    lines = assets.select("capture_id", F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 4).alias("_b"),
                           F.concat_ws("\t", "path", "sha256", F.col("bytes").cast("string")).alias("line"))
     buckets = lines.groupBy("capture_id", "_b").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("_h"), F.count("*").alias("_n"))

@@ -12,7 +12,7 @@ from capstrata.plans.registry import query, r6
 
 
 @query("asset_identity", "assets", sql="""
-    WITH b AS (SELECT capture_id, substr(sha256, 1, 3) AS b, count(*) AS n, sha256(string_agg(path || chr(9) || sha256 || chr(9) || bytes, chr(10) ORDER BY path || chr(9) || sha256 || chr(9) || bytes)) AS h FROM assets GROUP BY ALL),
+    WITH b AS (SELECT capture_id, substr(sha256(path), 1, 4) AS b, count(*) AS n, sha256(string_agg(path || chr(9) || sha256 || chr(9) || bytes, chr(10) ORDER BY path || chr(9) || sha256 || chr(9) || bytes)) AS h FROM assets GROUP BY ALL),
       i AS (SELECT capture_id, CAST(sum(n) AS BIGINT) AS assets, sha256(string_agg(h, chr(10) ORDER BY b)) AS identity FROM b GROUP BY ALL)
     SELECT *, 'capture-' || substr(identity, 1, 16) AS content_id FROM i""")
 def asset_identity(v):
