@@ -240,10 +240,10 @@ def display_points(v):
     return out.select("capture_id", "plane_index", "points", *r6c("dx_min", "dx_max", "dy_min", "dy_max", "dz_min", "dz_max"))
 
 
-def _supported_sql(source, keys, minimum):
+def _supported_sql(source, keys, minimum, per_view=3):
     on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
     ks = ", ".join(keys)
-    return f"""(WITH p AS ({source}), w AS (SELECT {ks}, rank FROM p GROUP BY ALL HAVING count(*) >= 3),
+    return f"""(WITH p AS ({source}), w AS (SELECT {ks}, rank FROM p GROUP BY ALL HAVING count(*) >= {per_view}),
       g AS (SELECT DISTINCT {', '.join('w.' + k for k in keys)}, ox, oy, oz FROM w JOIN stations s ON s.capture_id = w.capture_id AND s.rank = w.rank),
       b AS (SELECT {', '.join('a.' + k for k in keys)}, max(sqrt((a.ox-b.ox)*(a.ox-b.ox)+(a.oy-b.oy)*(a.oy-b.oy)+(a.oz-b.oz)*(a.oz-b.oz))) AS baseline_m FROM g a JOIN g b ON {on} GROUP BY ALL),
       n AS (SELECT {ks}, count(*) AS views FROM w GROUP BY ALL), o AS (SELECT {ks}, count(*) AS observations FROM p GROUP BY ALL)
@@ -268,7 +268,7 @@ def floor_cells(v):
     return bd.floor_cells(coords, v.stations, BOUNDARY).select("capture_id", "cx", "cy", "observations", "views", *r6c("baseline_m"))
 
 
-WALL = BoundaryPolicy(min_points_per_view=3, min_wall_views=2)
+WALL = BoundaryPolicy(min_points_per_view=1, min_wall_views=2)
 LINES = f"""SELECT capture_id, plane_index, lx, ly, lz, dx, dy, dz, ox_, oy_, oz_, ux, uy, uz, vx, vy, vz FROM
     (SELECT *, ((-fd)*(b*dz - c*dy) - ny*((-wd)*dz - c*k) + nz*((-wd)*dy - b*k)) / det AS lx, (nx*((-wd)*dz - c*k) - (-fd)*(a*dz - c*dx) + nz*(a*k - (-wd)*dx)) / det AS ly,
        (nx*(b*k - (-wd)*dy) - ny*(a*k - (-wd)*dx) + (-fd)*(a*dy - b*dx)) / det AS lz FROM
@@ -295,13 +295,13 @@ def wall_lines(v):
     return bd.wall_lines(w, frames).select("capture_id", "plane_index", *r6c("lx", "ly", "lz", "dx", "dy", "dz"))
 
 
-WALL_SPANS = f"""WITH a AS MATERIALIZED ({ALONG}), s AS MATERIALIZED (SELECT * FROM {_supported_sql('SELECT * FROM a', ['capture_id', 'plane_index', 'bin'], 2)}),
+WALL_SPANS = f"""WITH a AS MATERIALIZED ({ALONG}), s AS MATERIALIZED (SELECT * FROM {_supported_sql('SELECT * FROM a', ['capture_id', 'plane_index', 'bin'], 2, 1)}),
       r AS (SELECT capture_id, plane_index, bin, min(bin) OVER (PARTITION BY capture_id, plane_index, g) AS run FROM
         (SELECT *, bin - row_number() OVER (PARTITION BY capture_id, plane_index ORDER BY bin) AS g FROM s WHERE supported)),
       o AS MATERIALIZED (SELECT a.*, run FROM a JOIN r USING (capture_id, plane_index, bin)),
       m AS (SELECT capture_id, plane_index, run, min(t) AS start_m, max(t) AS end_m, count(DISTINCT bin) AS bins, min(h) AS h0, max(h) AS h1, count(*) FILTER (abs(h) <= 0.1) AS near,
               {', '.join(f'any_value({c}) AS {c}' for c in 'lx ly lz dx dy dz ox_ oy_ oz_ ux uy uz vx vy vz'.split())} FROM o GROUP BY ALL HAVING max(t) - min(t) >= 0.3),
-      w AS (SELECT * FROM {_supported_sql('SELECT * FROM o', ['capture_id', 'plane_index', 'run'], 2)})
+      w AS (SELECT * FROM {_supported_sql('SELECT * FROM o', ['capture_id', 'plane_index', 'run'], 2, 1)})
     SELECT m.capture_id, m.plane_index, m.run, {r6('start_m')} AS start_m, {r6('end_m')} AS end_m, bins, {r6('h0')} AS height_min_m, {r6('h1')} AS height_max_m,
       near AS near_floor_observations, observations, views, {r6('baseline_m')} AS baseline_m, {_ENDS} FROM m JOIN w USING (capture_id, plane_index, run)"""
 
@@ -332,7 +332,7 @@ def candidate_spans(v):
 @query("boundary_report", "cloud", "planes", "stations", sql=f"""
     WITH f AS (SELECT * FROM {_supported_sql(f'SELECT * FROM ({LABELS}) WHERE plane_index = 0', ['capture_id'], 3)}),
       n AS (SELECT capture_id, count(*) AS cells FROM {FLOOR_CELLS} WHERE supported GROUP BY ALL),
-      w AS (SELECT * FROM {_supported_sql(f'SELECT * FROM ({LABELS}) WHERE plane_index IN (1, 2, 3)', ['capture_id', 'plane_index'], 2)}),
+      w AS (SELECT * FROM {_supported_sql(f'SELECT * FROM ({LABELS}) WHERE plane_index IN (1, 2, 3)', ['capture_id', 'plane_index'], 2, 1)}),
       s AS (SELECT capture_id, plane_index, count(*) AS spans FROM ({WALL_SPANS}) GROUP BY ALL),
       fl AS (SELECT capture_id, observations, views, baseline_m, CASE WHEN NOT supported THEN 'INSUFFICIENT_FLOOR_SUPPORT' WHEN cells > 0 THEN 'SUPPORTED_LOCAL_FLOOR'
               ELSE 'INSUFFICIENT_CELL_SUPPORT' END AS status, coalesce(cells, 0) AS parts FROM f LEFT JOIN n USING (capture_id))
