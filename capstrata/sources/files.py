@@ -40,7 +40,7 @@ DEPTH_FOLDERS = ["depth/", "confidence/", "lidar_depth/"]
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line of every file with its 1-based number; a leading byte-order mark is dropped."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(
         F.split(F.regexp_replace("value", "^﻿", ""), "\r\n|\n|\r")).alias("_pos", "line")).select(
         "file", (F.col("_pos") + 1).cast("bigint").alias("source_line"), "line")
