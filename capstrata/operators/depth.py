@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from capstrata.functions import geometry as G
 from capstrata.operators.ordered import quantiles
 from capstrata.policies import DensePolicy
+from capstrata.session import stage
 
 CAMERA = ["fx", "fy", "cx", "cy", "width", "height", *[f"r{i}{j}" for i in range(3) for j in range(3)],
           "tx", "ty", "tz", "ox", "oy", "oz"]
@@ -32,16 +33,20 @@ def depth_support(pixels: DataFrame, cameras: DataFrame, schedule: DataFrame, po
     """
     valid = valid_pixels(pixels, policy)
     k = ["capture_id", "image", "y", "x"]
-    own = valid.select(*k, "z").join(schedule, ["capture_id", "image"]).join(_cameras(cameras, "image", "a_"), ["capture_id", "image"])
+    # staged steps keep each filter on plain columns; inlined camera algebra would outgrow the JIT
     world = G.backproject_pixel(F.col("x"), F.col("y"), F.col("z"), "a_")
-    own = own.select("*", *[c.alias(f"w{n}") for c, n in zip(world, "xyz")]).join(_cameras(cameras, "partner", "b_"), ["capture_id", "partner"])
+    own = valid.select(*k, "z").join(_cameras(cameras, "image", "a_"), ["capture_id", "image"])
+    own = stage(own.select(*k, "z", *[c.alias(f"w{n}") for c, n in zip(world, "xyz")]))
+    own = own.drop("z").join(schedule, ["capture_id", "image"]).join(_cameras(cameras, "partner", "b_"), ["capture_id", "partner"])
     u, v, depth = G.project_pixel(G.vec("wx", "wy", "wz"), "b_")
     own = own.select("*", u.alias("bu"), v.alias("bv"), depth.alias("bz")).where(
         (F.col("bz") > 0) & (F.col("bu") >= 0) & (F.col("bu") < F.col("b_width")) & (F.col("bv") >= 0) & (F.col("bv") < F.col("b_height")))
-    own = own.withColumn("ty_", F.floor("bv")).withColumn("tx_", F.floor("bu"))
+    # only the pixel and its target travel; the cameras are looked up again on the other side
+    own = own.select(*k, "partner", "wx", "wy", "wz", "bz", F.floor("bv").alias("ty_"), F.floor("bu").alias("tx_"))
     target = valid.select("capture_id", F.col("image").alias("partner"), F.col("y").alias("ty_"), F.col("x").alias("tx_"), F.col("z").alias("seen"))
     m = own.join(target, ["capture_id", "partner", "ty_", "tx_"]).where(
         F.abs(F.col("seen") - F.col("bz")) <= policy.relative_depth_error * F.col("bz"))
+    m = m.join(_cameras(cameras, "image", "a_"), ["capture_id", "image"]).join(_cameras(cameras, "partner", "b_"), ["capture_id", "partner"])
     back = G.backproject_pixel(F.col("tx_"), F.col("ty_"), F.col("seen"), "b_")
     m = m.select("*", *[c.alias(f"q{n}") for c, n in zip(back, "xyz")])
     ru, rv, rz = G.project_pixel(G.vec("qx", "qy", "qz"), "a_")
@@ -50,7 +55,8 @@ def depth_support(pixels: DataFrame, cameras: DataFrame, schedule: DataFrame, po
     ra, rb = G.minus(p, G.vec("a_ox", "a_oy", "a_oz")), G.minus(p, G.vec("b_ox", "b_oy", "b_oz"))
     cosine = G.dot(ra, rb) / F.greatest(G.norm(ra) * G.norm(rb), F.lit(1e-15))
     angle = F.degrees(F.acos(G.clamp(cosine, -1.0, 1.0)))
-    good = m.where((rz > 0) & (off <= policy.roundtrip_pixels) & (angle >= policy.min_angle_degrees))
+    m = stage(m.select(*k, rz.alias("_rz"), off.alias("_off"), angle.alias("_angle")))
+    good = m.where((F.col("_rz") > 0) & (F.col("_off") <= policy.roundtrip_pixels) & (F.col("_angle") >= policy.min_angle_degrees))
     n = good.groupBy(*k).agg(F.count("*").alias("support"))
     out = valid.select(*k, "z").join(n, k, "left").fillna(0, ["support"])
     return out.withColumn("accepted", F.col("support") >= policy.min_support)

@@ -276,20 +276,12 @@ def zbuffer_visible(points: DataFrame, cameras: DataFrame, pixel_bin: int = 3, t
 
     The nearest depth is a map-side minimum per bin that is joined back.
     """
-    # the reviewed cameras ride along as one short array, and only pixels in frame leave the row
-    names = ["rank", "fx", "fy", "cx", "cy", "width", "height", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
-    views = cameras.groupBy("capture_id").agg(F.collect_list(F.struct(*names)).alias("_cams"))
-    xyz = G.vec("x", "y", "z")
-
-    def look(c):
-        o = [G.dot([c[f"r{i}{j}"] for j in range(3)], xyz) + c[f"t{a}"] for i, a in enumerate("xyz")]
-        z = F.when(o[2] > 0.05, o[2])
-        return F.struct(c["rank"].alias("rank"), (c["fx"] * o[0] / z + c["cx"]).alias("px"), (c["fy"] * o[1] / z + c["cy"]).alias("py"),
-                        o[2].alias("depth"), c["width"].alias("width"), c["height"].alias("height"))
-
-    in_frame = F.filter(F.transform("_cams", look), lambda s: (s["px"] >= 0) & (s["px"] < s["width"]) & (s["py"] >= 0) & (s["py"] < s["height"]))
-    p = points.join(views, "capture_id").select(*points.columns, F.explode(in_frame).alias("_s")).select(
-        *points.columns, *[F.col(f"_s.{c}").alias(c) for c in ("rank", "px", "py", "depth")])
+    # few reviewed cameras per capture; the frame test is part of the join, so a projection
+    # outside the image never leaves it
+    px, py, depth = G.project_pixel(G.vec("x", "y", "z"))
+    cams = cameras.withColumnRenamed("capture_id", "_cap")
+    seen = ((F.col("capture_id") == F.col("_cap")) & (depth > 0.05) & (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height")))
+    p = points.join(cams, seen).select(*points.columns, "rank", px.alias("px"), py.alias("py"), depth.alias("depth"))
     p = p.withColumn("_bx", F.floor(F.col("px") / pixel_bin)).withColumn("_by", F.floor(F.col("py") / pixel_bin))
     k = ["capture_id", "rank", "_bx", "_by"]
     near = p.groupBy(*k).agg(F.min("depth").alias("_near"))
