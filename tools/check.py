@@ -1,5 +1,6 @@
 """Run registered queries against DuckDB on the same tables: check.py [sf] [name ...]"""
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -31,6 +32,8 @@ def main():
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     spark = local_session("check", cpus=8)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+    if os.environ.get("SLICE_ROWS"):
+        spark.conf.set("spark.capstrata.sliceRows", os.environ["SLICE_ROWS"])
     bad = 0
     for n in names:
         q = QUERIES[n]
