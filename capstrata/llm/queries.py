@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import mixing, packing, sharding
+from capstrata.llm import mixing, packing, quality, sharding
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -36,6 +36,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_copy", "mix_order")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = stage(quality.rule_statistics(docs.select("doc_id", "text"), "text").drop("text"))
+    judged = quality.judge(stats, quality.fit_quality(stats, labels, "doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").withColumns({
         "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"),
@@ -47,7 +54,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op5_source_mixing, op10_rendezvous_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op5_source_mixing, op8_quality_rules, op10_rendezvous_sharding)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
