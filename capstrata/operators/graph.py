@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capstrata.session import stage
-
-MAX_ROUNDS = 100
+from capstrata.session import stage, unstage
 
 
 def _signature(df: DataFrame) -> tuple:
@@ -29,7 +27,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str],
     e = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     e = stage(e)
     before = _signature(e)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.union(e.select(*keys, F.col("v"), F.col("u"))).distinct()
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("_m")).select(
             *keys, "u", F.least("u", "_m").alias("_m"))
@@ -37,13 +35,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str],
         down = large.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
         small = down.join(least, [*keys, "u"]).where("v <> _m").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
-        e = stage(small.union(least.select(*keys, "u", F.col("_m").alias("v"))).distinct())
+        last, e = e, stage(small.union(least.select(*keys, "u", F.col("_m").alias("v"))).distinct())
+        unstage(last)
         after = _signature(e)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not converge")
     label = e.select(*keys, F.col("u").alias(vertex), F.col("v").alias("component"))
     return vertices.select(*keys, vertex).distinct().join(label, [*keys, vertex], "left").select(
         *keys, vertex, F.coalesce("component", vertex).alias("component"))
@@ -57,18 +54,19 @@ def k_core(edges: DataFrame, keys: list[str], a: str, b: str, k: int = 2) -> Dat
     """Vertices left after repeatedly dropping those with fewer than k neighbours."""
     e = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = stage(e.union(e.select(*keys, F.col("v"), F.col("u"))).distinct())
-    size = e.count()
-    for _ in range(MAX_ROUNDS):
+    staged, size = e, e.count()
+    while True:
         for _ in range(2):  # two peels per staged round
             keep = e.groupBy(*keys, "u").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= k).select(*keys, "u")
             e = e.join(keep, [*keys, "u"], "left_semi").join(
                 keep.withColumnRenamed("u", "v"), [*keys, "v"], "left_semi").select(*keys, "u", "v")
-        e = stage(e)
+        last, e = staged, stage(e)
+        staged = e
+        unstage(last)
         left = e.count()
         if left == size:
             return e.select(*keys, F.col("u").alias("vertex")).distinct()
         size = left
-    raise RuntimeError("core did not converge")
 
 
 def grid_neighbors(cells: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
