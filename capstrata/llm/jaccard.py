@@ -242,3 +242,22 @@ def jaccard_components(df: DataFrame, key: str, text: str, rule: JaccardRule) ->
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
     )
+
+
+def keep_one(df: DataFrame, key: str, text: str, rule: JaccardRule) -> DataFrame:
+    """One document of every group of linked texts, that of the smallest key; all columns stay.
+
+    A document is its key and its text: repeated rows are one document and leave one row, rows of one key with
+    different texts are different documents. Rows without a key come last in the order. Texts without words stay.
+    """
+    version = F.xxhash64(F.lit("text"), F.col(text))
+    docs = df.select(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), version.alias("version")).alias("doc"), F.col(text).alias("text"))
+    found = jaccard_components(docs, "doc", "text", rule)
+    counts = stage(found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.any_value("component_id").alias("c")).where("n > 1 or doc <> c"))
+    flat = counts.select(F.col("doc.id").alias("kj_id"), F.col("doc.version").alias("kj_version"), (F.col("doc") == F.col("c")).alias("kj_twice"))
+    twice = stage(flat.where("kj_twice"))
+    same = F.col(key).eqNullSafe(F.col("kj_id")) & (version == F.col("kj_version"))
+    rest = df.join(flat, same, "left_anti")
+    mark = "kj_version_of_row"
+    once = df.join(twice, same, "left_semi").withColumn(mark, version).dropDuplicates([key, mark]).drop(mark)
+    return rest.unionByName(once)

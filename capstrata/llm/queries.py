@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import jaccard, mixing, packing, quality, sharding
+from capstrata.llm import jaccard, linededup, mixing, packing, quality, sharding
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -49,6 +49,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.versions(table(spark, sf_dir, "documents"), "doc_id", "text")
+    dropped = linededup.by_document(linededup.repeated_lines(docs, "id", "text")).withColumnRenamed("id", "d").withColumnRenamed("version", "v")
+    n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0)
+    counted = docs.select(F.col("id").alias("doc_id"), "version", n_lines.alias("n_lines"))
+    found = counted.join(dropped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("drop_lines"), F.lit(0)).alias("n_dropped"), F.concat_ws(",", F.transform("drop_lines", lambda p: p.cast("string"))).alias("dropped_lines"))
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").withColumns({
         "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"),
@@ -60,7 +69,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_ngram_jaccard_join, op5_source_mixing, op8_quality_rules, op10_rendezvous_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op3_ngram_jaccard_join, op5_source_mixing, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
