@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import jaccard, linededup, mixing, neardup, packing, quality, sharding
+from capstrata.llm import htmltext, jaccard, linededup, mixing, neardup, packing, quality, sharding
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -42,6 +42,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_copy", "mix_order")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmltext.extract_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", neardup.RangeRule(cosine=0.95))
 
@@ -73,7 +78,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_ngram_jaccard_join, op5_source_mixing, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op3_ngram_jaccard_join, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
