@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import htmltext, jaccard, linededup, mixing, neardup, packing, quality, sharding
+from capstrata.llm import htmltext, jaccard, langid, linededup, mixing, neardup, packing, quality, sharding
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -33,6 +33,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold.alias("fold"))
+    model = langid.fit_languages(docs.where("fold <> 2"), "text", "lang")
+    rows = docs.select("doc_id", F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(rows, "text", model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", JOIN_RULE)
 
@@ -78,7 +86,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_ngram_jaccard_join, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
