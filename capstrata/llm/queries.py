@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import htmltext, jaccard, langid, linededup, mixing, neardup, packing, quality, sharding
+from capstrata.llm import htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -15,6 +15,8 @@ from capstrata.session import stage
 TOKENIZER, RANKS, END_ID, SEQUENCE_TOKENS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 2, 1024
 #: Similarity join of the contract: four words, 85 percent.
 JOIN_RULE = jaccard.JaccardRule(words=4, num=85)
+#: Surrogates: the key that a deployment replaces by its own secret.
+PII_KEY = "change me"
 #: Mixing: target weights of sources; all others weigh 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 MIX_SEED = 20
@@ -45,6 +47,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", JOIN_RULE)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, "text", PII_KEY).select("doc_id", "n_entities", "text")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), "source", ["doc_id"], "text", MIX_WEIGHTS, seed=MIX_SEED)
     return mixed.select("doc_id", "source", "mix_copy", "mix_order")
@@ -86,7 +93,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
