@@ -14,8 +14,8 @@ from capstrata.llm.wordhash import _FACTOR, Texts, mix, slices
 from capstrata.operators.graph import connected_components
 from capstrata.session import stage, unstage
 
-#: Shingles whose hash is divisible by this are ranked by their frequency; all others come after them by hash.
-RANKED = 4
+#: Shingles whose hash is divisible by this decide which documents can have a partner at all.
+PROBED = 4
 #: Parts of the hash range in which two sets' counts are compared (the suffix filter).
 PARTS = 64
 #: The set of documents to read again is a bitmap of this many slots: fixed in size, and only too large a set.
@@ -70,24 +70,20 @@ def parts_of(s: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(doc, text) to one row each: size, fingerprint, the ranked shingles, and as many others as the prefix may need."""
-    words, num, den, lower, kind = rule.words, rule.num, rule.den, rule.lower, docs.schema["doc"].dataType.simpleString()
+    """(doc, text) to one row each: size and fingerprint of its set, and the probed shingles."""
+    words, lower, kind = rule.words, rule.lower, docs.schema["doc"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, t in slices(batch.column(1), lower):
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(4)]
                 for s in shingle_sets(t, words):
-                    n = len(s)
-                    chosen = s % np.uint64(RANKED) == 0
-                    need = n - (num * n + den - 1) // den + 1 - int(chosen.sum())
-                    rest = s[~chosen][:need] if n and need > 0 else s[:0]
-                    for c, v in zip(out, (n, *fingerprint(s), s[chosen].view(np.int64), rest.view(np.int64))):
+                    for c, v in zip(out, (len(s), *fingerprint(s), s[s % np.uint64(PROBED) == 0].view(np.int64))):
                         c.append(v)
-                longs, lists = pa.int64(), pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, t.n), *[pa.array(c, k) for c, k in zip(out, (longs, longs, longs, lists, lists))]], names=["doc", "n", "k1", "k2", "ranked", "rest"])
+                longs = pa.int64()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, t.n), *[pa.array(c, k) for c, k in zip(out, (longs, longs, longs, pa.list_(longs)))]], names=["doc", "n", "k1", "k2", "probed"])
 
-    return docs.select("doc", "text").mapInArrow(work, f"doc {kind}, n long, k1 long, k2 long, ranked array<long>, rest array<long>")
+    return docs.select("doc", "text").mapInArrow(work, f"doc {kind}, n long, k1 long, k2 long, probed array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -122,36 +118,50 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rule: JaccardRule) -> DataFra
     return stage(again.join(w, same).select("node", "n", "parts", "shingles").dropDuplicates(["node"]))
 
 
-def prefix_entries(base: DataFrame, nodes: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(token, node, n, pos): the rarest shingles of every set that may have a partner, with their place in its order.
+def possible(base: DataFrame, nodes: DataFrame, rule: JaccardRule) -> DataFrame:
+    """Nodes that can have a partner, judged by their probed shingles.
+
+    A shingle of one document finds no partner. A set with as many of those as its prefix is long shares no shingle of
+    the prefix of any order that puts them first, so it has no partner at all. Most documents go here, and only a
+    fixed share of all shingles is counted for it.
+    """
+    tokens = base.where("n > 0").select("rid", F.explode("probed").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    common = tokens.join(shared, "token").groupBy("rid").agg(F.count(F.lit(1)).alias("common"))
+    sets = base.select("rid", "n", F.size("probed").alias("n_probed")).join(common, "rid", "left")
+    left = sets.where(F.col("n_probed") - F.coalesce("common", F.lit(0)) < rule.prefix(F.col("n"))).select(F.col("rid").alias("node"))
+    return stage(nodes.join(left, "node"))
+
+
+def prefix_entries(sets: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(token, node, n, pos, left, largest): the prefix of every set, rarest shingles first.
 
-    All sets are ordered alike: ranked shingles by how many documents have them, then the others by hash. A shingle
-    of one document finds no partner; a set with as many of those as its prefix is long has none at all.
+    All sets are ordered alike, by how many of them have a shingle, then by hash; shingles of one set come first and
+    make no entry. pos counts the shared shingles before this one, left those from it on. largest is the size of the
+    largest set that can be linked to this one: they share at most the shingles that are not its own alone.
     """
-    tokens = base.where("n > 0").select("rid", F.explode("ranked").alias("token"))
+    tokens = sets.select("node", F.explode("shingles").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per_set = (
-        tokens.join(shared, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    )
-    sets = base.select("rid", "n", F.size("ranked").alias("n_ranked"), "rest").join(nodes.select(F.col("node").alias("rid")), "rid")
-    none = F.array().cast("array<struct<df:long,token:long>>")
-    sets = sets.join(per_set, "rid", "left").withColumn("common", F.coalesce("common", none))
-    sets = sets.withColumn("prefix", rule.prefix(F.col("n"))).withColumn("single", F.col("n_ranked") - F.size("common")).where("single < prefix")
-    entry = lambda token, pos: F.struct(token.alias("token"), pos.cast("int").alias("pos"))
-    ranked = F.transform(F.slice("common", F.lit(1), F.col("prefix") - F.col("single")), lambda x, i: entry(x["token"], F.col("single") + i))
-    others = F.transform(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("n_ranked"))), lambda x, i: entry(x, F.col("n_ranked") + i))
-    entries = stage(sets.select(F.col("rid").alias("node"), "n", F.explode(F.concat(ranked, others)).alias("e")).select("e.token", "node", "n", "e.pos"))
-    met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    out = stage(entries.join(met, "token"))
-    unstage(entries)
-    return out
+    ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    ranked = ranked.join(sets.select("node", "n"), "node").withColumn("prefix", rule.prefix(F.col("n"))).withColumn("single", (F.col("n") - F.size("common")).cast("int"))
+    most = F.floor(F.size("common") * F.lit(rule.num + rule.den) / F.lit(rule.num)) - F.col("n")
+    first = F.slice("common", F.lit(1), F.col("prefix") - F.col("single"))
+    entries = ranked.where("single < prefix").select("node", "n", F.size("common").alias("m"), most.alias("largest"), F.posexplode(first).alias("pos", "e"))
+    return stage(entries.select("e.token", "node", "n", "pos", (F.col("m") - F.col("pos")).alias("left"), "largest"))
+
+
+def live(entries: DataFrame) -> DataFrame:
+    """Entries whose list holds another set that is small enough for them and lies in another component."""
+    lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("token", "least")
+    return entries.join(lists, "token").where(F.col("largest") >= F.col("least")).select(*entries.columns)
 
 
 def can_link(rule: JaccardRule, a: str, b: str) -> Column:
     """Length and positional filters for two entries of one token."""
-    na, nb, pa_, pb = (F.col(f"{x}.{c}") for c, x in (("n", a), ("n", b), ("pos", a), ("pos", b)))
-    length = F.lit(rule.den) * F.least(na, nb) >= F.lit(rule.num) * F.greatest(na, nb)
-    return length & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= rule.least_overlap(na, nb))
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    length = (F.lit(rule.den) * F.least(na, nb) >= F.lit(rule.num) * F.greatest(na, nb)) & (na <= F.col(f"{b}.largest")) & (nb <= F.col(f"{a}.largest"))
+    shared = F.least(f"{a}.pos", f"{b}.pos") + F.least(f"{a}.left", f"{b}.left")  # at most, before the token and from it on
+    return length & (shared >= rule.least_overlap(na, nb))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -195,19 +205,16 @@ def linked_sets(entries: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataF
 
     last = PIVOT_ROUNDS
     for r in range(last + 1):
-        e = entries.join(comps, "node")
-        split = e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        e = stage(e.join(split, "token"))
+        e = stage(live(live(entries.join(comps, "node"))))
         apart = F.col("x.component") != F.col("y.component")
         if r < last:
             order = F.xxhash64(F.lit(r), "token", "node") if r else F.col("node")
-            pivot = e.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("p")).select("token", "p.*")
+            pivot = e.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "left", "component", "largest")).alias("p")).select("token", "p.*")
             meet(e.alias("x").join(pivot.alias("y"), "token").where(apart & can_link(rule, "x", "y")))
         else:
             sizes = e.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
             largest = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
-            marked = e.join(largest, "token")
-            outside = marked.where("component <> main")
+            outside = e.join(largest, "token").where("component <> main")
             once = (F.col("y.component") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
             meet(outside.alias("x").join(e.alias("y"), "token").where(apart & once & can_link(rule, "x", "y")))
         unstage(e)
@@ -228,9 +235,8 @@ def jaccard_components(df: DataFrame, key: str, text: str, rule: JaccardRule) ->
         base.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("rid", "doc")).alias("first"), F.min("doc").alias("low"))
         .select("k1", "k2", F.col("first.rid").alias("node"), F.col("first.doc").alias("doc"), "low")
     )
-    entries = prefix_entries(base, nodes, rule)
-    wanted = nodes.join(entries.select("node").distinct(), "node")
-    sets = whole_sets(docs, wanted, rule)
+    sets = whole_sets(docs, possible(base, nodes, rule), rule)
+    entries = prefix_entries(sets, rule)
     comps = linked_sets(entries, sets, rule)
     lows = comps.join(nodes.select("node", "low"), "node")
     least = lows.groupBy("component").agg(F.min("low").alias("least"))
