@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 
 def exact_number(s: Column) -> Column:
-    """Finite decimal with six places, NULL for anything else (NaN and infinities included)."""
-    return F.trim(s).try_cast("decimal(20,6)")
+    """Finite decimal, NULL for anything else (NaN and infinities included).
+
+    Up to 20 digits before and 18 after the point are kept, which covers nanosecond times; a number
+    beyond that range is NULL as well, for the type cannot hold it.
+    """
+    return F.trim(s).try_cast("decimal(38,18)")
 
 
 def exact_integer(s: Column) -> Column:
-    """Whole number or NULL; a fraction is refused, never rounded."""
-    d = exact_number(s)
-    return F.when(d == F.floor(d), d.cast("bigint"))
+    """Whole number or NULL; a fraction is refused, never rounded, however small it is."""
+    text, d = F.trim(s), exact_number(s)
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
+    left, right = F.length(F.regexp_extract(part(r"^[+-]?(\d*)"), "(0*)$", 1)), F.length(F.regexp_replace(part(r"\.(\d*)"), "0+$", ""))
+    exponent = F.coalesce(part(r"[eE]([+-]?\d+)$").try_cast("int"), F.lit(0))
+    zero = text.rlike(r"^[+-]?[0.]+([eE].*)?$")
+    whole = F.when(right > 0, right <= exponent).otherwise(left >= -exponent)
+    return F.when(zero | whole, d.try_cast("bigint"))
 
 
 def rational(numerator: Column, denominator: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from capstrata.functions import text as X
 from capstrata.functions.numeric import equivalent
+from capstrata.session import stage
 
 
 class ContractViolation(ValueError):
@@ -76,16 +77,40 @@ def room_counts(assets: DataFrame) -> DataFrame:
 
 
 def room_slugs(paths: DataFrame) -> DataFrame:
-    """A unique slug per photo folder; later folders with the same slug get -2, -3, ..."""
+    """A unique slug per photo folder of a capture.
+
+    In folder order, a folder whose slug is taken gets the first free of slug-2, slug-3, ... Slugs can only meet
+    others that differ by numeric suffixes, so these families are independent. A family with a single slug is
+    numbered in slices, whatever its size; only in families with slugs such as "kitchen" and "kitchen-2" does the
+    number depend on what earlier folders took, and only those are walked one by one.
+    """
     from capstrata.operators.ordered import sequence_over
 
     folders = paths.select("capture_id", X.parent_path(F.col("path")).alias("folder")).distinct()
     base = X.slugify(F.when(F.col("folder") == "", F.col("capture_id")).otherwise(X.file_name(F.col("folder"))))
-    named = folders.withColumn("slug", base).withColumn("_axis", F.lit(0))
-    seq = sequence_over(named, ["capture_id", "slug"], ["folder"], axis="_axis", rank="_i")
-    return seq.select("capture_id", "folder", F.when(F.col("_i") == 0, F.col("slug")).otherwise(
+    named = stage(folders.withColumn("slug", base).withColumn("family", F.regexp_replace(base, "(-[0-9]+)+$", "")))
+    mixed = named.groupBy("capture_id", "family").agg((F.min("slug") < F.max("slug")).alias("mixed"))
+    marked = named.join(mixed, ["capture_id", "family"])
+    seq = sequence_over(marked.where(~F.col("mixed")), ["capture_id", "slug"], ["folder"], rank="_i")
+    numbered = seq.select("capture_id", "folder", F.when(F.col("_i") == 0, F.col("slug")).otherwise(
         F.concat("slug", F.lit("-"), (F.col("_i") + 1).cast("string"))).alias("room_id"))
 
+    def walk(family):
+        taken, following, ids = set(), {}, []
+        family = family.sort_values("folder")
+        for slug in family["slug"]:
+            name, i = slug, following.get(slug, 2)
+            while name in taken:
+                name, i = f"{slug}-{i}", i + 1
+            following[slug] = i
+            taken.add(name)
+            ids.append(name)
+        return family.assign(room_id=ids)[["capture_id", "folder", "room_id"]]
+
+    kind = named.schema["capture_id"].dataType.simpleString()
+    walked = marked.where("mixed").groupBy("capture_id", "family").applyInPandas(walk, f"capture_id {kind}, folder string, room_id string")
+    return numbered.unionByName(walked)
+
 
 def photo_findings(photos: DataFrame) -> DataFrame:
     """Missing EXIF or time, a name that disagrees with the EXIF time, unapplied orientation.

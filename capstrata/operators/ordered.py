@@ -1,11 +1,10 @@
 """Ordered computations that hold when one key owns a large part of the rows.
 
-A plain ``Window.partitionBy(capture)`` puts a whole capture into one task. It is taken
-only where the counted table fits one task. Beyond that a key
-with more rows than ``slice_rows`` is first cut along its order axis into slices of about
-that many rows. The window runs per (key, slice), one summary row per slice carries the
-state across the cut, and both sides of that join share the (key, slice) partitioning.
-Small keys stay in slice 0, so the plan is the plain window plus a small aggregate.
+A plain ``Window.partitionBy(capture)`` puts a whole capture into one task. Here the table is
+range-partitioned by key and order instead, at the quantiles Spark samples for it, so that a
+large key is cut into several slices of about equal size, whatever the type or the spread of its
+order. The window runs per (key, slice), and one summary row per slice carries the state across
+the cuts. There is one plan for tables of every size.
 """
 
 from __future__ import annotations
@@ -13,35 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capstrata.session import fits_one_task, slice_rows
+from capstrata.session import SLICES_KEY, stage
 
 SLICE = "_slice"
 
 
-def with_slices(df: DataFrame, keys: list[str], axis: str) -> DataFrame:
-    """Add the slice number of each row; monotone in ``axis`` within a key.
+def with_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The table staged once with the slice number of each row; it rises with ``order`` within a key.
 
-    The broadcast side lists only keys above the row target, so it has at most
-    ``rows / slice_rows`` entries whatever the data looks like.
+    There are as many slices as shuffle partitions, or as ``spark.capstrata.slices`` says; AQE
+    merges small ones. Rows equal in all keys and order columns share a slice.
     """
-    target = slice_rows(df.sparkSession)
-    x = F.col(axis).cast("double")
-    extent = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    hot = extent.where((F.col("_n") > target) & (F.col("_hi") > F.col("_lo"))).select(
-        *keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / target)).alias("_width"))
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(SLICE, F.coalesce(F.floor((x - F.col("_lo")) / F.col("_width")), F.lit(0)))
-        .drop("_lo", "_width")
-    )
+    wanted = df.sparkSession.conf.get(SLICES_KEY, None)
+    ranged = df.repartitionByRange(int(wanted), *keys, *order) if wanted else df.repartitionByRange(*keys, *order)
+    return stage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
 def sequence_over(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    axis: str | None = None,
     *,
     rank: str | None = None,
     lag: dict[str, str] | None = None,
@@ -60,21 +50,7 @@ def sequence_over(
     lag, lead = lag or {}, lead or {}
     running_sum, running_max_before = running_sum or {}, running_max_before or {}
     total_sum, total_min = total_sum or {}, total_min or {}
-    if fits_one_task(df):
-        within = Window.partitionBy(*keys).orderBy(*order)
-        upto = within.rowsBetween(Window.unboundedPreceding, 0)
-        earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*keys)
-        return df.select(
-            *df.columns,
-            *([(F.row_number().over(within) - 1).cast("bigint").alias(rank)] if rank else []),
-            *[F.lag(c).over(within).alias(o) for o, c in lag.items()],
-            *[F.lead(c).over(within).alias(o) for o, c in lead.items()],
-            *[F.sum(e).over(upto).alias(o) for o, e in running_sum.items()],
-            *[F.max(e).over(earlier).alias(o) for o, e in running_max_before.items()],
-            *[F.sum(e).over(whole).alias(o) for o, e in total_sum.items()],
-            *[F.min(e).over(whole).alias(o) for o, e in total_min.items()])
-    sliced = with_slices(df, keys, axis or order[0])
+    sliced = with_slices(df, keys, order)
     position = F.struct(*order)
 
     parts = [F.count(F.lit(1)).alias("_c")]
@@ -130,13 +106,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
               count: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key, without buffering a large group in one task.
 
-    A table that fits one task uses the built-in aggregate. Otherwise equal values are folded by a partial aggregate first, then the running count over the
+    Equal values are folded by a partial aggregate first, then the running count over the
     sliced value order locates the two neighbours of every wanted position.
     """
-    if fits_one_task(df):
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-            *[F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(n) for n, p in probs.items()],
-            *([F.count(F.lit(1)).alias(count)] if count else []))
     folded = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     spread = sequence_over(folded, keys, [value], running_sum={"_cum": F.col("_w")},
                            total_sum={"_total": F.col("_w")})

@@ -45,16 +45,22 @@ def room_counts(v):
     return ig.room_counts(v.assets)
 
 
-SLUG_PATHS = """SELECT 'c' || (page_id % 5) AS capture_id, regexp_replace(url, '^https?://', '') AS path FROM pages"""
+SLUG_NAMES = ["Kitchen", "Kitchen 2", "kitchen", "Hall", "hall-2", "Hall 2 2", "kitchen-3"]
+SLUG_FOLDERS = f"""SELECT DISTINCT 'c' || (doc_id % 5) AS capture_id, 'f' || (doc_id // 40) || '/' || CASE WHEN doc_id % 8 = 7 THEN source ELSE [{', '.join(f"'{n}'" for n in SLUG_NAMES)}][1 + doc_id % 8] END AS folder FROM documents"""
 
 
 @query("room_slugs", sql=f"""
-    WITH f AS (SELECT DISTINCT capture_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM ({SLUG_PATHS})),
-      s AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(lower(CASE WHEN folder = '' THEN capture_id ELSE regexp_extract(folder, '[^/]*$') END), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'room') AS slug FROM f),
-      n AS (SELECT *, row_number() OVER (PARTITION BY capture_id, slug ORDER BY folder) AS i FROM s)
-    SELECT capture_id, folder, CASE WHEN i = 1 THEN slug ELSE slug || '-' || i END AS room_id FROM n""")
+    WITH RECURSIVE s AS (SELECT capture_id, folder, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_extract(folder, '[^/]*$')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'room') AS slug FROM ({SLUG_FOLDERS})),
+      o AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY folder) AS n FROM s),
+      w AS (SELECT capture_id, folder, n, slug AS room_id, [slug] AS taken FROM o WHERE n = 1
+        UNION ALL SELECT capture_id, folder, n, room_id, list_append(taken, room_id) FROM (
+          SELECT o.capture_id, o.folder, o.n, w.taken, CASE WHEN list_contains(w.taken, o.slug) THEN o.slug || '-' || list_filter(range(2, 3 + len(w.taken)), lambda i: NOT list_contains(w.taken, o.slug || '-' || i))[1] ELSE o.slug END AS room_id
+          FROM w JOIN o ON o.capture_id = w.capture_id AND o.n = w.n + 1))
+    SELECT capture_id, folder, room_id FROM w""")
 def room_slugs(v):
-    p = v.table("pages").select(F.concat(F.lit("c"), (F.col("page_id") % 5).cast("string")).alias("capture_id"), F.regexp_replace("url", "^https?://", "").alias("path"))
+    d = F.col("doc_id")
+    name = F.coalesce(F.get(F.array(*map(F.lit, SLUG_NAMES)), (d % 8).cast("int")), F.col("source"))
+    p = v.table("documents").select(F.concat(F.lit("c"), (d % 5).cast("string")).alias("capture_id"), F.concat(F.lit("f"), F.floor(d / 40).cast("string"), F.lit("/"), name, F.lit("/x.jpg")).alias("path"))
     return ig.room_slugs(p)
 
 
@@ -206,12 +212,15 @@ def record_violations(v):
 
 
 @query("exact_numbers", sql=r"""
-    WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN n_chars || '.500000' WHEN 2 THEN 'NaN' WHEN 3 THEN ' ' || n_chars || '.000 ' ELSE lang END AS raw FROM documents)
-    SELECT doc_id, CASE WHEN regexp_matches(trim(raw), '^\d+(\.\d+)?$') THEN CAST(trim(raw) AS DOUBLE) END AS number, CASE WHEN regexp_matches(trim(raw), '^\d+(\.0+)?$') THEN CAST(CAST(trim(raw) AS DOUBLE) AS BIGINT) END AS whole FROM s""")
+    WITH s AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN n_chars || '.500000' WHEN 2 THEN 'NaN' WHEN 3 THEN ' ' || n_chars || '.000 ' WHEN 4 THEN lang
+      WHEN 5 THEN n_chars || '.0000005' WHEN 6 THEN '1e-7' WHEN 7 THEN '17000000000000' || lpad(CAST(n_chars % 100000 AS VARCHAR), 5, '0') WHEN 8 THEN (n_chars % 9 + 1) || '23456789012345.5' WHEN 9 THEN '-1.0000001' ELSE '12e2' END AS raw FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(trim(raw), '^-?\d+(\.\d+)?(e-?\d+)?$') THEN CAST(trim(raw) AS DOUBLE) END AS number,
+      CASE WHEN regexp_matches(trim(raw), '^\d+(\.0+)?$') THEN CAST(regexp_replace(trim(raw), '\.0+$', '') AS BIGINT) WHEN raw = '12e2' THEN 1200 END AS whole FROM s""")
 def exact_numbers(v):
-    n = F.col("n_chars").cast("string")
-    k = F.col("doc_id") % 5
-    raw = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(".500000"))).when(k == 2, "NaN").when(k == 3, F.concat(F.lit(" "), n, F.lit(".000 "))).otherwise(F.col("lang"))
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 11
+    raw = (F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(".500000"))).when(k == 2, "NaN").when(k == 3, F.concat(F.lit(" "), n, F.lit(".000 "))).when(k == 4, F.col("lang"))
+           .when(k == 5, F.concat(n, F.lit(".0000005"))).when(k == 6, "1e-7").when(k == 7, F.concat(F.lit("17000000000000"), F.lpad((F.col("n_chars") % 100000).cast("string"), 5, "0")))
+           .when(k == 8, F.concat((F.col("n_chars") % 9 + 1).cast("string"), F.lit("23456789012345.5"))).when(k == 9, "-1.0000001").otherwise("12e2"))
     return v.table("documents").select("doc_id", exact_number(raw).cast("double").alias("number"), exact_integer(raw).alias("whole"))
 
 

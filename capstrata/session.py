@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_ROWS_KEY = "spark.capstrata.sliceRows"
-DEFAULT_SLICE_ROWS = 1_000_000
+SLICES_KEY = "spark.capstrata.slices"
 
 
 def local_session(app: str = "capstrata", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -28,19 +27,6 @@ def local_session(app: str = "capstrata", cpus: int | str = "*", partitions: int
     return spark
 
 
-def slice_rows(spark: SparkSession) -> int:
-    """How many rows of one key a single ordered task may hold."""
-    return int(spark.conf.get(SLICE_ROWS_KEY, str(DEFAULT_SLICE_ROWS)))
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether even a single key owning every row stays within one task's share.
-
-    On a staged or source table the count comes from Parquet footers.
-    """
-    return df.count() <= slice_rows(df.sparkSession)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 

@@ -15,7 +15,7 @@ def spark():
 @pytest.fixture
 def sliced(spark):
     """Force the path for hot keys by allowing only a few rows per task."""
-    from capstrata.session import SLICE_ROWS_KEY
-    spark.conf.set(SLICE_ROWS_KEY, "7")
+    from capstrata.session import SLICES_KEY
+    spark.conf.set(SLICES_KEY, "7")
     yield spark
-    spark.conf.unset(SLICE_ROWS_KEY)
+    spark.conf.unset(SLICES_KEY)

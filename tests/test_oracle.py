@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from capstrata.plans.catalog import QUERIES
-from capstrata.session import SLICE_ROWS_KEY
+from capstrata.session import SLICES_KEY
 
 duckdb = pytest.importorskip("duckdb")
 DIR = "/root/testdata/sf0.001"
@@ -47,8 +47,8 @@ def test_query(spark, con, name):
 
 @pytest.mark.parametrize("name", SLICED)
 def test_query_sliced(spark, con, name):
-    spark.conf.set(SLICE_ROWS_KEY, "25")
+    spark.conf.set(SLICES_KEY, "25")
     try:
         agree(spark, con, name)
     finally:
-        spark.conf.unset(SLICE_ROWS_KEY)
+        spark.conf.unset(SLICES_KEY)

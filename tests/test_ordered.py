@@ -5,8 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from capstrata.operators.intervals import interval_join, interval_stats
-from capstrata.operators.ordered import group_diameter, quantiles, runs_of, sequence_over
-from capstrata.session import SLICE_ROWS_KEY
+from capstrata.operators.ordered import SLICE, group_diameter, quantiles, runs_of, sequence_over, with_slices
+from capstrata.session import SLICES_KEY
 
 
 def rows(seed=3):
@@ -23,11 +23,11 @@ def test_sequence_same_under_slicing(spark):
         return sorted(tuple(r) for r in out.collect())
 
     plain = run()
-    spark.conf.set(SLICE_ROWS_KEY, "7")
+    spark.conf.set(SLICES_KEY, "7")
     try:
         assert run() == plain
     finally:
-        spark.conf.unset(SLICE_ROWS_KEY)
+        spark.conf.unset(SLICES_KEY)
     hot = [r for r in plain if r[0] == "hot"]
     assert sorted(r[3] for r in hot) == list(range(len(hot)))
 
@@ -76,3 +76,18 @@ def test_interval_gaps_keep_their_position(sliced):
     assert (got[0]["sample_count"], got[0]["range_start"], got[0]["range_end"], got[0]["rms_magnitude"]) == (3, 2, 5, 5.0)
     assert (got[1]["sample_count"], got[1]["range_start"], got[1]["range_end"], got[1]["rms_magnitude"]) == (0, 5, 5, None)
     assert got[2]["boundary_covered"] is False and got[0]["boundary_covered"] is True
+
+
+def test_one_key_and_an_outlier_leave_no_large_slice(spark):
+    """99 % of the rows in one key, and one value far away: slices stay even, for numbers and for text."""
+    n = 8000
+    data = spark.range(n).select(F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("k"), F.when(F.col("id") == 7, F.lit(1e15)).otherwise(F.col("id") * 0.5).alias("t"), F.format_string("name-%05d", "id").alias("s"), F.lit(0).alias("same"))
+    spark.conf.set(SLICES_KEY, "8")
+    try:
+        for order in (["t"], ["s"], ["same", "s"]):
+            sizes = [r["count"] for r in with_slices(data, ["k"], order).groupBy("k", SLICE).count().collect()]
+            assert max(sizes) <= 2 * n / 8
+            ranks = sequence_over(data, ["k"], order, rank="pos").where("k = 'hot'").select("pos").collect()
+            assert sorted(r["pos"] for r in ranks) == list(range(len(ranks)))
+    finally:
+        spark.conf.unset(SLICES_KEY)

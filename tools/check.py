@@ -32,8 +32,8 @@ def main():
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     spark = local_session("check", cpus=8)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    if os.environ.get("SLICE_ROWS"):
-        spark.conf.set("spark.capstrata.sliceRows", os.environ["SLICE_ROWS"])
+    if os.environ.get("SLICES"):
+        spark.conf.set("spark.capstrata.slices", os.environ["SLICES"])
     bad = 0
     for n in names:
         q = QUERIES[n]
