@@ -215,19 +215,20 @@ def plan_raster(points: DataFrame, width: int = 1400, height: int = 1000) -> Dat
     return px.withColumn("grey", F.floor(grey))
 
 
-def line_suggestions(points: DataFrame, lines: DataFrame, policy: PlanPolicy = PlanPolicy(), rounds: int = 6,
+def line_suggestions(points: DataFrame, lines: DataFrame, policy: PlanPolicy = PlanPolicy(), tolerance: float = 1e-9,
                      huber_m: float = 1.345) -> tuple[DataFrame, DataFrame]:
     """Robust lines through persistent wall points, and their supported spans.
 
     ``points`` has plane_index, u, v, h and a source row per voxel; ``lines`` has the source
     direction su, sv per plane. Each round is one weighted covariance aggregate; only one
-    row per plane is kept between rounds. Returns (diagnostics, spans).
+    row per plane is kept between rounds. Reweighting goes on until no line's robust cost falls
+    by more than ``tolerance`` of itself; the cost never rises, so it ends. Returns (diagnostics, spans).
     """
     k = ["capture_id", "plane_index"]
     pts = stage(points.join(lines.select(*k), k, "left_semi").select(*k, "u", "v", "h"))
     weighted = pts.withColumn("_w", F.lit(1.0))
-    fit = None
-    for _ in range(rounds):
+    fit = cost = None
+    while True:
         w, u, v = F.col("_w"), F.col("u"), F.col("v")
         m = weighted.groupBy(*k).agg(
             F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * u).alias("su"), F.sum(w * v).alias("sv"),
@@ -240,7 +241,12 @@ def line_suggestions(points: DataFrame, lines: DataFrame, policy: PlanPolicy = P
         fit = stage(m.select(*k, "n", cu.alias("ou"), cv.alias("ov"), F.cos(turn).alias("fu"), F.sin(turn).alias("fv")))
         off = F.abs((F.col("v") - F.col("ov")) * F.col("fu") - (F.col("u") - F.col("ou")) * F.col("fv"))
         weighted = pts.join(fit.drop("n"), k).withColumn("_r", off).withColumn(
-            "_w", F.when(F.col("_r") <= huber_m, 1.0).otherwise(F.lit(huber_m) / F.col("_r"))).drop("ou", "ov", "fu", "fv", "_r")
+            "_w", F.when(F.col("_r") <= huber_m, 1.0).otherwise(F.lit(huber_m) / F.col("_r"))).drop("ou", "ov", "fu", "fv")
+        loss = F.when(F.col("_r") <= huber_m, F.col("_r") * F.col("_r") / 2).otherwise(huber_m * (F.col("_r") - huber_m / 2))
+        before, cost = cost, stage(weighted.groupBy(*k).agg(F.sum(loss).alias("cost")))
+        weighted = weighted.drop("_r")
+        if before is not None and cost.join(before.withColumnRenamed("cost", "before"), k).where(F.col("before") - F.col("cost") > tolerance * F.col("before")).isEmpty():
+            break
     f = fit.join(lines, k)
     cosine = F.col("fu") * F.col("su") + F.col("fv") * F.col("sv")
     flip = F.when(cosine < 0, -1.0).otherwise(1.0)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import struct
-import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -205,53 +203,6 @@ def scan_frame_images(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
         "file", F.lit("FRAME_NAME_INVALID").alias("code"))
 
 
-def _unfilter(raw: bytes, width: int, height: int, step: int) -> np.ndarray:
-    """Undo the PNG scanline filters of a grey image with ``step`` bytes per pixel."""
-    stride = width * step
-    rows = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
-    out = np.zeros((height, stride), np.uint8)
-    before = np.zeros(stride, np.uint8)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:].copy()
-        if kind == 1:
-            line = np.add.accumulate(line.reshape(width, step), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind == 2:
-            line = line + before
-        elif kind in (3, 4):
-            for i in range(stride):
-                a = int(line[i - step]) if i >= step else 0
-                b = int(before[i])
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    c = int(before[i - step]) if i >= step else 0
-                    guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                line[i] = (int(line[i]) + guess) & 255
-        elif kind:
-            raise ValueError("unknown PNG filter")
-        out[y] = before = line
-    return out
-
-
-def _grey_png(data: bytes) -> np.ndarray:
-    """Pixels of an 8 or 16 bit grey PNG without interlacing."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, packed, width, height, depth = 8, b"", 0, 0, 0
-    while at < len(data):
-        size, kind = struct.unpack(">I4s", data[at:at + 8])
-        body = data[at + 8:at + 8 + size]
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if colour or interlace or depth not in (8, 16):
-                raise ValueError("only plain grey PNG is read")
-        elif kind == b"IDAT":
-            packed += body
-        at += 12 + size
-    rows = _unfilter(zlib.decompress(packed), width, height, depth // 8)
-    return rows.view(">u2").astype(np.int64) if depth == 16 else rows.astype(np.int64)
-
-
 def _pixels(decode: Callable[[bytes], np.ndarray], value: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -262,13 +213,6 @@ def _pixels(decode: Callable[[bytes], np.ndarray], value: str) -> Callable:
     return run
 
 
-def scan_depth_rasters(spark: SparkSession, folder: str) -> DataFrame:
-    """Pixel table of grey PNG rasters; one image is decoded at a time inside a task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("file"), "content")
-    return files.mapInPandas(_pixels(_grey_png, "value"), "file string, y bigint, x bigint, value bigint").withColumn(
-        "frame", F.regexp_extract("file", r"(\d+)\.[^./]*$", 1).cast("bigint"))
-
-
 def _float_array(data: bytes) -> np.ndarray:
     """``width&height&channels&`` header and column-major little-endian floats."""
     head, at = [], 0

@@ -34,7 +34,7 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
 
 
-def publish_once(spark: SparkSession, tables: dict[str, DataFrame], root: str, capture_id: str, *, schema: str = "canonical-1",
+def publish_once(spark: SparkSession, tables: dict[str, DataFrame], root: str, capture_id: str, *, schema: str = "canonical-capture-1",
                  checks: dict[str, DataFrame] | None = None, sources: list[str] | None = None) -> str:
     """Write the tables of a capture once.
 
@@ -67,7 +67,7 @@ def publish_once(spark: SparkSession, tables: dict[str, DataFrame], root: str, c
 
 
 # Schema versions a reader accepts.
-KNOWN_SCHEMAS = ["canonical-1", "canonical-2"]
+KNOWN_SCHEMAS = ["canonical-capture-1", "canonical-capture-2"]
 
 
 def open_capture(spark: SparkSession, root: str, table: str) -> DataFrame:
