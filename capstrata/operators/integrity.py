@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,81 +208,78 @@ def expanded_size_violations(members: DataFrame, limit: int, member_limit: int)
         "code", F.when(F.col("members") > member_limit, "TOO_MANY_FILES").otherwise("CAPTURE_TOO_LARGE"))
 
 
+#: Which Spark types carry a declared type.
+CARRIERS = {
+    "integer": (T.IntegerType, T.LongType, T.ShortType), "number": (T.NumericType,), "string": (T.StringType,), "boolean": (T.BooleanType,),
+    "array": (T.ArrayType,), "object": (T.StructType, T.MapType),
+}
+#: Keywords that judge a present value alone: rule code and predicate of the value and the keyword's argument.
+VALUE_RULES: dict[str, tuple[str, Callable[[Column, Any], Column]]] = {
+    "const": ("OTHER_VALUE", lambda v, a: v != F.lit(a)),
+    "enum": ("UNLISTED_VALUE", lambda v, a: ~v.isin(*a)),
+    "minimum": ("TOO_SMALL", lambda v, a: v < a),
+    "maximum": ("TOO_LARGE", lambda v, a: v > a),
+    "pattern": ("WRONG_FORM", lambda v, a: ~v.rlike(a if a.startswith("^") else f"^(?:{a})")),
+    "minLength": ("TOO_SHORT", lambda v, a: F.length(v) < a),
+    "minItems": ("TOO_FEW", lambda v, a: F.size(v) < a),
+    "maxItems": ("TOO_MANY", lambda v, a: F.size(v) > a),
+}
+#: A rule of a contract: where it holds, its code, and what breaks it, given the column it is applied to.
+Rule = tuple[str, str, Callable[[Column], Column]]
+
+
+def contract_rules(kind: T.DataType, contract: dict, path: str, optional: bool = False, own: frozenset[str] = frozenset()) -> list[Rule]:
+    """All rules that a contract sets for a value of this Spark type, those of its parts included.
+
+    The parts of objects are reached by name; items of arrays and values of maps are judged one by one, whatever
+    they are, and a rule is broken when any of them breaks it. ``own`` names fields the contract need not declare.
+    """
+    declared = contract.get("type", [])
+    names = [declared] if isinstance(declared, str) else list(declared)
+    if any(n != "null" for n in names) and not any(isinstance(kind, CARRIERS[n]) for n in names if n != "null"):
+        return [(path, "WRONG_TYPE", lambda v: v.isNotNull())]
+    out: list[Rule] = []
+    if names and "null" not in names and not optional:
+        out.append((path, "WRONG_TYPE", lambda v: v.isNull()))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        out.append((path, "NOT_FINITE", lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    for word, (code, breaks) in VALUE_RULES.items():
+        if word in contract:
+            out.append((path, code, lambda v, breaks=breaks, a=contract[word]: v.isNotNull() & breaks(v, a)))
+    part = lambda name: f"{path}.{name}" if path else name
+    extra = contract.get("additionalProperties", True)
+    if isinstance(kind, T.ArrayType) and "items" in contract:
+        for where, code, breaks in contract_rules(kind.elementType, contract["items"], f"{path}[]"):
+            out.append((where, code, lambda v, breaks=breaks: F.exists(v, lambda x: breaks(x))))
+    elif isinstance(kind, T.MapType) and isinstance(extra, dict):
+        for where, code, breaks in contract_rules(kind.valueType, extra, part("*")):
+            out.append((where, code, lambda v, breaks=breaks: F.exists(F.map_values(v), lambda x: breaks(x))))
+    elif isinstance(kind, T.StructType):
+        known, needed = contract.get("properties", {}), contract.get("required", [])
+        there = {f.name: f.dataType for f in kind.fields}
+        out += [(part(n), "REQUIRED", lambda v: v.isNotNull()) for n in needed if n not in there]
+        for name, inner in there.items():
+            if name in known:
+                rules = contract_rules(inner, known[name], part(name), name not in needed)
+            elif isinstance(extra, dict):
+                rules = contract_rules(inner, extra, part(name), True)
+            else:
+                rules = [(part(name), "NOT_DECLARED", lambda v: v.isNotNull())] if extra is False and name not in own else []
+            out += [(where, code, lambda v, name=name, breaks=breaks: v.isNotNull() & breaks(v[name])) for where, code, breaks in rules]
+    return out
+
+
 def validate_record(rows: DataFrame, schema: dict, key: str) -> DataFrame:
-    """Violations of a document contract, one row each, from predicates made of the schema.
+    """Broken rules of a document contract, one row each ("place: RULE"), from predicates made of the schema.
 
-    Understands type (array of types included), enum, const, minimum, maximum, pattern,
-    minLength, minItems, maxItems, items, nested properties, required and
-    additionalProperties. Nested structs are checked field by field.
+    Understands type (lists of types included), enum, const, minimum, maximum, pattern, minLength, minItems, maxItems,
+    items, properties, required and additionalProperties (yes, no, or a schema), at any depth.
     """
-    checks: list[Column] = []
-
-    def add(cond: Column, path: str, rule: str) -> None:
-        checks.append(F.when(F.coalesce(cond, F.lit(False)), F.lit(f"{path}: {rule}")))
-
-    kinds = {"integer": (T.IntegerType, T.LongType, T.ShortType), "number": (T.NumericType,), "string": (T.StringType,),
-             "boolean": (T.BooleanType,), "array": (T.ArrayType,), "object": (T.StructType, T.MapType)}
-
-    def walk(col: Column, dtype: T.DataType, rule: dict, path: str) -> None:
-        present = col.isNotNull()
-        want = rule.get("type")
-        names = [want] if isinstance(want, str) else list(want or [])
-        if names and not any(isinstance(dtype, kinds[n]) for n in names if n != "null"):
-            add(present, path, f"expected {'/'.join(names)}")
-            return
-        if names and "null" not in names and not rule.get("nullable"):
-            add(~present, path, f"expected {'/'.join(names)}")
-        if "const" in rule:
-            add(present & (col != F.lit(rule["const"])), path, "const mismatch")
-        if "enum" in rule:
-            add(present & ~col.isin(*rule["enum"]), path, "not in enum")
-        if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
-            add(F.isnan(col) | (F.abs(col) == float("inf")), path, "non-finite number")
-        if "minimum" in rule:
-            add(col < rule["minimum"], path, "below minimum")
-        if "maximum" in rule:
-            add(col > rule["maximum"], path, "above maximum")
-        if "pattern" in rule:
-            anchored = rule["pattern"] if rule["pattern"].startswith("^") else "^(?:" + rule["pattern"] + ")"
-            re.compile(anchored)
-            add(~col.rlike(anchored), path, "pattern mismatch")
-        if "minLength" in rule:
-            add(F.length(col) < rule["minLength"], path, "too short")
-        if isinstance(dtype, T.ArrayType):
-            if "minItems" in rule:
-                add(F.size(col) < rule["minItems"], path, "too few items")
-            if "maxItems" in rule:
-                add(F.size(col) > rule["maxItems"], path, "too many items")
-            item = rule.get("items", {})
-            if "enum" in item:
-                add(F.exists(col, lambda x: ~x.isin(*item["enum"])), f"{path}[]", "not in enum")
-            if "minimum" in item:
-                add(F.exists(col, lambda x: x < item["minimum"]), f"{path}[]", "below minimum")
-            if "maximum" in item:
-                add(F.exists(col, lambda x: x > item["maximum"]), f"{path}[]", "above maximum")
-            if "pattern" in item:
-                add(F.exists(col, lambda x: ~x.rlike(item["pattern"])), f"{path}[]", "pattern mismatch")
-        if isinstance(dtype, T.StructType):
-            fields(dtype, rule, path, lambda n: col[n], present)
-
-    def fields(struct: T.StructType, rule: dict, path: str, get, present: Column) -> None:
-        have = {f.name: f.dataType for f in struct.fields}
-        props = rule.get("properties", {})
-        prefix = f"{path}." if path else ""
-        for name in rule.get("required", []):
-            if name not in have:
-                add(present, f"{prefix}{name}", "missing")
-        for name, dtype in have.items():
-            if name in props:
-                need = name in rule.get("required", [])
-                sub = dict(props[name]) if need else {**props[name], "nullable": True}
-                walk(get(name), dtype, sub, f"{prefix}{name}")
-            elif rule.get("additionalProperties", True) is False and not (not path and name == key):
-                add(get(name).isNotNull(), f"{prefix}{name}", "unexpected")
-
-    fields(rows.schema, schema, "", F.col, F.lit(True))
-    return rows.select(F.col(key).cast("string").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("violation")).withColumn(
-        "code", F.lit("INVALID_DOCUMENT"))
+    record = F.struct(*[F.col(c) for c in rows.columns])
+    rules = contract_rules(rows.schema, schema, "", own=frozenset([key]))
+    found = [F.when(F.coalesce(breaks(F.col("_record")), F.lit(False)), F.lit(f"{place}: {code}")) for place, code, breaks in rules]
+    return rows.select(F.col(key).cast("string").alias("id"), record.alias("_record")).select(
+        "id", F.explode(F.array_compact(F.array(*found))).alias("violation"), F.lit("INVALID_DOCUMENT").alias("code"))
 
 
 # Roles each consumer profile may read.

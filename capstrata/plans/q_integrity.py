@@ -203,14 +203,40 @@ ORDER_CONTRACT = {
 
 
 @query("record_violations", sql="""
-    SELECT CAST(o_orderkey AS VARCHAR) AS id, 'o_orderstatus: not in enum' AS violation, 'INVALID_DOCUMENT' AS code FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
-    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_totalprice: below minimum', 'INVALID_DOCUMENT' FROM orders WHERE o_totalprice < 1000
-    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_totalprice: above maximum', 'INVALID_DOCUMENT' FROM orders WHERE o_totalprice > 400000
-    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_orderpriority: pattern mismatch', 'INVALID_DOCUMENT' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')""")
+    SELECT CAST(o_orderkey AS VARCHAR) AS id, 'o_orderstatus: UNLISTED_VALUE' AS violation, 'INVALID_DOCUMENT' AS code FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_totalprice: TOO_SMALL', 'INVALID_DOCUMENT' FROM orders WHERE o_totalprice < 1000
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_totalprice: TOO_LARGE', 'INVALID_DOCUMENT' FROM orders WHERE o_totalprice > 400000
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_orderpriority: WRONG_FORM', 'INVALID_DOCUMENT' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')""")
 def record_violations(v):
     return ig.validate_record(v.table("orders"), ORDER_CONTRACT, "o_orderkey")
 
 
+ACCOUNT_CONTRACT = {
+    "properties": {
+        "account": {"type": "object", "properties": {"name": {"type": "string", "pattern": "Customer#0*[1-9]\\d?0$"}}, "required": ["name", "iban"], "additionalProperties": False},
+        "marks": {"type": "array", "minItems": 2, "items": {"type": "object", "properties": {"segment": {"enum": ["BUILDING", "MACHINERY"]}, "nation": {"maximum": 20}}}},
+        "limits": {"type": "object", "additionalProperties": {"type": "number", "minimum": 0}},
+    },
+    "additionalProperties": False,
+}
+
+
+@query("nested_record_violations", sql="""
+    WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, * FROM customer), v AS (
+      SELECT id, 'account.iban: REQUIRED' AS violation FROM c UNION ALL SELECT id, 'account.balance: NOT_DECLARED' FROM c
+      UNION ALL SELECT id, 'account.name: WRONG_FORM' FROM c WHERE NOT regexp_matches(c_name, '^Customer#0*[1-9]\\d?0$')
+      UNION ALL SELECT id, 'marks: TOO_FEW' FROM c WHERE c_nationkey % 3 = 0
+      UNION ALL SELECT id, 'marks[].segment: UNLISTED_VALUE' FROM c WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+      UNION ALL SELECT id, 'marks[].nation: TOO_LARGE' FROM c WHERE c_nationkey > 20
+      UNION ALL SELECT id, 'limits.*: TOO_SMALL' FROM c WHERE c_acctbal < 0)
+    SELECT id, violation, 'INVALID_DOCUMENT' AS code FROM v""")
+def nested_record_violations(v):
+    mark = F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    c = v.table("customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("account"),
+                                   F.when(F.col("c_nationkey") % 3 == 0, F.array(mark)).otherwise(F.array(mark, mark)).alias("marks"), F.create_map(F.lit("credit"), F.col("c_acctbal")).alias("limits"))
+    return ig.validate_record(c, ACCOUNT_CONTRACT, "c_custkey")
+
+
 @query("exact_numbers", sql=r"""
     WITH s AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN n_chars || '.500000' WHEN 2 THEN 'NaN' WHEN 3 THEN ' ' || n_chars || '.000 ' WHEN 4 THEN lang
       WHEN 5 THEN n_chars || '.0000005' WHEN 6 THEN '1e-7' WHEN 7 THEN '17000000000000' || lpad(CAST(n_chars % 100000 AS VARCHAR), 5, '0') WHEN 8 THEN (n_chars % 9 + 1) || '23456789012345.5' WHEN 9 THEN '-1.0000001' ELSE '12e2' END AS raw FROM documents)
