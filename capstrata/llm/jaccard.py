@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ PARTS = 64
 #: The set of documents to read again is a bitmap of this many slots: fixed in size, and only too large a set.
 SLOTS = 1 << 22
 #: Rounds in which every document meets one other per shared prefix shingle, before the round that meets all others.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -164,6 +165,13 @@ def can_link(rule: JaccardRule, a: str, b: str) -> Column:
     return length & (shared >= rule.least_overlap(na, nb))
 
 
+def first_common(rule: JaccardRule, a: str, b: str) -> Column:
+    """Whether the token is the first that both prefixes have: a pair then shows up once, and shares nothing before it."""
+    common = F.array_intersect(f"{a}.prefix", f"{b}.prefix")
+    enough = F.least(f"{a}.left", f"{b}.left") >= rule.least_overlap(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    return enough & (F.element_at(common, 1) == F.col(f"{a}.token"))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
     """The linked ones of the candidate pairs (a, b); the suffix filter goes before the whole sets are moved.
 
@@ -189,35 +197,42 @@ def linked_sets(entries: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataF
     is missed; per shingle only the sets outside its largest component are joined with all others.
     """
     vertices = sets.select("node")
-    comps, edges, seen = vertices.select("node", F.col("node").alias("component")), None, None
+    comps, links = vertices.select("node", F.col("node").alias("component")), []
+    seen: list[DataFrame] = []
 
     def meet(pairs: DataFrame) -> bool:
-        nonlocal comps, edges, seen
+        """Verify pairs that are new; whether any is linked."""
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        fresh_pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = stage(verify(fresh_pairs, sets, rule))
-        seen = fresh_pairs if seen is None else seen.union(fresh_pairs)
-        if found.isEmpty():
-            return False
-        edges = found if edges is None else edges.union(found)
-        comps = stage(connected_components(vertices, edges, [], "node", "a", "b"))
-        return True
-
-    last = PIVOT_ROUNDS
-    for r in range(last + 1):
+        for s in seen:
+            pairs = pairs.join(s, ["a", "b"], "left_anti")
+        seen.append(stage(pairs))
+        links.append(stage(verify(seen[-1], sets, rule)))
+        return not links[-1].isEmpty()
+
+    def connected() -> DataFrame:
+        return connected_components(vertices, reduce(DataFrame.union, links), [], "node", "a", "b")
+
+    apart = F.col("x.component") != F.col("y.component")
+    for r in range(PIVOT_ROUNDS):
         e = stage(live(live(entries.join(comps, "node"))))
-        apart = F.col("x.component") != F.col("y.component")
-        if r < last:
-            order = F.xxhash64(F.lit(r), "token", "node") if r else F.col("node")
-            pivot = e.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "left", "component", "largest")).alias("p")).select("token", "p.*")
-            meet(e.alias("x").join(pivot.alias("y"), "token").where(apart & can_link(rule, "x", "y")))
-        else:
-            sizes = e.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-            largest = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
-            outside = e.join(largest, "token").where("component <> main")
-            once = (F.col("y.component") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
-            meet(outside.alias("x").join(e.alias("y"), "token").where(apart & once & can_link(rule, "x", "y")))
+        order = F.xxhash64(F.lit(r), "token", "node") if r else F.col("node")
+        pivot = e.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "left", "component", "largest")).alias("p")).select("token", "p.*")
+        found = meet(e.alias("x").join(pivot.alias("y"), "token").where(apart & can_link(rule, "x", "y")))
         unstage(e)
+        if found and r < PIVOT_ROUNDS - 1:  # one step of the smallest label: equal labels are connected, which is all that is asked here
+            both = links[-1].select(F.col("a").alias("node"), F.col("b").alias("other")).union(links[-1].select("b", "a"))
+            met = both.join(comps.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("low"))
+            comps = stage(comps.join(met, "node", "left").select("node", F.least("component", "low").alias("component")))
+    comps = stage(connected()) if links else comps
+    prefixes = entries.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p")).select("node", F.col("p.token").alias("prefix"))
+    e = stage(live(live(entries.join(comps, "node"))).join(prefixes, "node"))
+    sizes = e.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
+    outside = e.join(largest, "token").where("component <> main")
+    once = (F.col("y.component") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
+    if meet(outside.alias("x").join(e.alias("y"), "token").where(apart & once & can_link(rule, "x", "y") & first_common(rule, "x", "y"))):
+        comps = stage(connected())
+    unstage(e, *seen)
     return comps
 
 
@@ -239,7 +254,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, rule: JaccardRule) ->
     entries = prefix_entries(sets, rule)
     comps = linked_sets(entries, sets, rule)
     lows = comps.join(nodes.select("node", "low"), "node")
-    least = lows.groupBy("component").agg(F.min("low").alias("least"))
+    least = stage(lows.groupBy("component").agg(F.min("low").alias("least")))  # staged, so that a hot component can be split in the join
     ids = nodes.join(comps, "node", "left").join(least, "component", "left").select("k1", "k2", F.coalesce("least", "low").alias("component_id"))
     ids = stage(ids)
     unstage(entries, sets)
