@@ -96,8 +96,47 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
 }
 
+#: Twin of the Jaccard join: shingles as text, all pairs that share one, and everything reachable.
+_JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {JOIN_RULE.words} THEN list_distinct(list_transform(range(1, len(w) - {JOIN_RULE.words - 2}), lambda i: array_to_string(w[i:i + {JOIN_RULE.words - 1}], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {JOIN_RULE.den} * c >= {JOIN_RULE.num} * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT y, root FROM r JOIN both_ways ON doc_id = x)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY ALL) c USING (doc_id)"""
+
+#: Twin of the range join: the cosine of all pairs, and everything reachable.
+_NEAR = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+k AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT x, count(*) AS n FROM k GROUP BY ALL),
+r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT y, root FROM r JOIN k ON vec_id = x),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY ALL)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n ON vec_id = x"""
+
+#: Word-for-word twin of the line rule: lists instead of hashes, near lines by common deletion variants.
+_LINES = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS line FROM raw),
+l AS (SELECT {'d': doc_id, 'p': pos} AS place, list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+'), lambda w: w <> '') AS words FROM line),
+u AS (SELECT words, min(place) AS first FROM l WHERE len(words) >= 3 GROUP BY words),
+v AS (SELECT words, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[1:i - 1], words[i + 1:]) END AS variant
+      FROM (SELECT words, first, unnest(range(0, len(words) + 1)) AS i FROM u WHERE len(words) >= 10)),
+near AS (SELECT DISTINCT a.words FROM v a JOIN v b ON a.variant = b.variant AND (a.i = b.i OR a.i = 0 OR b.i = 0) AND b.first < a.first),
+dropped AS (SELECT l.place.d AS doc_id, l.place.p AS pos FROM l JOIN u USING (words) LEFT JOIN near ON near.words = l.words WHERE near.words IS NOT NULL OR l.place > u.first),
+by_doc AS (SELECT doc_id, count(*)::INT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS lines FROM dropped GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INT AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(lines, '') AS dropped_lines
+FROM documents LEFT JOIN by_doc USING (doc_id)"""
+
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
 LLM_ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": _JACCARD,
+    "op7_embedding_near_dedup": _NEAR,
+    "op9_line_dedup": _LINES,
     "op5_source_mixing": f"""
 WITH mass AS (SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS m, {_WEIGHT}::DOUBLE AS w FROM documents GROUP BY source),
 rate AS (SELECT source, w / (SELECT sum(w) FROM mass) * (SELECT sum(m) FROM mass) / m AS r FROM mass),
