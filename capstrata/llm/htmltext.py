@@ -117,7 +117,14 @@ def named(attrs: dict[str, str]) -> set[str]:
 
 
 def apart(page: Page) -> list[bool]:
-    """Which elements, with all they hold, belong to an article's surroundings by their tag, name or state."""
+    """Which elements, with all they hold, belong to an article's surroundings by their tag, name or state.
+
+    A name does not count on an element that holds the page's main part or headline: it describes the layout there
+    ("no-sidebar", "ad-free").
+    """
+    heads = [0]
+    for tag in page.tags:
+        heads.append(heads[-1] + (tag in ("h1", "main")))
     out, inside = [False] * len(page.tags), [False] * len(page.tags)
     for i in range(1, len(page.tags)):
         tag, attrs, parent = page.tags[i], page.attrs[i], page.parents[i]
@@ -129,7 +136,7 @@ def apart(page: Page) -> list[bool]:
         elif attrs and tag not in ("html", "body", "main"):
             names = named(attrs)
             out[i] = (
-                bool(names & SURROUNDINGS) and (tag != "article" or bool(names & {"comment", "comments", "related", "promo", "sponsored", "ad", "teaser"}))
+                bool(names & SURROUNDINGS) and heads[page.ends[i]] == heads[i + 1] and (tag != "article" or bool(names & {"comment", "comments", "related", "promo", "sponsored", "ad", "teaser"}))
                 or bool(names & HEADS) and not inside[i]
                 or "hidden" in attrs or attrs.get("aria-hidden") == "true"
                 or "display:none" in attrs.get("style", "").replace(" ", "").lower()

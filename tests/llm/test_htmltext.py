@@ -17,6 +17,7 @@ text = lambda html: X.main_text(X.parse(html), set())
     ("<article><p>x</p><section class='comments'><article><p>reader</p></article></section></article>", "x"),
     ("<div id=cookie-notice>ok?</div><div class='post'><p>x</p></div><div class='sidebar-right'>s</div>", "x"),
     ("<div class=ad>buy</div><p>x</p><div role=banner>b</div><p hidden>h</p><p style='display: none'>n</p>", "x"),
+    ("<div class='page no-sidebar ad-free'><h1>T</h1><p>x</p><div class='sidebar'>s</div></div>", "T x"),
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a b c d"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
     ("<P CLASS=\"a>b\">x</P >y", "x y"), ("<p>a < b and c > d</p>", "a < b and c > d"), ("</p></div>x", "x"), ("<p>x<", "x<"), ("<a href='x>y", "y"),
     ("<head><title>T</title></head><body>x", "x"), ("<template>t</template><noscript>n</noscript>x<svg><text>v</text></svg>", "x"),
