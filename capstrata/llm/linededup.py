@@ -131,14 +131,15 @@ def repeated_lines(df: DataFrame, key: str, text: str, rule: LineRule = LineRule
     docs = versions(df, key, text).select("id", "version", "text")
     lines = line_rows(docs, rule)
     keys = [k.alias(f"k{i}") for i, k in enumerate(half_keys(rule))]
+    hashed = stage(lines.select("id", "version", "pos", *line_hashes(), *keys))  # texts are cut into words once
     unique = stage(
-        lines.select(*line_hashes(), place().alias("place"), *keys).groupBy("h1", "h2")
+        hashed.withColumn("place", place()).groupBy("h1", "h2")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"), *[F.any_value(f"k{i}").alias(f"k{i}") for i in range(4)])
     )
     near = near_earlier(docs, unique)
     doomed = unique.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left").where("near is not null or first < last")
     doomed = doomed.select("h1", "h2", "first", F.col("near").isNotNull().alias("all"), F.coalesce("near", "first").alias("kept"))
-    at = lines.select("id", "version", "pos", *line_hashes(), place().alias("place"))
+    at = hashed.select("id", "version", "pos", "h1", "h2", place().alias("place"))
     return stage(at.join(doomed, ["h1", "h2"]).where(F.col("all") | (F.col("place") > F.col("first"))).select("id", "version", "pos", "kept").distinct())
 
 
