@@ -258,14 +258,16 @@ def supported_views(v):
     return s.select("capture_id", "plane_index", "observations", "views", *r6c("baseline_m"), "supported")
 
 
-FLOOR_CELLS = _supported_sql(f"SELECT *, CAST(floor(u / 0.15) AS BIGINT) AS cx, CAST(floor(v / 0.15) AS BIGINT) AS cy FROM ({COORDS}) WHERE plane_index = 0", ["capture_id", "cx", "cy"], 2)
+# the given clouds are thin: half-metre cells, and one point lets a view count
+FLOOR = BoundaryPolicy(cell_m=0.5, min_points_per_view=1, min_span_m=0.5)
+FLOOR_CELLS = _supported_sql(f"SELECT *, CAST(floor(u / 0.5) AS BIGINT) AS cx, CAST(floor(v / 0.5) AS BIGINT) AS cy FROM ({COORDS}) WHERE plane_index = 0", ["capture_id", "cx", "cy"], 2, 1)
 
 
 @query("floor_cells", "cloud", "planes", "stations", sql=f"""SELECT capture_id, cx, cy, observations, views, {r6('baseline_m')} AS baseline_m FROM {FLOOR_CELLS} WHERE supported""")
 def floor_cells(v):
     lab = labels(v)
     coords = stage(bd.floor_coordinates(lab.where("plane_index = 0"), frames_of(v, lab)))
-    return bd.floor_cells(coords, v.stations, BOUNDARY).select("capture_id", "cx", "cy", "observations", "views", *r6c("baseline_m"))
+    return bd.floor_cells(coords, v.stations, FLOOR).select("capture_id", "cx", "cy", "observations", "views", *r6c("baseline_m"))
 
 
 WALL = BoundaryPolicy(min_points_per_view=1, min_wall_views=2)
@@ -344,7 +346,7 @@ def boundary_report(v):
     lab = labels(v)
     w, frames, coords = walls(v, lab)
     floor_points = lab.where("plane_index = 0")
-    cells = bd.floor_cells(bd.floor_coordinates(floor_points, frames), v.stations, BOUNDARY)
+    cells = bd.floor_cells(bd.floor_coordinates(floor_points, frames), v.stations, FLOOR)
     floor = bd.supported_views(floor_points, v.stations, ["capture_id"], 3, BOUNDARY)
     wall = bd.supported_views(lab.where("plane_index in (1, 2, 3)"), v.stations, ["capture_id", "plane_index"], 2, WALL)
     out = bd.boundary_report(floor, cells, wall, bd.wall_spans(coords, w, v.stations, frames, WALL))
