@@ -11,7 +11,8 @@ from capstrata.session import local_session  # noqa: E402
 
 HEADLINE = ["stream_timing", "slot_gaps", "sensor_interval_stats", "annotation_window_frames", "quality_flags", "selected_views", "covisible_partners",
             "track_metrics", "ratio_matches", "voxel_average", "plane_labels", "plane_view_samples", "depth_support", "zbuffer_visible", "region_roles",
-            "ceiling_height", "room_rectangle", "plan_raster", "dedupe_assets", "asset_identity", "audit_diff", "lineage_breaks"]
+            "ceiling_height", "room_rectangle", "plan_raster", "dedupe_assets", "asset_identity", "audit_diff", "lineage_breaks",
+            "two_core_views", "view_components", "cell_components", "revisit_pairs", "leave_one_out"]
 
 
 def main() -> None:
