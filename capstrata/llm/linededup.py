@@ -97,10 +97,11 @@ def near_earlier(docs: DataFrame, unique: DataFrame) -> DataFrame:
     """
     chosen = unique.join(suspects(unique), ["h1", "h2"]).select("h1", "h2", F.col("first").alias("place"))
     of_doc = chosen.groupBy(F.col("place.id").alias("d"), F.col("place.version").alias("v")).agg(F.collect_list(F.struct("place.pos", "h1", "h2", "place")).alias("wanted"))
-    found = docs.join(of_doc, F.col("id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).dropDuplicates(["id", "version"])
+    found = docs.join(of_doc, F.col("id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")))
     lines = stage(
         found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
         .select("w.h1", "w.h2", "w.place", words_of(F.element_at("lines", F.col("w.pos") + 1)).alias("words"))
+        .dropDuplicates(["h1", "h2"])  # repeated rows of a document give its lines again
     )
     entries = variants(lines)
     first = entries.groupBy("variant", "at").agg(F.min(F.struct("place", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -140,7 +141,9 @@ def repeated_lines(df: DataFrame, key: str, text: str, rule: LineRule = LineRule
     doomed = unique.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left").where("near is not null or first < last")
     doomed = doomed.select("h1", "h2", "first", F.col("near").isNotNull().alias("all"), F.coalesce("near", "first").alias("kept"))
     at = hashed.select("id", "version", "pos", "h1", "h2", place().alias("place"))
-    return stage(at.join(doomed, ["h1", "h2"]).where(F.col("all") | (F.col("place") > F.col("first"))).select("id", "version", "pos", "kept").distinct())
+    dropped = stage(at.join(doomed, ["h1", "h2"]).where(F.col("all") | (F.col("place") > F.col("first"))).select("id", "version", "pos", "kept").distinct())
+    unstage(hashed, unique, near)
+    return dropped
 
 
 def versions(df: DataFrame, key: str, text: str) -> DataFrame:
