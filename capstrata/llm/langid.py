@@ -133,7 +133,7 @@ def fit_languages(df: DataFrame, text: str, lang: str, min_share: float = 2.0 **
     words = stage(word_counts(texts))
     counted = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n").unionByName(gram_counts(words))
     counted = stage(counted)
-    totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    totals = stage(counted.groupBy("lang", "size").agg(F.sum("n").alias("total")))  # staged: its size is known, so it is joined without dealing a language to one task
     frequent = counted.join(totals, ["lang", "size"]).where(F.col("n") >= min_share * F.col("total")).select("size", "gram").distinct()
     rows = counted.join(frequent, ["size", "gram"]).join(totals, ["lang", "size"]).select("size", "gram", "lang", "n", "total")
     known = rows.orderBy("size", "gram", "lang").toPandas()
