@@ -59,19 +59,30 @@ def pick(letters: str, at: Column) -> Column:
 
 
 def chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def drawn(letters: str, seed: Column, n: Column) -> Column:
+    """n keyed characters; none where n is 0."""
+    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(at, lambda i: pick(letters, draw(F.concat(seed, F.lit("|more")), i, len(letters)))), "")
 
 
 def same_shape(value: Column, seed: Column) -> Column:
-    """Every letter and digit replaced by one of its kind (hexadecimal values stay hexadecimal); the rest stays."""
+    """Every letter and digit replaced by one of its kind (hexadecimal values stay hexadecimal); the rest stays.
+
+    A value of symbols alone has no letter to replace, so all of it gives way to letters, as do characters beyond ASCII.
+    """
     is_hex = value.rlike("^[0-9a-f]*$") & value.rlike("[0-9]") & value.rlike("[a-f]")
+    bare = ~value.rlike("[0-9A-Za-z]")
 
     def one(c: Column, i: Column) -> Column:
         return (
             F.when(is_hex & c.rlike("[a-f0-9]"), pick(CHARACTERS["hex"], draw(seed, i, 16)))
             .when(c.rlike("[0-9]"), pick(CHARACTERS["digit"], draw(seed, i, 10)))
             .when(c.rlike("[a-z]"), pick(CHARACTERS["lower"], draw(seed, i, 26)))
-            .when(c.rlike("[A-Z]"), pick(CHARACTERS["upper"], draw(seed, i, 26)))
+            .when(c.rlike(r"\p{Lu}"), pick(CHARACTERS["upper"], draw(seed, i, 26)))
+            .when(bare | c.rlike(r"[^\x00-\x7F]"), pick(CHARACTERS["lower"], draw(seed, i, 26)))
             .otherwise(c)
         )
 
@@ -87,36 +98,43 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(chars(digits)), one), F.lit(0), lambda a, x: a + x) % 10
 
 
-def card_digits(digits: Column, seed: Column) -> Column:
+def card_digits(digits: Column, seed: Column, longer: Column) -> Column:
     """New digits after the issuer's first one; a valid check digit stays valid and an invalid one invalid."""
-    inner = F.expr("transform(sequence(1, greatest(length(key) - 2, 1)), i -> i)")
+    inner = F.sequence(F.lit(1), F.greatest(F.length(digits) - 2, F.lit(1)) + longer)
     body = F.concat(F.substring(digits, 1, 1), F.array_join(F.transform(inner, lambda i: pick(CHARACTERS["digit"], draw(seed, i, 10))), ""))
     check = (10 - luhn_sum(F.concat(body, F.lit("0")))) % 10
     check = F.when(luhn_sum(digits) == 0, check).otherwise((check + 1 + draw(seed, F.lit("check"), 9)) % 10)
     return F.concat(body, check.cast("string"))
 
 
-def surrogate(kind: Column, key: Column, seed: Column) -> Column:
-    """The surrogate of an entity, before it takes a mention's letter case and separators."""
+def surrogate(kind: Column, key: Column, seed: Column, attempt: Column) -> Column:
+    """The surrogate of an entity, before it takes a mention's letter case and separators.
+
+    Later attempts draw from ever larger spaces, so that any number of entities finds surrogates: free text and names
+    grow from the third attempt on, phone numbers from the fifth, and formats of fixed length only from the tenth.
+    """
+    more = F.greatest(attempt - 1, F.lit(0)) * 2
+    digits_more, longer = F.greatest(attempt - 3, F.lit(0)), F.greatest(attempt - 8, F.lit(0))
     ip = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (draw(seed, i, 254) + 1).cast("string")), ".")
+    ip = F.when(longer == 0, ip).otherwise(F.concat(F.lit("fd"), drawn(CHARACTERS["hex"], seed, F.lit(2)), F.regexp_replace(drawn(CHARACTERS["hex"], seed, F.lit(30)).substr(3, 28), "(.{4})", ":$1")))
     first = F.split(kind, ":")
     script, role = F.element_at(first, 2), F.element_at(first, 3)
     name = F.lit(None).cast("string")
     for s, syllables in SYLLABLES.items():
         options = F.array(*map(F.lit, syllables))
-        stem = F.array_join(F.transform(F.sequence(F.lit(1), 2 + draw(seed, F.lit("length"), 2)), lambda i: F.element_at(options, draw(seed, i, len(syllables)) + 1)), "")
+        stem = F.array_join(F.transform(F.sequence(F.lit(1), 2 + draw(seed, F.lit("length"), 2) + more), lambda i: F.element_at(options, draw(seed, i, len(syllables)) + 1)), "")
         for r, ending in ENDINGS[s].items():
             name = F.when((script == s) & (role == r), F.concat(stem, F.lit(ending))).otherwise(name)
     return (
         F.when(kind == "ip", ip)
-        .when(kind == "card", card_digits(key, seed))
-        .when(kind == "phone", F.array_join(F.transform(chars(key), lambda c, i: F.when(i < 2, c).otherwise((draw(seed, i, 9) + 1).cast("string"))), ""))
-        .when(kind == "ssn", same_shape(key, seed))
-        .when(kind == "email", same_shape(F.substring_index(key, "@", 1), seed))
-        .when(kind == "domain", F.concat(same_shape(F.substring_index(key, ".", 1), seed), F.lit("-"), pick(CHARACTERS["lower"], draw(seed, F.lit("a"), 26)), pick(CHARACTERS["lower"], draw(seed, F.lit("b"), 26)), F.lit(".example")))
-        .when(kind == "iban", F.concat(F.substring(key, 1, 2), same_shape(F.expr("substring(key, 3)"), seed)))
+        .when(kind == "card", card_digits(key, seed, longer))
+        .when(kind == "phone", F.concat(F.array_join(F.transform(chars(key), lambda c, i: F.when(i < 2, c).otherwise((draw(seed, i, 9) + 1).cast("string"))), ""), drawn(CHARACTERS["digit"], seed, digits_more)))
+        .when(kind == "ssn", F.concat(same_shape(key, seed), drawn(CHARACTERS["digit"], seed, longer)))
+        .when(kind == "email", F.concat(same_shape(F.substring_index(key, "@", 1), seed), drawn(CHARACTERS["lower"], seed, more)))
+        .when(kind == "domain", F.concat(same_shape(F.substring_index(key, ".", 1), seed), F.lit("-"), pick(CHARACTERS["lower"], draw(seed, F.lit("a"), 26)), pick(CHARACTERS["lower"], draw(seed, F.lit("b"), 26)), drawn(CHARACTERS["lower"], seed, more), F.lit(".example")))
+        .when(kind == "iban", F.concat(F.substring(key, 1, 2), same_shape(F.expr("substring(key, 3)"), seed), drawn(CHARACTERS["digit"], seed, longer)))
         .when(kind.startswith("name"), name)
-        .otherwise(same_shape(key, seed))
+        .otherwise(F.concat(same_shape(key, seed), drawn(CHARACTERS["lower"], seed, more)))
     )
 
 
@@ -165,7 +183,7 @@ def shown_like(made: Column, kind: Column, shown: Column) -> Column:
         chars(shown), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substring(made, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i")))
         .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substring(made, a["i"], F.length(made))),  # a surrogate may be longer
     )
     bare = F.ltrim(shown)
     cased = F.when((F.upper(bare) == bare) & (F.lower(bare) != bare), F.upper(made))
@@ -180,24 +198,27 @@ def shown_like(made: Column, kind: Column, shown: Column) -> Column:
 def surrogates(entities: DataFrame, secret_key: str) -> DataFrame:
     """(kind, key, made) for distinct entities: keyed, distinct within a kind, and never equal to a real entity.
 
+    E-mail local parts are distinct within their domain, whose own surrogate is distinct: whole addresses are.
     Each round looks for surrogates that two entities share or that equal some entity's own value, lets the smallest
-    key keep a shared one and draws again for the others, until none is left. Rounds see a shrinking table of entities
-    to draw for; no entity is ever given up.
+    key keep a shared one and draws again for the others, from a larger space, until none is left. Rounds see a
+    shrinking table of entities to draw for; no entity is ever given up.
     """
-    made = lambda df: stage(df.withColumn("made", surrogate(F.col("kind"), F.col("key"), F.concat_ws("|", F.lit(secret_key), "kind", "key", "attempt"))))
-    real = entities.select("kind", F.when(F.col("kind") == "email", F.substring_index("key", "@", 1)).otherwise(F.col("key")).alias("made")).distinct()
+    is_email = F.col("kind") == "email"
+    entities = entities.select("kind", "key", F.when(is_email, F.substring_index("key", "@", -1)).otherwise("").alias("scope"))
+    made = lambda df: stage(df.withColumn("made", surrogate(F.col("kind"), F.col("key"), F.concat_ws("|", F.lit(secret_key), "kind", "key", "attempt"), F.col("attempt"))))
+    real = entities.select("kind", "scope", F.when(is_email, F.substring_index("key", "@", 1)).otherwise(F.col("key")).alias("made")).distinct()
     real = stage(real)
     settled, open_ = None, made(entities.withColumn("attempt", F.lit(0)))
     while not open_.isEmpty():
-        drawn = open_.groupBy("kind", "made").agg(F.min("key").alias("first")).join(real, ["kind", "made"], "left_anti")
+        free = open_.groupBy("kind", "scope", "made").agg(F.min("key").alias("first")).join(real, ["kind", "scope", "made"], "left_anti")
         if settled is not None:
-            drawn = drawn.join(settled, ["kind", "made"], "left_anti")
-        good = stage(open_.join(drawn.select("kind", "made", F.col("first").alias("key")), ["kind", "made", "key"]).select("kind", "key", "made"))
+            free = free.join(settled, ["kind", "scope", "made"], "left_anti")
+        good = stage(open_.join(free.select("kind", "scope", "made", F.col("first").alias("key")), ["kind", "scope", "made", "key"]).select("kind", "scope", "key", "made"))
         again = open_.join(good.select("kind", "key"), ["kind", "key"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("made")
         last, open_ = open_, made(again)
         unstage(last)
         settled = good if settled is None else settled.union(good)
-    return settled if settled is not None else entities.select("kind", "key", F.col("key").alias("made"))
+    return settled.drop("scope") if settled is not None else entities.select("kind", "key", F.col("key").alias("made"))
 
 
 def replace_entities(df: DataFrame, text: str, secret_key: str, count_out: str = "n_entities") -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from capstrata.llm import pii
 
 KEY = "test key"
@@ -73,5 +75,30 @@ def test_collisions_are_drawn_again(frame):
     assert len(got) == 25 and len(set(got.values())) == 25 and not set(got) & set(got.values())
 
 
+def test_masked_values_end(frame):
+    rows = [(1, "password: ********"), (2, "token=______"), (3, "pwd: секретное"), (4, "___@mail.com"), (5, "password: ••••••😀"), (6, "pwd=пароль7")]
+    got = run(frame, rows)
+    assert re.fullmatch("password: [a-z]{8}", got[1].text) and re.fullmatch("token=[a-z]{6}", got[2].text) and re.fullmatch("pwd: [a-z]{9}", got[3].text)
+    assert re.fullmatch(r"[a-z]{3}@[a-z]{4}-[a-z]{2}\.example", got[4].text)
+    assert re.fullmatch("password: [a-z]{7}", got[5].text) and re.fullmatch(r"pwd=[a-z]{6}\d", got[6].text)
+
+
+def test_small_spaces_grow(frame):
+    two = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [("email", f"{x}@one.org") for x in two] + [("email", f"{x}@two.org") for x in two[:324]]
+    rows += [("secret", f"****{i}*") for i in range(10)] + [("phone", f"12{i:03d}") for i in range(800)] + [("domain", f"m.s{i}.com") for i in range(20000)]
+    rows += [("name:Latin:family", f"surname{i}") for i in range(30000)]
+    got = pii.surrogates(frame(rows, "kind string, key string"), KEY).collect()
+    assert sorted((r.kind, r.key) for r in got) == sorted(rows)
+    scope = lambda r: (r.kind, r.key.split("@")[-1] if r.kind == "email" else "")
+    assert len({(*scope(r), r.made) for r in got}) == len(rows)
+    assert not {(*scope(r), r.made) for r in got} & {(*scope(r), r.key.split("@")[0]) for r in got}
+
+
+def test_longer_numbers_are_shown_whole(frame):
+    row = frame([("120987", "+1 20 98")], "made string, shown string").select(pii.shown_like(F.col("made"), F.lit("phone"), F.col("shown")).alias("x")).first()
+    assert row.x == "+1 20 987"
+
+
 def test_empty_table(frame):
     assert pii.replace_entities(frame([], "doc_id long, text string"), "text", KEY).collect() == []
