@@ -20,11 +20,15 @@ MALE_NAMES = ["Antonio", "Carlos", "Charles", "Daniel", "David", "Diego", "Franc
 
 NAME_WORD = r"\p{Lu}[\p{L}'’-]*\p{Ll}[\p{L}'’-]*"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+KEYWORD = r"password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth"
+OPENING = r"\s{0,3}(?:\\?[\"'])?"
+#: After an opening quote, everything up to the closing one of its line; quotes of JSON inside a string have a backslash.
+QUOTED = r"(?<=[^\\]\")(?:[^\"\\\r\n]|\\.){6,}+(?=\")|(?<=[^\\]')(?:[^'\\\r\n]|\\.){6,}+(?='(?![\p{L}\d]))|(?<=\\\")[^\"\\\r\n]{6,}+(?=\\\")"
 #: One pattern per type. The value is what a match covers; context stands in lookarounds.
 PATTERNS = {
-    "secret": r"(?<=(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"',;&<>]{6,200}"
-              r"|\bAKIA[0-9A-Z]{12,20}\b|\bgh[opsu]_[A-Za-z0-9]{20,80}\b|\bsk-[A-Za-z0-9_-]{16,120}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": rf"(?<=[=:\s\"'])(?<=[=:]{OPENING})(?<=(?i:{KEYWORD})(?:\\?[\"'])?\s{{0,3}}[=:]{OPENING})(?:{QUOTED}|[^\s\"',;&<>]{{6,}}+)"
+              r"|\bAKIA[0-9A-Z]{12,}+\b|\bgh[opsu]_[A-Za-z0-9_]{20,}+|\bsk-[A-Za-z0-9_-]{16,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -95,6 +96,29 @@ def test_small_spaces_grow(frame):
     assert not {(*scope(r), r.made) for r in got} & {(*scope(r), r.key.split("@")[0]) for r in got}
 
 
+def test_whole_secrets(frame):
+    random.seed(1)
+    long = lambda n: "".join(random.choice("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+    a, b, c, d, e, f = long(500), long(160), long(150), long(80), "correct horse, battery staple", long(40)
+    rows = [
+        (1, f"token={a} end"), (2, f"key sk-{b} end"), (3, f"gho_{c} end"), (4, f"to {d}@mail.example.com end"),
+        (5, '{"user": "joe", "password": "%s", "n": 1}' % e), (6, "{'token': '%s', 'n': 1}" % a), (7, r'{\"api_key\": \"%s\", \"n\": 1}' % f),
+        (8, f"token=eyJhbGciOi.{a}.{b}-_x end"), (9, "auth: 'tis so, and don't stop"), (10, f"password = {f} end"), (11, r'"pwd": "ab\"cd efgh" end'),
+        (12, f"x@{d}.{d}.a.b.c.d.e.f.g.example.com end"), (13, "x@foo.com-bar and y@foo.com.123 end"),
+    ]
+    got = {k: r.text for k, r in run(frame, rows).items()}
+    letters = "[A-Za-z0-9]"
+    for i, want in {
+        1: f"token={letters}{{500}} end", 2: f"key sk-{letters}{{160}} end|key {letters}{{2}}-{letters}{{160}} end", 3: f"{letters}{{3}}_{letters}{{150}} end",
+        4: f"to {letters}{{80}}@[a-z]+-[a-z]{{2}}\\.example end", 5: r'\{"user": "joe", "password": "[a-z]{7} [a-z]{5}, [a-z]{7} [a-z]{6}", "n": 1\}',
+        6: f"\\{{'token': '{letters}{{500}}', 'n': 1\\}}", 7: r'\{\\"api_key\\": \\"[A-Za-z0-9]{40}\\", \\"n\\": 1\}', 8: f"token={letters}{{10}}\\.{letters}{{500}}\\.{letters}{{160}}-_[a-z] end",
+        9: "auth: 'tis so, and don't stop", 10: f"password = {letters}{{40}} end", 11: r'"pwd": "[a-z]{2}\\"[a-z]{2} [a-z]{4}" end',
+        12: r"\w@[a-z0-9]+-[a-z]{2}\.example end".replace("[a-z0-9]", "[A-Za-z0-9]"), 13: r"\w@\w{3}-\w\w\.example-bar and \w@\w{3}-\w\w\.example\.123 end",
+    }.items():
+        assert re.fullmatch(want, got[i]), (i, got[i])
+        assert i == 9 or not any(x in got[i] for x in (a[400:], b[100:], c[:80], d[40:], "battery", f[20:], "efgh")), i
+
+
 def test_longer_numbers_are_shown_whole(frame):
     row = frame([("120987", "+1 20 98")], "made string, shown string").select(pii.shown_like(F.col("made"), F.lit("phone"), F.col("shown")).alias("x")).first()
     assert row.x == "+1 20 987"
