@@ -144,32 +144,51 @@ def apart(page: Page) -> list[bool]:
     return out
 
 
+def text_sizes(page: Page, out: list[bool]) -> list[int]:
+    """Characters of text in every subtree, without surroundings."""
+    n = [0] * len(page.tags)
+    for i in range(len(page.tags) - 1, -1, -1):
+        if not out[i]:
+            n[i] = sum(len(x.strip()) if isinstance(x, str) else n[x] for x in page.items[i])
+    return n
+
+
 def regions(page: Page, out: list[bool]) -> list[int]:
-    """The outermost articles; without one the main part, the marked body of an article, or the whole page."""
-    for fits in (
-        lambda i: page.tags[i] == "article",
-        lambda i: page.tags[i] == "main" or page.attrs[i].get("role") == "main",
-        lambda i: "articlebody" in page.attrs[i].get("itemprop", "").lower() or bool(named(page.attrs[i]) & {"article", "post", "entry", "story"}),
+    """The outermost articles; without one the main part, the marked body of an article, or the whole page.
+
+    Articles and named elements count only if one of them holds the headline or most of the text of the main part or
+    page around it, or if together they hold most of a page without a headline: else they are cards beside the text.
+    """
+    n = text_sizes(page, out)
+    headlines = [i for i in range(1, len(page.tags)) if page.tags[i] == "h1" and not out[i] and n[i]]
+    is_main = lambda i: page.tags[i] == "main" or page.attrs[i].get("role") == "main"
+    is_body = lambda i: "articlebody" in page.attrs[i].get("itemprop", "").lower()
+
+    def around(i: int) -> int:
+        while i and not is_main(i):
+            i = page.parents[i]
+        return n[i]
+
+    def holds_text(found: list[int]) -> bool:
+        if any(i <= x < page.ends[i] for x in headlines for i in found) or any(2 * n[i] >= around(i) for i in found):
+            return True
+        return not headlines and 2 * sum(n[i] for i in found) >= around(found[0])
+
+    for fits, sure in (
+        (lambda i: page.tags[i] == "article", lambda found: False),
+        (is_main, lambda found: True),
+        (lambda i: is_body(i) or bool(named(page.attrs[i]) & {"article", "post", "entry", "story"}), lambda found: any(map(is_body, found))),
     ):
         found, end = [], 0
         for i in range(1, len(page.tags)):
             if i >= end and not out[i] and fits(i):
                 found.append(i)
                 end = page.ends[i]
-        if found:
+        if found and (sure(found) or holds_text(found)):
             return found
     return [0]
 
 
-def text_sizes(page: Page, out: list[bool]) -> list[int]:
-    """Characters of text in every subtree, without surroundings."""
-    n = [0] * len(page.tags)
-    for i in range(len(page.tags) - 1, -1, -1):
-        if not out[i]:
-            n[i] = sum(len(x.strip()) if isinstance(x, str) else n[x] for x in page.items[i])
-    return n
-
-
 def subtree_hashes(page: Page) -> list[int]:
     """A 64-bit hash of every subtree: tags, names and texts, white space aside."""
     h = [0] * len(page.tags)

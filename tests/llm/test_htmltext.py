@@ -26,6 +26,18 @@ def test_main_text(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<main><h1>T</h1><p>the text</p><article class=card><h3>other</h3></article><article class=card><h3>more of it</h3></article></main>", "T the text other more of it"),
+    ("<body><div><p>a long text of its own</p></div><article>short</article></body>", "a long text of its own short"),
+    ("<div><p>a long text of its own</p></div><div class='post'>card</div>", "a long text of its own card"),
+    ("<body><div>welcome to the site</div><article><h1>T</h1>x</article></body>", "T x"),
+    ("<body><div>site</div><article>one one</article><article>two two</article></body>", "one one two two"),
+    ("<main><div>intro</div><article>all of the text</article></main><div>a very long list of other things on this site</div>", "all of the text"),
+])
+def test_region_holds_the_text(html, want):
+    assert text(html) == want
+
+
 def test_deep_and_long_pages():
     assert text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     words = " ".join(f"w{i}" for i in range(100000))
