@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capstrata.session import stage
+from capstrata.session import stage, unstage
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
@@ -199,10 +199,10 @@ def subtree_hashes(page: Page) -> list[int]:
     return h
 
 
-def candidates(page: Page, out: list[bool]) -> list[int]:
+def candidates(page: Page, out: list[bool], small: bool = True) -> list[int]:
     """Subtrees that may be a template: blocks with text that hold less than half of the page's main text.
 
-    Not among them are an article's own running text, whose passages may recur on other pages, and inline elements.
+    That bound is for counting; a block already known as a template goes from short pages too (small=False). Not among them are an article's own running text, whose passages may recur on other pages, and inline elements.
     """
     main = regions(page, out)
     n = text_sizes(page, out)
@@ -213,7 +213,7 @@ def candidates(page: Page, out: list[bool]) -> list[int]:
             own[i:page.ends[i]] = [True] * (page.ends[i] - i)
     return [
         i for i in range(1, len(page.tags))
-        if n[i] and 2 * n[i] < total and page.tags[i] not in INLINE and page.tags[i] not in ("html", "body", "br") and i not in main
+        if n[i] and (not small or 2 * n[i] < total) and page.tags[i] not in INLINE and page.tags[i] not in ("html", "body", "br") and i not in main
         and not (own[i] and page.tags[i] in RUNNING)
     ]
 
@@ -223,7 +223,7 @@ def main_text(page: Page, templates: set[int]) -> str:
     out = apart(page)
     if templates:
         h = subtree_hashes(page)
-        drop = {i for i in candidates(page, out) if h[i] in templates}
+        drop = {i for i in candidates(page, out, small=False) if h[i] in templates}
     else:
         drop = set()
     blocks: list[str] = []
@@ -251,47 +251,63 @@ def host_of(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class TemplateRule:
-    """A subtree is a template of its host when at least `min_pages` pages and `share` of the host's pages have it."""
+    """A subtree is a template of its host when at least `min_pages` pages and `share` of the host's pages have it.
+
+    From `many_pages` pages on no share is asked of a block that is no running text, however large the host is.
+    """
 
     min_pages: int = 5
     share: float = 0.2
+    many_pages: int = 50
 
 
-def site_templates(df: DataFrame, page_id: str, url: str, html: str, rule: TemplateRule) -> DataFrame:
-    """(host, hashes): the template subtrees of every host that has some.
+def page_key(html: Column) -> list[Column]:
+    """128 bits that stand for a page's html."""
+    return [F.xxhash64(html).alias("v1"), F.xxhash64(F.lit("second"), html).alias("v2")]
 
-    Counted by Spark over distinct pages. A page has a bounded number of blocks and a template takes a share of the
-    pages, so a host's list is at most (blocks per page / share) long, whatever the number of its pages.
-    """
-    pages = df.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(page_id).cast("string"), F.col(url), F.lit("")).alias("page"), F.col(html).alias("html"))
+
+def page_blocks(df: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """(host, page, v1, v2, hash, running, counts): the blocks of every page; those that count are less than half of it."""
+    pages = df.where(F.col(html).isNotNull()).select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(page_id).cast("string"), F.col(url), F.lit("")).alias("page"), *page_key(F.col(html)), F.col(html).alias("html"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for host, page_key, text in batch.itertuples(index=False):
+            for host, key, v1, v2, text in batch.itertuples(index=False):
                 page = parse(text)
-                h = subtree_hashes(page)
-                rows += [(host, page_key, x) for x in {h[i] for i in candidates(page, apart(page))}]
-            yield pd.DataFrame(rows, columns=["host", "page", "hash"])
+                h, out = subtree_hashes(page), apart(page)
+                counted = {h[i] for i in candidates(page, out)}
+                blocks = {h[i]: page.tags[i] in RUNNING for i in candidates(page, out, small=False)}
+                rows += [(host, key, v1, v2, x, running, x in counted) for x, running in blocks.items()]
+            yield pd.DataFrame(rows, columns=["host", "page", "v1", "v2", "hash", "running", "counts"])
+
+    return pages.mapInPandas(hashes, "host string, page string, v1 long, v2 long, hash long, running boolean, counts boolean")
+
 
-    blocks = pages.where("html is not null").mapInPandas(hashes, "host string, page string, hash long")
-    n_pages = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = blocks.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rule.min_pages)
-    often = counts.join(n_pages, "host").where(F.col("n") >= rule.share * F.col("n_pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+def site_templates(blocks: DataFrame, n_pages: DataFrame, rule: TemplateRule) -> DataFrame:
+    """(host, hash): the template subtrees of every host, counted by Spark over distinct pages."""
+    counts = blocks.where("counts").select("host", "page", "hash", "running").distinct().groupBy("host", "hash", "running").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rule.min_pages)
+    often = (F.col("n") >= rule.share * F.col("n_pages")) | ~F.col("running") & (F.col("n") >= rule.many_pages)
+    return counts.join(n_pages, "host").where(often).select("host", "hash").distinct()
 
 
 def extract_text(df: DataFrame, page_id: str, url: str, html: str, rule: TemplateRule = TemplateRule(), out: str = "text") -> DataFrame:
     """All columns and the main text of every row's whole html; an existing column of that name is replaced.
 
     Null or empty html gives an empty text. Pages without a host share the host "". Repeated rows of a page count once
-    for the templates and are all returned.
+    for the templates and are all returned. A row gets the template hashes of its own blocks, at most as many as it has.
     """
-    templates = stage(site_templates(df, page_id, url, html, rule))
+    blocks = stage(page_blocks(df, page_id, url, html))
+    n_pages = df.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(page_id).cast("string"), F.col(url), F.lit("")).alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    mark = "hashes_of_page"
+    of_page = blocks.join(site_templates(blocks, n_pages, rule), ["host", "hash"]).groupBy("host", "v1", "v2").agg(F.collect_set("hash").alias(mark))
+    of_page = stage(of_page).select(F.col("host").alias("host_of_page"), F.col("v1").alias("v1_of_page"), F.col("v2").alias("v2_of_page"), mark)
+    unstage(blocks)
     names = [c for c in df.columns if c.lower() != out.lower()]
     at = names.index(html)
-    mark = "hashes_of_host"
-    joined = df.select(*names, host_of(F.col(url)).alias("host_of_page")).join(templates.select(F.col("host").alias("host_of_page"), F.col("hashes").alias(mark)), "host_of_page", "left").select(*names, mark)
+    v1, v2 = page_key(F.col(html))
+    keyed = df.select(*names, host_of(F.col(url)).alias("host_of_page"), v1.alias("v1_of_page"), v2.alias("v2_of_page"))
+    joined = keyed.join(of_page, ["host_of_page", "v1_of_page", "v2_of_page"], "left").select(*names, mark)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

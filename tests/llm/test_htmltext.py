@@ -76,5 +76,16 @@ def test_templates_are_counted_per_host(frame):
     assert found == sorted([(i, w) for i, _, _, w in rows] + [(500, ""), (501, "x"), (0, rows[0][3])])
 
 
+def test_templates_of_short_pages_and_hot_hosts(frame):
+    def page(i):
+        menu = "<div><p>menu of the news section</p></div>" if i % 6 == 0 else ""
+        body = "x" if i == 0 else " ".join(f"w{i}v{k}" for k in range(20))
+        return f"<body>{menu}<div><span>see our notice</span></div><p>{body}</p></body>", body
+    made = [page(i) for i in range(360)]
+    df = frame([(i, "https://hot.example/p", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in X.extract_text(df, "page_id", "url", "html").collect()}
+    assert got == {i: body for i, (_, body) in enumerate(made)}
+
+
 def test_empty(frame):
     assert X.extract_text(frame([], "page_id long, url string, html string"), "page_id", "url", "html").collect() == []
