@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding
+from capstrata.llm import align, htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding
 from capstrata.llm.common import table
 from capstrata.session import stage
 
 #: Packing: the given vocabulary, the id that ends a document, and the sequence length.
 TOKENIZER, RANKS, END_ID, SEQUENCE_TOKENS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 2, 1024
+#: Alignment: the second tokenizer.
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 #: Similarity join of the contract: four words, 85 percent.
 JOIN_RULE = jaccard.JaccardRule(words=4, num=85)
 #: Surrogates: the key that a deployment replaces by its own secret.
@@ -92,8 +94,15 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(narrow, "shard", ["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    found = align.align_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", P.path(TOKENIZER), P.path(OTHER_TOKENIZER))
+    return found.scores().withColumnRenamed("digest", "groups_sha256")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding, op11_token_alignment)
 }
 
 #: Twin of the Jaccard join: shingles as text, all pairs that share one, and everything reachable.
