@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import align, htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding
+from capstrata.llm import align, htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding, spelling
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -22,6 +22,8 @@ PII_KEY = "change me"
 #: Mixing: target weights of sources; all others weigh 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 MIX_SEED = 20
+#: Spelling variants of the contract: five code points, three occurrences, twice as frequent.
+SPELLING_RULE = spelling.SpellingRule()
 #: Sharding: equal shards.
 N_SHARDS = 40
 
@@ -101,8 +103,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.scores().withColumnRenamed("digest", "groups_sha256")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = spelling.with_slips(spelling.runs(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return spelling.group_variants(typed, SPELLING_RULE)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding, op11_token_alignment)
+    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding, op11_token_alignment, op12_spelling_variants)
 }
 
 #: Twin of the Jaccard join: shingles as text, all pairs that share one, and everything reachable.
@@ -141,11 +148,29 @@ by_doc AS (SELECT doc_id, count(*)::INT AS n, string_agg(pos::VARCHAR, ',' ORDER
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INT AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(lines, '') AS dropped_lines
 FROM documents LEFT JOIN by_doc USING (doc_id)"""
 
+#: Twin of the spelling groups: CRC-32 byte by byte, near words by common deletion variants, roots by recursion.
+_SPELLING = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+run AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+each AS (SELECT d, w, count(*) AS k FROM run GROUP BY ALL),
+bytes AS (SELECT w, k, flatten(list_transform(string_split(d || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS b FROM each),
+hashed AS (SELECT w, k, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) AS h FROM bytes, crc),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM typed WHERE length(word) >= {SPELLING_RULE.min_chars} GROUP BY word HAVING sum(k) >= {SPELLING_RULE.min_count}),
+cut AS (SELECT word, n, i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS variant FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.variant = b.variant AND a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, {{'n': -n, 'o': other}}) AS other, max(n) AS other_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= {SPELLING_RULE.ratio} * n THEN other END AS form, CASE WHEN other_n >= {SPELLING_RULE.ratio} * n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+top AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+SELECT f.word, f.form, top.root, f.n, f.n_near, f.form_n FROM f JOIN top USING (word)"""
+
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
 LLM_ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": _JACCARD,
     "op7_embedding_near_dedup": _NEAR,
     "op9_line_dedup": _LINES,
+    "op12_spelling_variants": _SPELLING,
     "op5_source_mixing": f"""
 WITH mass AS (SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS m, {_WEIGHT}::DOUBLE AS w FROM documents GROUP BY source),
 rate AS (SELECT source, w / (SELECT sum(w) FROM mass) * (SELECT sum(m) FROM mass) / m AS r FROM mass),
