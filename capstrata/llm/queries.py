@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm import align, htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding, spelling
+from capstrata.llm import align, htmltext, jaccard, langid, linededup, mixing, neardup, packing, pii, quality, sharding, spelling, vectorgraph
 from capstrata.llm.common import table
 from capstrata.session import stage
 
@@ -24,6 +24,8 @@ MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 MIX_SEED = 20
 #: Spelling variants of the contract: five code points, three occurrences, twice as frequent.
 SPELLING_RULE = spelling.SpellingRule()
+#: Graph search: ten neighbours.
+GRAPH_RULE = vectorgraph.GraphRule()
 #: Sharding: equal shards.
 N_SHARDS = 40
 
@@ -108,8 +110,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(typed, SPELLING_RULE)
 
 
+def op13_vector_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    graphs = vectorgraph.build_graphs(vectors, "vec_id", "embedding", GRAPH_RULE)
+    return vectorgraph.nearest(graphs, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", GRAPH_RULE)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding, op11_token_alignment, op12_spelling_variants)
+    f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_ngram_jaccard_join, op4_pii_surrogates, op5_source_mixing, op6_html_extraction, op7_embedding_near_dedup, op8_quality_rules, op9_line_dedup, op10_rendezvous_sharding, op11_token_alignment, op12_spelling_variants, op13_vector_graph_search)
 }
 
 #: Twin of the Jaccard join: shingles as text, all pairs that share one, and everything reachable.
