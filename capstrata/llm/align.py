@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capstrata.llm.common import fresh
+from capstrata.llm.packing import OLD_CHARACTERS
 from capstrata.session import stage
 
 
@@ -32,14 +33,12 @@ class AlignRule:
     pairs: int = 1 << 20
 
 
-#: White space, a space, white space or the end: there the tokenizers cut a run of white space as a whole.
-SPACE_RUN = re.compile(r"\s (?:\s|\Z)|\S \Z")
 #: Units up to this length are remembered; a task remembers at most so many.
-UNIT_CHARS, UNITS_KEPT = 48, 400_000
+UNIT_CHARS, UNITS_KEPT = 48, 300_000
 
 
 class Units(dict):
-    """Ids of space-led units, remembered while a task works."""
+    """Ids of the units between spaces, remembered while a task works."""
 
     def __init__(self, encode: Callable[[str], Sequence[int]]):
         self.encode = encode
@@ -56,11 +55,12 @@ class Units(dict):
 class TokenizerPair:
     """Ids of space + text under both vocabularies, and every id's bytes.
 
-    No token of either vocabulary holds a space behind another character (checked when the files are read), and both
-    cut texts before a space that no white space surrounds. So such texts are encoded unit by unit, each unit once.
+    A: given the same vocabulary as ranks, texts of characters that both libraries cut alike go to the faster one.
+    B: where none of its pieces holds a space behind another character, as is checked, no merge crosses the boundary
+    before a space; so texts without runs of spaces (or its own sign for one) are encoded unit by unit, each unit once.
     """
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, a_ranks: str | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,20 +72,33 @@ class TokenizerPair:
         b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.full_a = lambda s: a.encode(s, add_special_tokens=False).ids
         self.full_b = lambda s: b.encode(s[1:])
+        self.fast_a = from_ranks(a_ranks).encode_ordinary if a_ranks else None
         plain = {c: i for i, c in enumerate(byte_characters())}
         self.a_bytes = [b""] * (max(a.get_vocab().values()) + 1)
         for entry, i in a.get_vocab().items():
             self.a_bytes[i] = bytes(plain[c] for c in entry) if all(c in plain for c in entry) else entry.encode()
-        self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-        inner = re.compile(rb"[^ ] ")
-        self.by_unit = not any(inner.search(x) for x in (*self.a_bytes, *self.b_bytes))
-        self.a_units, self.b_units = Units(lambda w: self.full_a(" " + w)), Units(lambda w: self.full_b(" " + w))
+        self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
+        self.by_unit = not any(re.search(rb"[^ ] ", x) for x in self.b_bytes)
+        self.b_units = Units(b.encode)
 
-    def __call__(self, spaced: str) -> tuple[list[int], list[int]]:
-        if self.by_unit and "  " not in spaced and not SPACE_RUN.search(spaced):
-            words = spaced.split(" ")[1:]
-            return [list(itertools.chain.from_iterable(map(units.__getitem__, words))) for units in (self.a_units, self.b_units)]
-        return self.full_a(spaced), self.full_b(spaced)
+    def encode_a(self, spaced: str) -> list[int]:
+        return (self.fast_a if self.fast_a and OLD_CHARACTERS.fullmatch(spaced) else self.full_a)(spaced)
+
+    def encode_b(self, spaced: str) -> list[int]:
+        if self.by_unit and "  " not in spaced and "▁" not in spaced and spaced[-1:] != " ":
+            return list(itertools.chain.from_iterable(map(self.b_units.__getitem__, spaced.split(" ")[1:])))
+        return self.full_b(spaced)
+
+
+def from_ranks(path: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def byte_characters() -> list[str]:
@@ -195,7 +208,7 @@ class Dictionary:
         self.docs = docs
 
 
-def align_batches(key_type: pa.DataType, a_path: str, b_path: str, rule: AlignRule):
+def align_batches(key_type: pa.DataType, a_path: str, b_path: str, a_ranks: str | None, rule: AlignRule):
     """A function for mapInArrow: one row per document, and per block one row with its groups and pairs."""
     schema = pa.schema([
         ("key", key_type), ("block", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
@@ -210,7 +223,7 @@ def align_batches(key_type: pa.DataType, a_path: str, b_path: str, rule: AlignRu
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, seen, block = TokenizerPair(a_path, b_path), Dictionary(), TaskContext.get().partitionId() << 32
+        encode, seen, block = TokenizerPair(a_path, b_path, a_ranks), Dictionary(), TaskContext.get().partitionId() << 32
         a_size, b_size = (np.array([len(x) for x in t], np.int64) for t in (encode.a_bytes, encode.b_bytes))
 
         def align(keys: list, texts: list[str]) -> pa.RecordBatch:
@@ -218,7 +231,7 @@ def align_batches(key_type: pa.DataType, a_path: str, b_path: str, rule: AlignRu
             counts = np.zeros((len(texts), 2), np.int64)
             for d, text in enumerate(texts):
                 if text:
-                    a, b = encode(" " + text)
+                    a, b = encode.encode_a(" " + text), encode.encode_b(" " + text)
                     raw = (" " + text).encode("utf-8", "surrogatepass")
                     if b"".join(map(encode.a_bytes.__getitem__, a)) == raw == b"".join(map(encode.b_bytes.__getitem__, b)):
                         ids[0].append(np.array(a, np.int64))
@@ -329,10 +342,11 @@ class Alignment:
         return scored.withColumnRenamed("key", self.key)
 
 
-def align_tokens(df: DataFrame, key: str, text: str, a_path: str, b_path: str, rule: AlignRule = AlignRule()) -> Alignment:
+def align_tokens(df: DataFrame, key: str, text: str, a_path: str, b_path: str, a_ranks: str | None = None, rule: AlignRule = AlignRule()) -> Alignment:
     """Align two tokenizations of every text: byte offsets where tokens of both end cut them into groups.
 
-    A is a `tokenizers` file with a byte-level vocabulary and reads space + text; B is a `sentencepiece` model that adds
+    A is a `tokenizers` file with a byte-level vocabulary and reads space + text (`a_ranks`: the same vocabulary for the
+    faster `tiktoken`); B is a `sentencepiece` model that adds
     the space itself. Special tokens' strings are ordinary text. A document whose text is null or empty, or whose A or B
     bytes differ from space + text, has no tokens. Every row is a document, repeated rows and null keys too; other
     columns are not read. An id pair is linked in a document if some group holds both ids.
@@ -349,7 +363,7 @@ def align_tokens(df: DataFrame, key: str, text: str, a_path: str, b_path: str, r
 
     schema = (f"key {kind}, block long, n_a long, n_b long, n_groups long, n_links long, digest string, groups array<int>, pairs array<long>, docs array<long>, "
               "group_texts array<string>, group_stops array<int>, group_pairs array<int>, group_weights array<long>")
-    rows = stage(source.mapInArrow(align_batches(to_arrow_type(df.schema[key].dataType), a_path, b_path, rule), schema))
+    rows = stage(source.mapInArrow(align_batches(to_arrow_type(df.schema[key].dataType), a_path, b_path, a_ranks, rule), schema))
     documents = rows.where("pairs is null").select(F.col("key").alias(key), "block", "n_a", "n_b", "n_groups", "n_links", "digest", "groups")
     blocks = rows.where("pairs is not null").select("block", "pairs", "docs", "group_texts", "group_stops", "group_pairs", "group_weights")
     each = blocks.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.docs").alias("n_docs"))

@@ -101,7 +101,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    found = align.align_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", P.path(TOKENIZER), P.path(OTHER_TOKENIZER))
+    found = align.align_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", P.path(TOKENIZER), P.path(OTHER_TOKENIZER), P.path(RANKS))
     return found.scores().withColumnRenamed("digest", "groups_sha256")
 
 
