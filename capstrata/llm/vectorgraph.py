@@ -194,6 +194,7 @@ def build_graphs(df: DataFrame, key: str, vector: str, rule: GraphRule = GraphRu
     kind = df.schema[key].dataType.simpleString()
     vectors = stage(few.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("v").alias("v")).withColumn("dim", F.size("v")))
     shards = vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / rule.shard).cast("int").alias("shards"))
+    tasks = shards.agg(F.sum("shards")).first()[0] or 1  # a shard costs seconds: few bytes must not bring many into one task
     placed = vectors.join(shards, "dim").select("dim", F.pmod(F.xxhash64(F.lit("shard"), "k1", "k2"), "shards").cast("int").alias("shard"), "k1", "ids", "v")
 
     def work(t: pa.Table) -> pa.Table:
@@ -206,7 +207,7 @@ def build_graphs(df: DataFrame, key: str, vector: str, rule: GraphRule = GraphRu
         })
 
     element = df.schema[vector].dataType.elementType.simpleString()
-    return stage(placed.groupBy("dim", "shard").applyInArrow(work, f"dim int, shard int, node int, ids array<{kind}>, v array<{element}>, edges array<int>, entry boolean"))
+    return stage(placed.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(work, f"dim int, shard int, node int, ids array<{kind}>, v array<{element}>, edges array<int>, entry boolean"))
 
 
 def nearest(graphs: DataFrame, queries: DataFrame, key: str, vector: str, rule: GraphRule = GraphRule()) -> DataFrame:
