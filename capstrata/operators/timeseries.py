@@ -49,6 +49,18 @@ def pose_speed_events(poses: DataFrame, threshold_m_s: float) -> DataFrame:
         F.col("relative_sec").cast("double").alias("seconds"), "step_m", "speed_m_s")
 
 
+def gap_events(frames: DataFrame, speed_m_s: float) -> DataFrame:
+    """Non-rising times, slot gaps and speed events in one pass: (capture_id, rank, code, amount)."""
+    names = {f"_{c}": c for c in ("slot", "sec", "px", "py", "pz")}
+    seq = sequence_over(frames.select("capture_id", "rank", *names.values()), ["capture_id"], ["rank"], lag=names)
+    step = (F.col("sec") - F.col("_sec")).cast("double")
+    speed = G.norm(G.minus(G.vec("px", "py", "pz"), G.vec("_px", "_py", "_pz"))) / F.when(step > 0, step)
+    skipped = F.col("slot") - F.col("_slot") - 1
+    event = lambda hit, code, amount: F.when(hit, F.struct(F.lit(code).alias("code"), amount.cast("double").alias("amount")))
+    found = F.array_compact(F.array(event(step <= 0, "NONMONOTONIC_TIME", step), event(skipped > 0, "SLOT_GAP", skipped), event(speed > speed_m_s, "POSE_SPEED", speed)))
+    return seq.select("capture_id", "rank", F.explode(found).alias("_e")).select("capture_id", "rank", "_e.code", "_e.amount")
+
+
 def histogram_change(frames: DataFrame, histogram: str = "histogram") -> DataFrame:
     """Half the L1 distance to the histogram of the frame before; NULL for the first."""
     seq = sequence_over(frames, ["capture_id"], ["rank"], lag={"_before": histogram})
