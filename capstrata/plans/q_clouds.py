@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capstrata.operators import boundaries as bd
+from capstrata.operators import integrity as ig
 from capstrata.operators import room as rm
 from capstrata.operators import surfaces as sf
 from capstrata.operators.graph import cell_components
@@ -517,3 +518,47 @@ def line_suggestion_spans(v):
     lines = k.select("capture_id", "plane_index", (F.col("dx") * F.col("fu_x") + F.col("dy") * F.col("fu_y") + F.col("dz") * F.col("fu_z")).alias("su"),
                      (F.col("dx") * F.col("fv_x") + F.col("dy") * F.col("fv_y") + F.col("dz") * F.col("fv_z")).alias("sv"))
     return rm.line_suggestions(coords, lines, PlanPolicy(min_line_points=20, min_line_bin_points=3))[1]
+
+
+def planted(df, keys, moved, modulus, count, value):
+    """A stored copy of derived rows with planted faults: rows lost, counts and values changed, keys moved."""
+    m = sum((i + 1) * F.col(k) for i, k in enumerate(keys)) % modulus
+    return df.withColumn("_m", m).where("_m <> 0").select(
+        "capture_id", *[(F.col(k) + F.when(F.col("_m") == 3, 100000).otherwise(0)).alias(k) if k == moved else F.col(k) for k in keys],
+        (F.col(count) + F.when(F.col("_m") == 1, 1).otherwise(0)).alias(count), (F.col(value) + F.when(F.col("_m") == 2, 0.001).otherwise(0.0)).alias(value))
+
+
+def planted_sql(kind, source, keys, moved, modulus, count, value):
+    m = " + ".join(f"{i + 1} * {k}" for i, k in enumerate(keys))
+    item = lambda shift: "concat_ws(',', " + ", ".join(f"{k} + {shift}" if k == moved else k for k in keys) + ")"
+    return f"""SELECT '{kind}' AS kind, capture_id, CASE WHEN d = 'STORED_ONLY' THEN {item(100000)} ELSE {item(0)} END AS item, d AS difference FROM
+      (SELECT *, unnest(CASE ({m}) % {modulus} WHEN 0 THEN ['DERIVED_ONLY'] WHEN 1 THEN ['CHANGED:{count}'] WHEN 2 THEN ['CHANGED:{value}'] WHEN 3 THEN ['DERIVED_ONLY', 'STORED_ONLY'] ELSE [] END) AS d FROM ({source}))"""
+
+
+_VOXELS = "SELECT capture_id, CAST(floor(x / 0.25) AS BIGINT) AS vx, CAST(floor(y / 0.25) AS BIGINT) AS vy, CAST(floor(z / 0.25) AS BIGINT) AS vz FROM cloud GROUP BY ALL"
+#: Kind, keys behind capture_id, the key that is moved, modulus, integer and float column, and how each is derived again.
+RECOMPUTED = [
+    ("voxel", ["vx", "vy", "vz"], "vz", 31, "n", "x", lambda v: sf.voxel_average(v.cloud, 0.25)),
+    ("plane", ["plane_index"], "plane_index", 4, "voxel_points", "residual_median_m", lambda v: support(v)[1]),
+    ("span", ["plane_index", "run"], "run", 5, "bins", "start_m", lambda v: bd.wall_spans(*_span_inputs(v))),
+]
+
+
+def _span_inputs(v):
+    w, frames, coords = walls(v, labels(v))
+    return coords, w, v.stations, frames, WALL
+
+
+@query("recompute_audit", "cloud", "planes", "stations", sql=" UNION ALL ".join([
+    planted_sql("voxel", _VOXELS, ["vx", "vy", "vz"], "vz", 31, "n", "x"),
+    planted_sql("plane", f"SELECT capture_id, plane_index FROM ({SUPPORT})", ["plane_index"], "plane_index", 4, "voxel_points", "residual_median_m"),
+    planted_sql("span", f"SELECT capture_id, plane_index, run FROM ({WALL_SPANS})", ["plane_index", "run"], "run", 5, "bins", "start_m")]))
+def recompute_audit(v):
+    out = None
+    for kind, keys, moved, modulus, count, value, derive in RECOMPUTED:
+        cols = ["capture_id", *keys, count, value]
+        stored = stage(planted(derive(v).select(*cols), keys, moved, modulus, count, value))
+        found = ig.tree_audit(stored, derive(v).select(*cols), "capture_id", ["capture_id", *keys], [count], [value])
+        found = found.select(F.lit(kind).alias("kind"), "capture_id", F.concat_ws(",", *keys).alias("item"), "difference")
+        out = found if out is None else out.unionByName(found)
+    return out

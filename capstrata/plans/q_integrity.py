@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from capstrata.functions import text as X
@@ -9,6 +11,8 @@ from capstrata.functions.numeric import exact_integer, exact_number
 from capstrata.operators import integrity as ig
 from capstrata.plans.q_timeseries import r6c
 from capstrata.plans.registry import query, r6
+from capstrata.session import run_folder
+from capstrata.sources import files
 
 
 @query("asset_identity", "assets", sql="""
@@ -335,3 +339,31 @@ def catalog_listing(v):
     m = v.table("orders").select(F.col("o_orderkey").cast("string").alias("result_id"), F.expr("unix_micros(cast(o_orderdate as timestamp)) / 1000000").alias("published_sec"))
     a = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("result_id"), F.col("l_returnflag").alias("name"))
     return ig.catalog_listing(m, a, ["A", "R"])
+
+
+_SCANNED = files.STREAM_HEADERS["accelerometer"]
+#: Body lines of sixteen export files: notes, blank lines, ragged rows and words for numbers among the samples.
+_BODY = """SELECT user_id % 16 AS f, event_id AS e, CASE WHEN event_id % 13 = 0 THEN concat('# note ', event_id) WHEN event_id % 17 = 0 THEN ' ' WHEN event_id % 19 = 0 THEN '1,2,3'
+      WHEN event_id % 23 = 0 THEN concat(event_id, ',0,one,2,3') ELSE concat(event_id, '.5,0, ', user_id, ',2,3') END AS line FROM events"""
+
+
+@query("strict_scan", sql=f"""
+    WITH b AS (SELECT f, e, line, row_number() OVER (PARTITION BY f ORDER BY e) + 3 AS source_line FROM ({_BODY}))
+    SELECT CAST(f AS INT) AS file_no, 1::BIGINT AS source_line, 'NOTE' AS kind, '# export ' || f AS text FROM (SELECT DISTINCT f FROM b)
+    UNION ALL SELECT CAST(f AS INT), source_line, 'NOTE', line FROM b WHERE e % 13 = 0
+    UNION ALL SELECT CAST(f AS INT), source_line, 'MALFORMED_ROW', NULL FROM b WHERE e % 13 <> 0 AND e % 17 <> 0 AND e % 19 = 0
+    UNION ALL SELECT CAST(f AS INT), source_line, 'INVALID_NUMBER', NULL FROM b WHERE e % 13 <> 0 AND e % 17 <> 0 AND e % 19 <> 0 AND e % 23 = 0
+    UNION ALL SELECT CAST(f AS INT), source_line, 'ROW', trim(string_split(line, ',')[3]) FROM b WHERE e % 13 <> 0 AND e % 17 <> 0 AND e % 19 <> 0""")
+def strict_scan(v):
+    """Writes the events as export files of a few large texts and scans them with their line numbers."""
+    v.table("events").createOrReplaceTempView("events")
+    body = v.spark.sql(_BODY).select(F.col("f").cast("int").alias("f"), "e", "line")
+    head = lambda e, line: F.struct(F.lit(e).cast("long").alias("e"), line.alias("line"))
+    first = F.array(head(-3, F.concat(F.lit("# export "), F.col("f").cast("string"))), head(-2, F.lit("")), head(-1, F.lit(",".join(_SCANNED))))
+    heads = body.select("f").distinct().select("f", F.explode(first).alias("h")).select("f", "h.*")
+    folder = f"{run_folder(v.spark)}/export-{uuid.uuid4().hex}"
+    body.unionByName(heads).repartition("f").sortWithinPartitions("f", "e").select("f", "line").write.partitionBy("f").text(folder)
+    rows, notes, bad = files.scan_commented_csv(v.spark, f"{folder}/*/*.txt", _SCANNED)
+    out = notes.select("file", "source_line", F.lit("NOTE").alias("kind"), "text").unionByName(bad.select("file", "source_line", F.col("code").alias("kind"), F.lit(None).cast("string").alias("text")))
+    out = out.unionByName(rows.select("file", "source_line", F.lit("ROW").alias("kind"), F.col(_SCANNED[2]).alias("text")))
+    return out.select(F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("int").alias("file_no"), "source_line", "kind", "text")

@@ -313,45 +313,59 @@ def anchor_scan(v):
 
 
 def chosen(v):
-    """Every selection rule but the recovery pass."""
+    """The candidates and the views that each rule but the recovery pass selects."""
     c = stage(sel.quality_scores(candidates(v)))
     covered = sel.coverage_views(c, POLICY)
     events = ts.pose_speed_events(v.frame_poses, POLICY.pose_speed_warning_m_s)
     return c, covered, sel.anchor_scan(c, covered, POLICY), sel.event_context(c, events, POLICY)
 
 
-SELECTED = f"""WITH s AS ({COVERED} UNION ALL SELECT * FROM ({ANCHORS}) UNION ALL
-      SELECT capture_id, rank, 'POSE_EVENT_CONTEXT' FROM ({CANDIDATES}) c WHERE EXISTS (SELECT 1 FROM ({SPEED}) e
-        WHERE e.capture_id = c.capture_id AND abs(CAST(c.relative_sec AS DOUBLE) - e.seconds) <= 18000))
-    SELECT capture_id, rank, string_agg(DISTINCT reason, ';' ORDER BY reason) AS reasons FROM s GROUP BY capture_id, rank"""
-
-
-@query("selected_views", "frame_poses", sql=SELECTED)
-def selected_views(v):
-    _, covered, anchors, context = chosen(v)
-    return sel.selected_views(covered, anchors, context)
-
-
-def linked_pairs(v):
-    """Adjacent bin winners with inlier counts taken from the second view."""
-    c = candidates(v)
-    kept = stage(sel.coverage_views(sel.quality_scores(c), POLICY).select("capture_id", "rank").distinct())
+def links(c, kept):
+    """Adjacent views of `kept` with inlier counts taken from the second view."""
     timed = c.join(kept, ["capture_id", "rank"], "left_semi")
     pairs = sel.adjacent_pairs(timed.select("capture_id", "rank", "relative_sec"))
     second = c.select("capture_id", F.col("rank").alias("second_rank"), F.col("k").alias("ratio_matches"),
                       (F.col("k") - F.col("event_id") % 40).alias("fundamental_inliers"),
                       (F.col("event_id") % 60).alias("homography_inliers"))
-    return c, kept, sel.link_status(pairs.join(second, ["capture_id", "second_rank"]), POLICY)
+    return sel.link_status(pairs.join(second, ["capture_id", "second_rank"]), POLICY)
 
 
-LINKS = f"""SELECT capture_id, first_rank, second_rank, gap AS time_gap_sec, CASE WHEN greatest(k - event_id % 40, event_id % 60) >= 20
+def linked_pairs(v):
+    """Links between adjacent bin winners."""
+    c = candidates(v)
+    kept = stage(sel.coverage_views(sel.quality_scores(c), POLICY).select("capture_id", "rank").distinct())
+    return c, kept, links(c, kept)
+
+
+def links_sql(kept):
+    return f"""SELECT capture_id, first_rank, second_rank, gap AS time_gap_sec, CASE WHEN greatest(k - event_id % 40, event_id % 60) >= 20
       AND greatest(k - event_id % 40, event_id % 60) / CAST(greatest(1, k) AS DOUBLE) >= 0.35 THEN 'SUPPORTED' ELSE 'WEAK' END AS visual_link FROM
     (SELECT capture_id, rank AS second_rank, lag(rank) OVER w AS first_rank, k, event_id,
        CAST(relative_sec - lag(relative_sec) OVER w AS DOUBLE) AS gap FROM ({CANDIDATES}) q
-     WHERE EXISTS (SELECT 1 FROM ({COVERED}) v WHERE v.capture_id = q.capture_id AND v.rank = q.rank)
+     WHERE EXISTS (SELECT 1 FROM ({kept}) v WHERE v.capture_id = q.capture_id AND v.rank = q.rank)
      WINDOW w AS (PARTITION BY capture_id ORDER BY rank)) WHERE first_rank IS NOT NULL"""
 
 
+LINKS = links_sql(COVERED)
+
+SELECTED = f"""WITH s AS MATERIALIZED ({COVERED} UNION ALL SELECT * FROM ({ANCHORS}) UNION ALL
+      SELECT capture_id, rank, 'POSE_EVENT_CONTEXT' FROM ({CANDIDATES}) c WHERE EXISTS (SELECT 1 FROM ({SPEED}) e
+        WHERE e.capture_id = c.capture_id AND abs(CAST(c.relative_sec AS DOUBLE) - e.seconds) <= 18000)),
+      l AS ({links_sql('SELECT DISTINCT capture_id, rank FROM s')}),
+      r AS (SELECT c.capture_id, c.rank, 'WEAK_LINK_RECOVERY' AS reason FROM ({CANDIDATES}) c JOIN l
+        ON c.capture_id = l.capture_id AND c.rank > l.first_rank AND c.rank < l.second_rank WHERE visual_link = 'WEAK')
+    SELECT capture_id, rank, string_agg(DISTINCT reason, ';' ORDER BY reason) AS reasons FROM (SELECT * FROM s UNION ALL SELECT * FROM r) GROUP BY capture_id, rank"""
+
+
+@query("selected_views", "frame_poses", sql=SELECTED)
+def selected_views(v):
+    c, covered, anchors, context = chosen(v)
+    rules = stage(covered.unionByName(anchors).unionByName(context).select("capture_id", "rank", "reason").distinct())
+    kept = rules.select("capture_id", "rank").distinct()
+    weak = links(c, kept).where("visual_link = 'WEAK'")
+    return sel.selected_views(rules, sel.weak_link_recovery(c, kept, weak))
+
+
 @query("weak_link_recovery", "frame_poses", sql=f"""
     SELECT c.capture_id, c.rank, 'WEAK_LINK_RECOVERY' AS reason FROM ({CANDIDATES}) c JOIN ({LINKS}) l
       ON c.capture_id = l.capture_id AND c.rank > l.first_rank AND c.rank < l.second_rank WHERE visual_link = 'WEAK'""")

@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,22 @@ NATIVE_ROLES = {"rgb.mp4": "rgb", "odometry.csv": "pose_calibration", "camera_ma
 DEPTH_FOLDERS = ["depth/", "confidence/", "lidar_depth/"]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of every file with its 1-based number; a leading byte-order mark is dropped."""
-    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(
-        F.split(F.regexp_replace("value", "^﻿", ""), "\r\n|\n|\r")).alias("_pos", "line")).select(
-        "file", (F.col("_pos") + 1).cast("bigint").alias("source_line"), "line")
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Every line of every file with its 1-based number, and the files that have lines.
+
+    Spark cuts files into byte ranges, each read by a task of its own; a line belongs to the range it starts in. A range
+    leaves its count of lines, the counts before it are summed per file, and a line's number is that sum and its place in
+    the range. A leading byte-order mark is dropped.
+    """
+    source = spark.read.option("recursiveFileLookup", True)
+    text = source.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_range"),
+                                    F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    ranges = text.groupBy("file", "_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("file", "_range", (F.coalesce(before, F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    numbered = text.join(ranges, ["file", "_range"]).withColumn("source_line", F.col("_id") + F.col("_shift"))
+    line = F.when(F.col("source_line") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    return numbered.select("file", "source_line", line.alias("line")), ranges.select("file").distinct()
 
 
 def scan_csv(spark: SparkSession, path: str, header: list[str], *, comments: bool, optional: tuple[str, ...] = (),
@@ -51,12 +61,12 @@ def scan_csv(spark: SparkSession, path: str, header: list[str], *, comments: boo
     Values stay strings as written, trimmed. A wrong header, a ragged row, an empty stream
     or a value that is no finite number becomes a violation row; no row is repaired.
     """
-    lines = _lines(spark, path)
+    lines, every = _lines(spark, path)
     mark = F.ltrim(F.col("line")).startswith("#") if comments else F.lit(False)
     notes = lines.where(mark).select("file", "source_line", F.col("line").alias("text"))
     body = lines.where(~mark & (F.trim("line") != ""))
     heads = body.groupBy("file").agg(F.min_by("line", "source_line").alias("_head"), F.min("source_line").alias("_at"), F.count("*").alias("_n"))
-    files = lines.select("file").distinct().join(heads, "file", "left")
+    files = every.join(heads, "file", "left")
     cells = F.transform(F.split(F.col("_head"), ","), lambda c: F.trim(c))
     good = files.where(cells == F.array(*[F.lit(h) for h in header]))
     code = F.when(F.col("_head").isNull() | (F.col("_n") < 2), "EMPTY_STREAM").when(

@@ -248,3 +248,19 @@ def test_enforce_raises_with_code(spark):
     with pytest.raises(integrity.ContractViolation) as e:
         integrity.enforce(spark.createDataFrame([("p", "UNSAFE_BUNDLE_PATH")], "path string, code string"))
     assert e.value.code == "UNSAFE_BUNDLE_PATH"
+
+
+def test_tree_audit_equals_the_full_comparison(spark):
+    from capstrata.operators import integrity
+    from capstrata.session import stage
+
+    base = spark.range(5000).select((F.col("id") % 5).alias("capture_id"), F.col("id").alias("k"), (F.col("id") % 7).alias("n"), (F.col("id") / 3).alias("x"))
+    derived = base.unionByName(base.where("k = 1"))  # a repeated row
+    stored = derived.where("k not in (17, 4001)").withColumn("n", F.when(F.col("k") == 33, 99).otherwise(F.col("n"))).withColumn(
+        "x", F.when(F.col("k") == 54, F.col("x") + 1e-3).when(F.col("k") == 59, F.col("x") * (1 + 1e-14)).when(F.col("k") == 60, None).otherwise(F.col("x")))
+    stored = stored.unionByName(spark.createDataFrame([(9, 9000, 1, 1.0)], "capture_id long, k long, n long, x double"))
+    args = ("capture_id", ["capture_id", "k"], ["n"], ["x"])
+    got = sorted(tuple(r) for r in integrity.tree_audit(stage(stored), stage(derived), *args, buckets=64).collect())
+    assert got == sorted(tuple(r) for r in integrity.audit_diff(stored.dropDuplicates(), derived.dropDuplicates(), *args[1:]).collect())
+    assert {d for _, _, d in got} == {"DERIVED_ONLY", "STORED_ONLY", "CHANGED:n", "CHANGED:x"} and (4, 59, "CHANGED:x") not in got
+    assert integrity.tree_audit(stage(derived), stage(derived.repartition(3)), *args).collect() == []

@@ -24,6 +24,30 @@ def test_commented_csv_keeps_line_numbers(spark, tmp_path):
     assert {(r["file"][-5:], r["code"]) for r in bad.where("source_line is null").collect()} == {("b.csv", "UNSUPPORTED_HEADER"), ("c.csv", "EMPTY_STREAM")}
 
 
+def test_lines_are_numbered_across_byte_ranges(spark, tmp_path):
+    """Ranges of a few bytes: many tasks a file, and the numbers of one pass over it."""
+    bodies = {"a": "".join(f"line {i} {'x' * (i % 40)}\n" for i in range(400)), "b": "".join(f"{i}\r\n" for i in range(300)) + "end", "c": "", "d": "\ufeffone\n\ntwo"}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.csv").write_bytes(body.encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines, every = files._lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 50
+        got = {}
+        for r in lines.collect():
+            got.setdefault(r["file"][-5], []).append((r["source_line"], r["line"]))
+        assert sorted(r["file"][-5] for r in every.collect()) == list("abd")  # Spark lists no empty files
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, body in bodies.items():
+        want = body.removeprefix("\ufeff").replace("\r\n", "\n").split("\n")
+        want = want[:-1] if want[-1] == "" else want
+        assert sorted(got.get(name, [])) == [(i + 1, w) for i, w in enumerate(want)]
+
+
 def test_native_csv_maps_to_the_canonical_header(spark, tmp_path):
     (tmp_path / "odometry.csv").write_text(", ".join(files.ODOMETRY_HEADER) + "\n1000.0, 0, 0,0,0, 0,0,0,1, 100,100,50,30,,\n")
     rows, bad = files.scan_native_csv(spark, str(tmp_path / "odometry.csv"), files.ODOMETRY_HEADER)
