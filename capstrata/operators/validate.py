@@ -53,7 +53,7 @@ def bind_assets(observations: DataFrame, depth: DataFrame, confidence: DataFrame
             .join(rgb.select("capture_id", F.col("asset_id").alias("rgb_asset_id")), "capture_id", "left"))
 
 
-def annotation_violations(annotations: DataFrame, frames: DataFrame, videos: DataFrame, width: float) -> DataFrame:
+def annotation_violations(annotations: DataFrame, frames: DataFrame, videos: DataFrame) -> DataFrame:
     """Declarations bound to another video, repeated ids, bad sizes or windows, windows without frames."""
     v = videos.select("capture_id", F.col("sha256").alias("_v"))
     uses = annotations.groupBy("capture_id", "object_id").agg(F.count("*").alias("_n"))
@@ -63,4 +63,4 @@ def annotation_violations(annotations: DataFrame, frames: DataFrame, videos: Dat
         (~F.col("source_video_sha256").eqNullSafe(F.col("_v")), "ANNOTATION_SOURCE_MISMATCH"),
         ((F.col("_n") > 1) | ~((F.col("width_m") > 0) & (F.col("height_m") > 0)) | window, "INVALID_ANNOTATION")).alias("code"))
     sound = annotations.where(~window)
-    return rows.unionByName(unmatched_windows(frames, sound, width)).distinct()
+    return rows.unionByName(unmatched_windows(frames, sound)).distinct()

@@ -169,14 +169,14 @@ def stage_durations(v):
     FROM frames JOIN annotations USING (capture_id)
     WHERE CAST(relative_sec AS DOUBLE) BETWEEN start_sec AND end_sec GROUP BY capture_id, rank""")
 def annotation_window_frames(v):
-    return iv.annotation_windows(v.frames, v.annotations, 172800.0)
+    return iv.annotation_windows(v.frames, v.annotations)
 
 
 @query("unmatched_windows", "frames", "annotations", sql="""
     SELECT capture_id, object_id, 'INVALID_ANNOTATION' AS code FROM annotations a WHERE NOT EXISTS
       (SELECT 1 FROM frames f WHERE f.capture_id = a.capture_id AND CAST(f.relative_sec AS DOUBLE) BETWEEN start_sec AND end_sec)""")
 def unmatched_windows(v):
-    return iv.unmatched_windows(v.frames, v.annotations, 172800.0)
+    return iv.unmatched_windows(v.frames, v.annotations)
 
 
 @query("sensor_interval_stats", "sensor_samples", "frames", sql=f"""
@@ -204,7 +204,7 @@ def gyro_motion(v, frames, half):
     s = v.sensor_samples.where(F.col("stream") == "view").join(ts.capture_origins(v.frames), "capture_id")
     s = s.select("capture_id", "source_row", (F.col("sensor_sec") - F.col("origin_sec")).cast("double").alias("t"), "x", "y", "z")
     mag = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    return iv.interval_stats(s, windows, ["capture_id"], ["rank"], mag, 2 * half)
+    return iv.interval_stats(s, windows, ["capture_id"], ["rank"], mag)
 
 
 # --- selection --------------------------------------------------------------

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from capstrata.operators.intervals import interval_join, interval_stats
+from capstrata.operators.intervals import covering_blocks, interval_join, interval_stats
 from capstrata.operators.ordered import SLICE, group_diameter, quantiles, runs_of, sequence_over, with_slices
 from capstrata.session import SLICES_KEY
 
@@ -72,12 +72,36 @@ def test_interval_join_closed_and_unique(spark):
 def test_interval_gaps_keep_their_position(sliced):
     s = sliced.createDataFrame([(1, i, float(i), 3.0, 4.0) for i in range(12)], "c long, source_row long, t double, x double, y double")
     iv = sliced.createDataFrame([(1, 0, 2.0, 4.0), (1, 1, 4.25, 4.5), (1, 2, -2.0, 1.0)], "c long, rank long, start double, end double")
-    got = {r["rank"]: r for r in interval_stats(s, iv, ["c"], ["rank"], F.sqrt(F.col("x") ** 2 + F.col("y") ** 2), 2.0).collect()}
+    got = {r["rank"]: r for r in interval_stats(s, iv, ["c"], ["rank"], F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).collect()}
     assert (got[0]["sample_count"], got[0]["range_start"], got[0]["range_end"], got[0]["rms_magnitude"]) == (3, 2, 5, 5.0)
     assert (got[1]["sample_count"], got[1]["range_start"], got[1]["range_end"], got[1]["rms_magnitude"]) == (0, 5, 5, None)
     assert got[2]["boundary_covered"] is False and got[0]["boundary_covered"] is True
 
 
+def test_interval_statistics_of_any_length(spark):
+    """Intervals from empty to the whole key against numpy; the widest is made of a few blocks."""
+    rng = np.random.default_rng(5)
+    n = 9000
+    t = np.sort(np.round(rng.uniform(0, 3000, n), 1))
+    x = rng.normal(size=n)
+    samples = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, x))] + [(2, 0, 5.0, 1.0)], "c long, source_row long, t double, x double")
+    spans = [(1, 0, -10.0, 4000.0), (1, 1, 7.5, 7.4), (1, 2, None, 3.0), (1, 3, float(t[10]), float(t[4200])), (3, 0, 0.0, 9.0)]
+    spans += [(1, 10 + i, float(a), float(a + w)) for i, (a, w) in enumerate(zip(rng.uniform(0, 3000, 40).round(1), rng.exponential(300, 40).round(1)))]
+    iv = spark.createDataFrame(spans, "c long, id long, start double, end double")
+    got = {(r["c"], r["id"]): r for r in interval_stats(samples, iv, ["c"], ["id"], F.abs(F.col("x"))).collect()}
+    assert len(got) == len(spans)
+    for c, i, a, b in spans:
+        r, hit = got[c, i], (t >= a) & (t <= b) if a is not None and c == 1 else np.zeros(n, bool)
+        assert (r["sample_count"], r["range_end"] - r["range_start"]) == (hit.sum(), hit.sum())
+        if hit.any():
+            assert r["range_start"] == (t < a).sum() and r["first_sample_sec"] == t[hit].min() and r["last_sample_sec"] == t[hit].max()
+            assert np.isclose(r["rms_magnitude"], np.sqrt((x[hit] ** 2).mean())) and r["maximum_magnitude"] == np.abs(x[hit]).max()
+        else:
+            assert r["rms_magnitude"] is None and r["maximum_magnitude"] is None
+    sizes = covering_blocks(iv.limit(1).select(F.lit(1).alias("_lo"), F.lit(10_000_000).alias("_hi"))).select(F.size("_blocks")).first()[0]
+    assert sizes < 64 * 6 + 40
+
+
 def test_one_key_and_an_outlier_leave_no_large_slice(spark):
     """99 % of the rows in one key, and one value far away: slices stay even, for numbers and for text."""
     n = 8000

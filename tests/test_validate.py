@@ -25,5 +25,5 @@ def test_annotations(spark):
     a = spark.createDataFrame([(1, 1, "v", 0.2, 0.3, 0.0, 5.0), (1, 2, "x", 0.2, 0.3, 0.0, 5.0), (1, 3, "v", 0.0, 0.3, 0.0, 5.0), (1, 4, "v", 0.2, 0.3, 5.0, 1.0), (1, 5, "v", 0.2, 0.3, 50.0, 60.0)],
                               "capture_id long, object_id long, source_video_sha256 string, width_m double, height_m double, start_sec double, end_sec double")
     frames = spark.createDataFrame([(1, i, float(i)) for i in range(8)], "capture_id long, rank long, relative_sec double")
-    got = {(r["object_id"], r["code"]) for r in validate.annotation_violations(a, frames, spark.createDataFrame([(1, "v")], "capture_id long, sha256 string"), 5.0).collect()}
+    got = {(r["object_id"], r["code"]) for r in validate.annotation_violations(a, frames, spark.createDataFrame([(1, "v")], "capture_id long, sha256 string")).collect()}
     assert got == {(2, "ANNOTATION_SOURCE_MISMATCH"), (3, "INVALID_ANNOTATION"), (4, "INVALID_ANNOTATION"), (5, "INVALID_ANNOTATION")}
