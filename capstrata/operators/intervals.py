@@ -57,40 +57,41 @@ def name_of(intervals: DataFrame, ident: list[str]) -> Column:
 
 
 #: Samples a block of the next level holds, and levels above single samples.
-RADIX, LEVELS = 64, 3
+RADIX, LEVELS = 256, 2
 
 
 def covering_blocks(held: DataFrame) -> DataFrame:
-    """`_blocks`: the fewest aligned blocks (_level, _index) that make up the positions _lo .. _hi - 1."""
-    out, rows = [], held.withColumns({"_a": F.col("_lo").cast("bigint"), "_b": F.col("_hi").cast("bigint")})
+    """One row per block of the fewest aligned blocks (_level, _index) that make up the positions _lo .. _hi - 1."""
+    spans, rows = [], held.withColumns({"_a": F.col("_lo").cast("bigint"), "_b": F.col("_hi").cast("bigint")})
     for level in range(LEVELS + 1):
+        a, b = F.col(f"_a{level}"), F.col(f"_b{level}")
         up, down = F.ceil(F.col("_a") / RADIX).cast("bigint"), F.floor(F.col("_b") / RADIX).cast("bigint")
-        rows = rows.withColumns({"_up": up, "_down": down}) if level < LEVELS else rows.withColumns({"_up": F.lit(0), "_down": F.lit(0)})
-        deeper = F.col("_up") < F.col("_down")
-        for side, (a, b) in enumerate([(F.col("_a"), F.when(deeper, F.col("_up") * RADIX).otherwise(F.col("_b"))), (F.when(deeper, F.col("_down") * RADIX).otherwise(F.col("_b")), F.col("_b"))]):
-            name = f"_s{level}{side}"
-            rows = rows.withColumn(name, F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>")))
-            out.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(name)).alias("_level"), F.col(name).alias("_index")))
-        rows = rows.withColumns({"_a": F.when(deeper, F.col("_up")).otherwise(0), "_b": F.when(deeper, F.col("_down")).otherwise(0)})
-    return rows.select(*held.columns, F.concat(*out).alias("_blocks"))
+        none = F.lit(0).cast("bigint")
+        rows = rows.withColumns({f"_a{level}": F.col("_a"), f"_b{level}": F.col("_b"), f"_u{level}": up if level < LEVELS else none, f"_d{level}": down if level < LEVELS else none})
+        up, down = F.col(f"_u{level}"), F.col(f"_d{level}")
+        span = lambda x, y, k: F.struct(F.lit(k).alias("level"), x.alias("x"), y.alias("y"))
+        spans += [span(a, F.when(up < down, up * RADIX).otherwise(b), level), span(F.when(up < down, down * RADIX).otherwise(b), b, level)]
+        rows = rows.withColumns({"_a": F.when(up < down, up).otherwise(none), "_b": F.when(up < down, down).otherwise(none)})
+    found = rows.select(*held.columns, F.explode(F.array(*spans)).alias("_s")).where("_s.x < _s.y")
+    return found.select(*held.columns, F.col("_s.level").alias("_level"), F.explode(F.sequence(F.col("_s.x"), F.col("_s.y") - 1)).alias("_index"))
 
 
 def interval_stats(samples: DataFrame, intervals: DataFrame, keys: list[str], ident: list[str], magnitude: Column) -> DataFrame:
     """Count, row range, first and last time, RMS and maximum magnitude per closed interval.
 
     ``samples`` has sensor time ``t`` and ``source_row``; ``intervals`` has ``ident``, ``start`` and ``end``. Empty
-    intervals keep their row position and NULL statistics. Samples are summed up in aligned blocks of 64, 64^2 and 64^3
+    intervals keep their row position and NULL statistics. Samples are summed up in aligned blocks of 256 and 256^2
     positions, and an interval joins the few blocks it is made of: its rows grow with the logarithm of the samples in it.
     """
-    points, held = swept(samples.withColumn("_mag", magnitude), intervals, keys, ident, "t", "source_row", "start", "end")
+    points, held = swept(samples.select(*keys, "t", "source_row", magnitude.alias("_mag")), intervals, keys, ident, "t", "source_row", "start", "end")
     block = points.select(*keys, F.lit(0).alias("_level"), F.col("_pos").alias("_index"), F.lit(1).cast("bigint").alias("_n"), F.col("t").cast("double").alias("_first"),
                           F.col("t").cast("double").alias("_last"), (F.col("_mag") * F.col("_mag")).alias("_square"), F.col("_mag").alias("_top"))
     sums = [F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_square").alias("_square"), F.max("_top").alias("_top")]
     blocks, below = block, block
     for level in range(1, LEVELS + 1):
-        below = below.groupBy(*keys, F.floor(F.col("_index") / RADIX).cast("bigint").alias("_index")).agg(*sums).withColumn("_level", F.lit(level))
+        below = stage(below.groupBy(*keys, F.floor(F.col("_index") / RADIX).cast("bigint").alias("_index")).agg(*sums).withColumn("_level", F.lit(level)))
         blocks = blocks.unionByName(below)
-    wanted = covering_blocks(held).select(*keys, *ident, F.explode("_blocks").alias("_b")).select(*keys, *ident, "_b.*")
+    wanted = covering_blocks(held).select(*keys, *ident, "_level", "_index")
     stats = wanted.join(blocks, [*keys, "_level", "_index"]).groupBy(*keys, *ident).agg(
         F.sum("_n").alias("sample_count"), F.min("_first").alias("first_sample_sec"), F.max("_last").alias("last_sample_sec"),
         F.sqrt(F.sum("_square") / F.sum(F.when(F.col("_square").isNotNull(), F.col("_n")))).alias("rms_magnitude"), F.max("_top").alias("maximum_magnitude"))
