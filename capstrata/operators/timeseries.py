@@ -172,3 +172,32 @@ def exposure_findings(frames: DataFrame, requested_cap: Column) -> DataFrame:
     return over.groupBy("capture_id").agg(F.count("*").alias("frames"), F.min("rank").alias("first_rank")).select(
         "capture_id", F.lit("EXPOSURE_EXCEEDS_REQUESTED_CAP").alias("code"), F.lit("WARNING").alias("severity"),
         "frames", "first_rank")
+
+
+# What the two standing findings of a capture say.
+UNSCALED = "dimensions_source=USER_REPORTED;scale_applied=false"
+UNVERIFIED = "RGB_IMU_synchronization=UNVERIFIED;camera_IMU_extrinsics=UNVERIFIED;metric_accuracy=UNVERIFIED"
+
+
+def capture_findings(frames: DataFrame, settings: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Limitations of each capture; no measurement is changed.
+
+    ``settings`` has capture_id and requested_cap (null: none was requested). Frames exposed longer than the cap are counted
+    with the first of them, declared objects are no localized scale, and physical calibration is never verified here.
+    """
+    k = "capture_id"
+    over = F.col("exposure_sec") > F.col("requested_cap")
+    seen = frames.select(k, "rank", "exposure_sec").join(settings.select(k, "requested_cap"), k, "left").groupBy(k).agg(
+        F.count_if(over).alias("frames"), F.min(F.when(over, F.col("rank"))).alias("first_rank"), F.max("requested_cap").alias("requested_cap"))
+    declared = annotations.groupBy(k).agg(F.count(F.lit(1)).alias("objects"))
+    none = F.lit(None)
+
+    def finding(code, details, frames=none, first=none, cap=none, objects=none):
+        return F.struct(F.lit(code).alias("code"), F.lit("WARNING").alias("severity"), F.lit(details).alias("details"), frames.cast("bigint").alias("frames"),
+                        first.cast("bigint").alias("first_rank"), cap.cast("double").alias("requested_cap"), objects.cast("bigint").alias("objects"))
+
+    found = F.array_compact(F.array(
+        F.when(F.col("frames") > 0, finding("EXPOSURE_EXCEEDS_REQUESTED_CAP", "observations_retained=true", F.col("frames"), F.col("first_rank"), F.col("requested_cap"))),
+        F.when(F.col("objects") > 0, finding("SCALE_PRIOR_NOT_LOCALIZED", UNSCALED, objects=F.col("objects"))),
+        finding("PHYSICAL_CALIBRATION_UNVERIFIED", UNVERIFIED)))
+    return seen.join(declared, k, "left").select(k, F.explode(found).alias("_f")).select(k, "_f.*")

@@ -118,6 +118,17 @@ def exposure_findings(v):
     return ts.exposure_findings(v.frames, F.lit(0.05))
 
 
+@query("capture_findings", "frames", "annotations", sql=f"""
+    WITH g AS (SELECT capture_id, count(*) FILTER (capture_id % 4 <> 0 AND exposure_sec > 0.05) AS n, min(rank) FILTER (capture_id % 4 <> 0 AND exposure_sec > 0.05) AS r FROM frames GROUP BY ALL),
+      a AS (SELECT capture_id, count(*) AS objects FROM annotations GROUP BY ALL)
+    SELECT capture_id, 'EXPOSURE_EXCEEDS_REQUESTED_CAP' AS code, 'WARNING' AS severity, 'observations_retained=true' AS details, n AS frames, r AS first_rank, CAST(0.05 AS DOUBLE) AS requested_cap, CAST(NULL AS BIGINT) AS objects FROM g WHERE n > 0
+    UNION ALL SELECT capture_id, 'SCALE_PRIOR_NOT_LOCALIZED', 'WARNING', '{ts.UNSCALED}', NULL, NULL, NULL, objects FROM g JOIN a USING (capture_id)
+    UNION ALL SELECT capture_id, 'PHYSICAL_CALIBRATION_UNVERIFIED', 'WARNING', '{ts.UNVERIFIED}', NULL, NULL, NULL, NULL FROM g""")
+def capture_findings(v):
+    settings = v.frames.select("capture_id", F.when(F.col("capture_id") % 4 != 0, 0.05).alias("requested_cap")).distinct()
+    return ts.capture_findings(v.frames, settings, v.annotations)
+
+
 @query("constant_clock_residual", "frames", "media_constant", sql=f"""
     WITH d AS (SELECT f.capture_id, f.rank AS rank, sensor_sec * 1000000 - ticks AS gap FROM frames f
                JOIN media_constant m ON f.capture_id = m.capture_id AND f.rank = m.decoded_rank),

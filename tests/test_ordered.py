@@ -114,3 +114,14 @@ def test_one_key_and_an_outlier_leave_no_large_slice(spark):
             assert sorted(r["pos"] for r in ranks) == list(range(len(ranks)))
     finally:
         spark.conf.unset(SLICES_KEY)
+
+
+def test_capture_findings(spark):
+    from capstrata.operators.timeseries import capture_findings
+
+    frames = spark.createDataFrame([(1, i, 0.01 * i) for i in range(8)] + [(2, 0, 9.0), (3, 0, None)], "capture_id long, rank long, exposure_sec double")
+    settings = spark.createDataFrame([(1, 0.045), (2, None)], "capture_id long, requested_cap double")
+    objects = spark.createDataFrame([(2, 5), (2, 6), (9, 1)], "capture_id long, object_id long")
+    got = sorted((r["capture_id"], r["code"], r["frames"], r["first_rank"], r["objects"]) for r in capture_findings(frames, settings, objects).collect())
+    assert got == [(1, "EXPOSURE_EXCEEDS_REQUESTED_CAP", 3, 5, None), (1, "PHYSICAL_CALIBRATION_UNVERIFIED", None, None, None), (2, "PHYSICAL_CALIBRATION_UNVERIFIED", None, None, None),
+                   (2, "SCALE_PRIOR_NOT_LOCALIZED", None, None, 2), (3, "PHYSICAL_CALIBRATION_UNVERIFIED", None, None, None)]
