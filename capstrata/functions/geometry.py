@@ -43,6 +43,10 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.least(c, F.lit(hi)), F.lit(lo))
 
 
+def clamp_between(c: Column, lo: Column, hi: Column) -> Column:
+    return F.greatest(F.least(c, hi), lo)
+
+
 def rotation(prefix: str = "r") -> list[Vec]:
     return [[F.col(f"{prefix}{i}{j}") for j in AXES] for i in AXES]
 
@@ -153,6 +157,21 @@ def project_pixel(xyz: Vec, prefix: str = "") -> tuple[Column, Column, Column]:
     return fx * o[0] / z + cx, fy * o[1] / z + cy, o[2]
 
 
+def may_see(center: Vec, radius: float, min_depth: float = 0.0) -> Column:
+    """False only where no point within ``radius`` of a world centre falls into the camera's image.
+
+    Signed distances to the four side planes of the view and to the plane of least depth.
+    """
+    o = to_camera(center)
+    reach = -radius * 1.001 - 1e-9
+    inside = o[2] - min_depth >= reach
+    for axis, f, c, size in ((0, "fx", "cx", "width"), (1, "fy", "cy", "height")):
+        f, c, far = F.col(f), F.col(c), F.col(size) - F.col(c)
+        inside = inside & ((f * o[axis] + c * o[2]) / F.sqrt(f * f + c * c) >= reach)
+        inside = inside & ((far * o[2] - f * o[axis]) / F.sqrt(f * f + far * far) >= reach)
+    return inside
+
+
 def backproject_pixel(x: Column, y: Column, depth: Column, prefix: str = "") -> Vec:
     """World point of a pixel centre at an optical depth."""
     fx, fy, cx, cy = (F.col(f"{prefix}{c}") for c in ("fx", "fy", "cx", "cy"))

@@ -6,13 +6,14 @@ object by contract; ``cameras`` is keyed by (capture_id, rank).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capstrata.functions import geometry as G
 from capstrata.functions.numeric import bottom_offset_interval, within_interval
 from capstrata.operators.ordered import group_diameter, quantiles
 from capstrata.policies import GroundingPolicy
+from capstrata.session import stage
 
 MAX_MARKED_VIEWS = 12
 
@@ -26,37 +27,48 @@ def corner_rays(corners: DataFrame, cameras: DataFrame, extra: list[str] | None
                     *[c.alias(n) for c, n in zip(d, ("rx", "ry", "rz"))])
 
 
-def triangulate(rays: DataFrame, extra: list[str] | None = None, policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
-    """Closest point to the rays of each corner, from nine sums and a closed 3x3 solve.
-
-    One row per corner with its ray angle, system condition and status.
-    """
-    k = ["capture_id", "object_id", *(extra or []), "corner"]
+def _ray_terms() -> dict[str, Column]:
+    """What one ray adds to the nine sums of its corner's 3x3 system."""
     d, o = G.vec("rx", "ry", "rz"), G.vec("ox", "oy", "oz")
-    names = {}
+    terms = {}
     for i in range(3):
         for j in range(i, 3):
-            names[f"m{i}{j}"] = F.sum((1.0 if i == j else 0.0) - d[i] * d[j])
-        names[f"b{i}"] = F.sum(o[i] - d[i] * G.dot(d, o))
-    agg = rays.groupBy(*k).agg(F.count_distinct("rank").alias("views"), *[c.alias(n) for n, c in names.items()])
-    # at most 12 marked views per object, so comparing rays within a corner is bounded
-    a = rays.select(*k, "rank", "rx", "ry", "rz")
-    b = rays.select(*k, F.col("rank").alias("_r"), *[F.col(f"r{c}").alias(f"s{c}") for c in "xyz"])
+            terms[f"m{i}{j}"] = (1.0 if i == j else 0.0) - d[i] * d[j]
+        terms[f"b{i}"] = o[i] - d[i] * G.dot(d, o)
+    return terms
+
+
+def widest_rays(rays: DataFrame, keys: list[str]) -> DataFrame:
+    """The two views of each key whose rays differ most in direction, as ``_wide``: cosine, rank, other."""
+    a = rays.select(*keys, "rank", "rx", "ry", "rz")
+    b = rays.select(*keys, F.col("rank").alias("other"), *[F.col(f"r{c}").alias(f"s{c}") for c in "xyz"])
     cosine = F.abs(G.dot(G.vec("rx", "ry", "rz"), G.vec("sx", "sy", "sz")))
-    angle = a.join(b, k).where("rank < _r").groupBy(*k).agg(
-        F.degrees(F.acos(G.clamp(F.min(cosine), -1.0, 1.0))).alias("max_ray_angle_degrees"))
-    j = agg.join(angle, k, "left")
-    m = [[F.col(f"m{min(i, c)}{max(i, c)}") for c in range(3)] for i in range(3)]
-    point = G.solve3(m, G.vec("b0", "b1", "b2"))
-    j = G.with_extremes(j, [[f"m{min(i, c)}{max(i, c)}" for c in range(3)] for i in range(3)], "_low", "_high")
+    return a.join(b, keys).where("rank < other").groupBy(*keys).agg(F.min(F.struct(cosine.alias("cosine"), "rank", "other")).alias("_wide"))
+
+
+def _solved_corners(sums: DataFrame, keys: list[str], cosine: Column, policy: GroundingPolicy) -> DataFrame:
+    """Point, condition, angle and status of each corner from its sums and the cosine of its widest rays."""
+    angle = F.coalesce(F.degrees(F.acos(G.clamp(cosine, -1.0, 1.0))), F.lit(0.0))
+    m = [[f"m{min(i, c)}{max(i, c)}" for c in range(3)] for i in range(3)]
+    point = G.solve3([[F.col(c) for c in row] for row in m], G.vec("b0", "b1", "b2"))
+    j = G.with_extremes(sums.withColumn("max_ray_angle_degrees", angle), m, "_low", "_high")
     low, high = F.col("_low"), F.col("_high")
-    out = j.select(*k, "views", F.coalesce("max_ray_angle_degrees", F.lit(0.0)).alias("max_ray_angle_degrees"),
-                   F.when(low > 0, high / low).alias("condition"), *[c.alias(n) for c, n in zip(point, "xyz")])
+    out = j.select(*keys, "views", "max_ray_angle_degrees", F.when(low > 0, high / low).alias("condition"), *[c.alias(n) for c, n in zip(point, "xyz")])
     bad = (F.col("max_ray_angle_degrees") < policy.min_angle_degrees) | F.col("condition").isNull() | (F.col("condition") > policy.max_condition)
     status = F.when(F.col("views") < policy.min_views, "INSUFFICIENT_OBSERVATIONS").when(bad, "INSUFFICIENT_PARALLAX").otherwise("SOLVED")
     return out.withColumn("corner_status", status)
 
 
+def triangulate(rays: DataFrame, extra: list[str] | None = None, policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
+    """Closest point to the rays of each corner, from nine sums and a closed 3x3 solve.
+
+    One row per corner with its ray angle, system condition and status.
+    """
+    k = ["capture_id", "object_id", *(extra or []), "corner"]
+    sums = rays.groupBy(*k).agg(F.count_distinct("rank").alias("views"), *[F.sum(c).alias(n) for n, c in _ray_terms().items()])
+    return _solved_corners(sums.join(widest_rays(rays, k), k, "left"), k, F.col("_wide.cosine"), policy)
+
+
 def corner_errors(rays: DataFrame, solved: DataFrame, cameras: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Reprojection error and depth of each solved corner in each of its views."""
     k = ["capture_id", "object_id", *(extra or []), "corner"]
@@ -131,15 +143,33 @@ def reference_state(states: DataFrame, rectangles: DataFrame, pose_views: DataFr
 
 
 def leave_one_out(corners: DataFrame, cameras: DataFrame, policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
-    """Largest error in each held-out view when the other views triangulate the object."""
+    """Largest error in each held-out view when the other views triangulate the object.
+
+    The sums of the other views are all sums minus the held view's own terms. Their widest rays
+    are those of all views unless the held view is one of the two; only for these two views are
+    the remaining rays compared again. So work grows with the views and, for the angle, with
+    three times their pairs, not with the pairs of every held-out copy.
+    """
     k = ["capture_id", "object_id"]
+    kc = [*k, "corner"]
     views = corners.select(*k, "rank").distinct()
     enough = views.groupBy(*k).agg(F.count("*").alias("_n")).where(F.col("_n") > policy.min_views).select(*k)
+    rays = stage(corner_rays(corners.join(enough, k, "left_semi"), cameras))
+    terms = list(_ray_terms())
+    own = rays.groupBy(*kc, F.col("rank").alias("held_out_rank")).agg(*[F.sum(c).alias(f"_{n}") for n, c in _ray_terms().items()])
+    total = own.groupBy(*kc).agg(F.count("*").alias("_views"), *[F.sum(f"_{n}").alias(n) for n in terms])
+    wide = stage(widest_rays(rays, kc))
     held = views.join(enough, k, "left_semi").withColumnRenamed("rank", "held_out_rank")
-    train = corners.join(held, k).where("rank <> held_out_rank")
-    solved = triangulate(corner_rays(train, cameras, ["held_out_rank"]), ["held_out_rank"], policy)
-    test = corners.join(enough, k, "left_semi").withColumn("held_out_rank", F.col("rank"))
-    e = corner_errors(corner_rays(test, cameras, ["held_out_rank"]), solved, cameras, ["held_out_rank"])
+    either = wide.select(*kc, F.explode(F.array("_wide.rank", "_wide.other")).alias("held_out_rank"))
+    again = widest_rays(rays.join(either, kc).where("rank <> held_out_rank"), [*kc, "held_out_rank"]).withColumnRenamed("_wide", "_again")
+    j = held.join(total, k).join(own.withColumn("_in", F.lit(1)), [*kc, "held_out_rank"], "left").join(wide, kc, "left").join(
+        again, [*kc, "held_out_rank"], "left")
+    left = j.select(*kc, "held_out_rank", (F.col("_views") - F.coalesce("_in", F.lit(0))).alias("views"), "_wide", "_again",
+                    *[(F.col(n) - F.coalesce(F.col(f"_{n}"), F.lit(0.0))).alias(n) for n in terms]).where("views > 0")
+    one_of_two = F.col("held_out_rank").isin(F.col("_wide.rank"), F.col("_wide.other"))
+    cosine = F.when(one_of_two, F.col("_again.cosine")).otherwise(F.col("_wide.cosine"))
+    solved = stage(_solved_corners(left, [*kc, "held_out_rank"], cosine, policy))
+    e = corner_errors(rays.withColumn("held_out_rank", F.col("rank")), solved, cameras, ["held_out_rank"])
     e = e.groupBy(*k, "held_out_rank").agg(F.max("error_px").alias("held_out_max_px"), F.min("depth").alias("_d"), F.count("*").alias("_c"))
     state = solved.groupBy(*k, "held_out_rank").agg(F.min(F.col("corner_status") == "SOLVED").alias("_ok"))
     full = F.col("_ok") & (F.col("_c") == 4)
@@ -245,10 +275,40 @@ def corner_violations(corners: DataFrame, views: DataFrame) -> DataFrame:
     return rows.unionByName(many)
 
 
-def polygon_pixels(corner_polygons: DataFrame, support: DataFrame, margin_px: float = 3.0) -> DataFrame:
-    """Accepted pixels inside each marked polygon, kept ``margin_px`` away from its edges."""
-    nxt = lambda p: F.concat(F.slice(p, 2, 3), F.slice(p, 1, 1))
-    j = support.where("accepted").join(corner_polygons, ["capture_id", "image"])
+def polygon_spans(polygons: DataFrame, tile_px: int = 64) -> DataFrame:
+    """Scan-line pieces of convex polygons: image row ``y``, ``tile`` of ``tile_px`` columns, ``x_from`` to ``x_to``.
+
+    A span reaches at least over all pixel centres of its row inside the polygon and at most two
+    pixels beyond. Polygons lie within their image (``corner_violations`` reports others), which
+    bounds the rows.
+    """
+    poly = F.col("polygon")
+    nxt = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
+    ys = F.transform(poly, lambda p: p["y"])
+    df = polygons.withColumns({"_top": F.array_min(ys), "_end": F.array_max(ys)})
+    df = df.withColumn("y", F.explode(F.sequence(F.floor(F.col("_top") - 0.5), F.ceil(F.col("_end") - 0.5))))
+    at = G.clamp_between(F.col("y") + 0.5, F.col("_top"), F.col("_end"))
+
+    def cut(a, b, pick):
+        x = a["x"] + (at - a["y"]) * (b["x"] - a["x"]) / F.when(b["y"] != a["y"], b["y"] - a["y"])
+        crosses = (at >= F.least(a["y"], b["y"])) & (at <= F.greatest(a["y"], b["y"]))
+        return F.when(crosses, F.when(b["y"] != a["y"], x).otherwise(pick(a["x"], b["x"])))
+
+    df = df.withColumns({"x_from": F.floor(F.array_min(F.zip_with(poly, nxt, lambda a, b: cut(a, b, F.least))) - 1.5),
+                         "x_to": F.ceil(F.array_max(F.zip_with(poly, nxt, lambda a, b: cut(a, b, F.greatest))) + 0.5)})
+    return df.withColumn("tile", F.explode(F.sequence(F.floor(F.col("x_from") / tile_px), F.floor(F.col("x_to") / tile_px)))).drop("_top", "_end")
+
+
+def polygon_pixels(corner_polygons: DataFrame, support: DataFrame, margin_px: float = 3.0, tile_px: int = 64) -> DataFrame:
+    """Accepted pixels inside each marked polygon, kept ``margin_px`` away from its edges.
+
+    Pixels meet scan-line spans by image row and column tile, so a pixel is compared with the
+    polygons of its row nearby, not with all polygons of its image.
+    """
+    nxt = lambda p: F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+    spans = polygon_spans(corner_polygons, tile_px)
+    pixels = support.where("accepted").withColumn("tile", F.floor(F.col("x") / tile_px))
+    j = pixels.join(spans, ["capture_id", "image", "y", "tile"]).where(F.col("x").between(F.col("x_from"), F.col("x_to"))).drop("tile", "x_from", "x_to")
     px, py, poly = F.col("x") + 0.5, F.col("y") + 0.5, F.col("polygon")
     clear = F.forall(F.zip_with(poly, nxt(poly), lambda a, b: F.abs(
         (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])) / F.sqrt(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,54 @@ def ratio_matches(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.75)
     return best.select(*key, F.col("_q.query_id").alias("query_id"), "target_id", F.col("_q.distance").alias("distance"))
 
 
+def hamming_pairs(descriptors: DataFrame, pairs: DataFrame, words: int, bound: int) -> DataFrame:
+    """All distinct descriptors of image pairs that differ in at most ``bound`` bits, each pair once.
+
+    ``descriptors`` has (capture_id, image, feature_id, code): ``words`` integers of 32 bits. Codes
+    are cut into chunks of 16 bits. Two codes within the bound agree in some chunk up to
+    ``bound // chunks`` bits, so the first image looks up every chunk with up to that many bits
+    flipped, and a pair counts at its first such chunk only. Equal codes of an image are one row
+    with the smallest feature_id and their number ``copies``.
+    """
+    radius = bound // (2 * words)
+    if not 0 <= radius <= 3:
+        raise ValueError("a chunk of 16 bits takes at most 3 flips: bound <= 8 * words - 1")
+    flips = F.array(*[F.lit(sum(1 << i for i in at)).cast("bigint") for n in range(radius + 1) for at in combinations(range(16), n)])
+    codes = descriptors.select("capture_id", "image", "feature_id", *[F.col("code")[i].alias(f"w{i}") for i in range(words)])
+    codes = codes.groupBy("capture_id", "image", *[f"w{i}" for i in range(words)]).agg(F.min("feature_id").alias("id"), F.count("*").alias("copies"))
+
+    def chunk(word, low):
+        return (word if low else F.shiftright(word, 16)).bitwiseAND(65535)
+
+    values = F.posexplode(F.array(*[chunk(F.col(f"w{i}"), low) for i in range(words) for low in (True, False)])).alias("place", "value")
+    b = codes.select("capture_id", F.col("image").alias("second_image"), F.col("id").alias("target_id"), "copies",
+                     *[F.col(f"w{i}").alias(f"b{i}") for i in range(words)], values)
+    a = pairs.join(codes.drop("copies").withColumnRenamed("image", "first_image"), ["capture_id", "first_image"]).select(
+        "capture_id", "first_image", "second_image", F.col("id").alias("query_id"), *[f"w{i}" for i in range(words)], values)
+    a = a.withColumn("_flip", F.explode(flips)).withColumn("value", F.col("value").bitwiseXOR(F.col("_flip"))).drop("_flip")
+    unlike = [F.col(f"w{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(words)]
+    distance = sum((F.bit_count(x) for x in unlike[1:]), F.bit_count(unlike[0]))
+    first = F.coalesce(*[F.when(F.bit_count(chunk(x, low)) <= radius, 2 * i + (0 if low else 1)) for i, x in enumerate(unlike) for low in (True, False)])
+    return a.join(b, ["capture_id", "second_image", "place", "value"]).where((distance <= bound) & (first == F.col("place"))).select(
+        "capture_id", "first_image", "second_image", "query_id", "target_id", "copies", distance.alias("distance"))
+
+
+def hamming_matches(descriptors: DataFrame, pairs: DataFrame, words: int, bound: int, ratio: float = 0.75) -> DataFrame:
+    """Nearest matches of binary descriptors within ``bound`` bits that pass the ratio test, one query per target.
+
+    A second neighbour beyond the bound counts with the least distance it can have, ``bound + 1``.
+    """
+    key = ["capture_id", "first_image", "second_image"]
+    near = hamming_pairs(descriptors, pairs, words, bound)
+    place = F.row_number().over(Window.partitionBy(*key, "query_id").orderBy("distance", "target_id"))
+    top = near.withColumn("_p", place).where("_p <= 2").groupBy(*key, "query_id").agg(
+        F.min(F.struct("distance", "target_id", "copies")).alias("_best"), F.max(F.when(F.col("_p") == 2, F.col("distance"))).alias("_second"))
+    second = F.least(F.lit(bound + 1), "_second", F.when(F.col("_best.copies") > 1, F.col("_best.distance")))
+    best = top.where(F.col("_best.distance") < ratio * second).groupBy(*key, F.col("_best.target_id").alias("target_id")).agg(
+        F.min(F.struct(F.col("_best.distance").alias("distance"), "query_id")).alias("_q"))
+    return best.select(*key, F.col("_q.query_id").alias("query_id"), "target_id", F.col("_q.distance").alias("distance"))
+
+
 def sampson_medians(matches: DataFrame, features: DataFrame, cameras: DataFrame, min_matches: int = 8) -> DataFrame:
     """Median epipolar error per image pair; skipped without baseline or enough matches.
 

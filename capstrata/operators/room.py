@@ -277,17 +277,36 @@ def line_suggestions(points: DataFrame, lines: DataFrame, policy: PlanPolicy = P
 
 # --- objects ----------------------------------------------------------------
 
-def zbuffer_visible(points: DataFrame, cameras: DataFrame, pixel_bin: int = 3, tolerance_m: float = 0.12) -> DataFrame:
+def tiles_in_view(tiles: DataFrame, cameras: DataFrame, tile_m: float, min_depth: float = 0.0, fold: int = 8) -> DataFrame:
+    """Every camera with the occupied tiles (_i, _j, _k) that may hold a point of its image.
+
+    Cameras meet blocks of ``fold`` x ``fold`` x ``fold`` tiles first and only the tiles of blocks
+    in view afterwards. Tiles are tested as balls, so no visible tile is missed.
+    """
+    side = ("_i", "_j", "_k")
+    block = [F.floor(F.col(c) / fold).alias(f"_b{c}") for c in side]
+    keyed = tiles.select("capture_id", *side, *block)
+    key = ["capture_id", *[f"_b{c}" for c in side]]
+    ball = lambda size: size * math.sqrt(3) / 2
+    centre = lambda p, size: [(F.col(f"{p}{c}") + 0.5) * size for c in side]
+    near = keyed.select(*key).distinct().join(cameras, "capture_id").where(G.may_see(centre("_b", fold * tile_m), ball(fold * tile_m), min_depth))
+    return keyed.join(near, key).where(G.may_see(centre("", tile_m), ball(tile_m), min_depth)).drop(*key[1:])
+
+
+def zbuffer_visible(points: DataFrame, cameras: DataFrame, pixel_bin: int = 3, tolerance_m: float = 0.12, tile_m: float = 0.25) -> DataFrame:
     """Points of each view at most ``tolerance_m`` behind the nearest one of their pixel bin.
 
-    The nearest depth is a map-side minimum per bin that is joined back.
+    A point meets only the cameras that may see its tile of ``tile_m`` metres, so the rows before
+    the frame test follow the visible pairs. The nearest depth is a map-side minimum per bin that
+    is joined back. ``points`` is read twice.
     """
-    # few reviewed cameras per capture; the frame test is part of the join, so a projection
-    # outside the image never leaves it
+    side = ["_i", "_j", "_k"]
+    tiled = points.withColumns({t: F.floor(F.col(c) / tile_m) for t, c in zip(side, "xyz")})
+    views = tiles_in_view(tiled.select("capture_id", *side).distinct(), cameras, tile_m, min_depth=0.05)
     px, py, depth = G.project_pixel(G.vec("x", "y", "z"))
-    cams = cameras.withColumnRenamed("capture_id", "_cap")
-    seen = ((F.col("capture_id") == F.col("_cap")) & (depth > 0.05) & (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height")))
-    p = points.join(cams, seen).select(*points.columns, "rank", px.alias("px"), py.alias("py"), depth.alias("depth"))
+    p = tiled.join(views, ["capture_id", *side]).where(
+        (depth > 0.05) & (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height")))
+    p = p.select(*points.columns, "rank", px.alias("px"), py.alias("py"), depth.alias("depth"))
     p = p.withColumn("_bx", F.floor(F.col("px") / pixel_bin)).withColumn("_by", F.floor(F.col("py") / pixel_bin))
     k = ["capture_id", "rank", "_bx", "_by"]
     near = p.groupBy(*k).agg(F.min("depth").alias("_near"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capstrata.operators import boundaries as bd
 from capstrata.operators import depth as dp
+from capstrata.operators import grounding as gd
 from capstrata.operators import room as rm
 from capstrata.operators import surfaces as sf
 from capstrata.plans.q_timeseries import r6c
@@ -196,6 +197,42 @@ def zbuffer_visible(v):
     return visible(v).select("capture_id", "point_id", "rank", *r6c("px", "py"))
 
 
+# Marked polygons of four objects per capture, drawn from the orders of its key range.
+OBJECT_POLYGONS = """SELECT o_orderkey // 5000 AS capture_id, 1 + o_custkey % 7 AS image, o_custkey % 4 AS object_id, min(o_orderkey) % 11 AS k FROM orders GROUP BY ALL"""
+
+
+def object_polygons(v):
+    k = F.col("k")
+    corner = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    marked = v.table("orders").groupBy(F.floor(F.col("o_orderkey") / 5000).alias("capture_id"), (1 + F.col("o_custkey") % 7).alias("image"),
+                                       (F.col("o_custkey") % 4).alias("object_id")).agg((F.min("o_orderkey") % 11).alias("k"))
+    return marked.select("capture_id", "image", "object_id", F.array(corner(k + 1.3, 2), corner(36.1, 4), corner(33.7, 27), corner(k + 3.4, 25)).alias("polygon"))
+
+
+def _clear(ax, ay, bx, by):
+    return f"(({bx} - ({ax})) * (y + 0.5 - {ay}) - ({by} - {ay}) * (x + 0.5 - ({ax}))) / sqrt(({bx} - ({ax})) * ({bx} - ({ax})) + ({by} - {ay}) * ({by} - {ay})::DOUBLE) >= 3"
+
+
+_INSIDE = " AND ".join(_clear(*e) for e in (("k + 1.3::DOUBLE", 2, "36.1::DOUBLE", 4), ("36.1::DOUBLE", 4, "33.7::DOUBLE", 27),
+                                            ("33.7::DOUBLE", 27, "(k + 3.4::DOUBLE)", 25), ("k + 3.4::DOUBLE", 25, "(k + 1.3::DOUBLE)", 2)))
+
+
+@query("object_plane_distance", "depth_pixels", "depth_schedule", sql=f"""
+    WITH o AS ({OBJECT_POLYGONS}),
+      i AS (SELECT o.capture_id, o.object_id, o.image, 0.6::DOUBLE * ((x + 0.5 - 20) / 50 * z - tx) + 0.8::DOUBLE * z - (1.7::DOUBLE + 0.01::DOUBLE * object_id) AS d
+            FROM o JOIN ({SUPPORT}) s ON s.capture_id = o.capture_id AND s.image = o.image JOIN depth_cameras c ON c.capture_id = o.capture_id AND c.image = o.image WHERE accepted AND {_INSIDE}),
+      g AS (SELECT capture_id, object_id, image, median(d) AS m, quantile_cont(abs(d), 0.9) AS p, count(*) AS n FROM i GROUP BY ALL)
+    SELECT capture_id, object_id, image, {r6('m')} AS signed_median_m, {r6('p')} AS absolute_p90_m, coalesce(n, 0) AS accepted_object_pixels,
+      CASE WHEN n > 0 THEN 'SUPPORTED_PIXELS_ONLY' ELSE 'MISSING_STEREO_SUPPORT' END AS status FROM (SELECT capture_id, object_id, image FROM o) LEFT JOIN g USING (capture_id, object_id, image)""")
+def object_plane_distance(v):
+    polygons = stage(object_polygons(v))
+    planes = polygons.select("capture_id", "object_id").distinct().select(
+        "capture_id", "object_id", F.lit(0.6).alias("normal_x"), F.lit(0.0).alias("normal_y"), F.lit(0.8).alias("normal_z"), (-(1.7 + 0.01 * F.col("object_id"))).alias("plane_d"))
+    inside = stage(gd.polygon_pixels(polygons, support(v)))
+    out = gd.polygon_plane_distance(inside, v.depth_cameras, planes, polygons)
+    return out.select("capture_id", "object_id", "image", *r6c("signed_median_m", "absolute_p90_m"), "accepted_object_pixels", "status")
+
+
 OBJECT_REGIONS = """SELECT capture_id, image AS rank, image % 2 AS object_id, 4 + image AS x0, CAST(0 AS DOUBLE) AS h0, 2.0 - (image % 2) * 0.6::DOUBLE AS h1 FROM depth_cameras"""
 
 

@@ -206,6 +206,49 @@ def ratio_matches(v):
     return m.select("capture_id", "first_image", "second_image", "query_id", "target_id", *r6c("distance"))
 
 
+BOUND = 7
+# Parts seen in the images of a capture: 64 bits spread from the part, two bits flipped in each word by the order.
+BINARY = """SELECT l_orderkey // 5000 AS capture_id, CAST(l_linenumber AS BIGINT) AS image, l_orderkey AS feature_id,
+    xor(xor((l_partkey * 2654435761) % 4294967296, 1::BIGINT << (CAST(l_quantity AS BIGINT) % 32)), 1::BIGINT << (l_suppkey % 31)) AS w0,
+    xor(xor((l_partkey * 2246822519) % 4294967296, 1::BIGINT << (l_orderkey % 29)), 1::BIGINT << (CAST(l_quantity AS BIGINT) * 7 % 30)) AS w1 FROM lineitem"""
+NEAR_CODES = f"""WITH b AS ({BINARY}), p AS (SELECT capture_id, image AS first_image, lead(image) OVER (PARTITION BY capture_id ORDER BY image) AS second_image
+      FROM (SELECT DISTINCT capture_id, image FROM b)),
+    c AS (SELECT capture_id, image, w0, w1, min(feature_id) AS id, count(*) AS n FROM b GROUP BY ALL),
+    d AS (SELECT p.capture_id, first_image, second_image, a.id AS query_id, b.id AS target_id, b.n AS copies, CAST(bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) AS BIGINT) AS distance
+          FROM p JOIN c a ON a.capture_id = p.capture_id AND a.image = p.first_image JOIN c b ON b.capture_id = p.capture_id AND b.image = p.second_image)
+    SELECT * FROM d WHERE distance <= {BOUND}"""
+
+
+def binary_descriptors(v):
+    bit = lambda at: F.expr(f"shiftleft(1L, cast({at} as int))")
+    spread = lambda by: F.col("l_partkey") * by % 4294967296
+    w0 = spread(2654435761).bitwiseXOR(bit("cast(l_quantity as bigint) % 32")).bitwiseXOR(bit("l_suppkey % 31"))
+    w1 = spread(2246822519).bitwiseXOR(bit("l_orderkey % 29")).bitwiseXOR(bit("cast(l_quantity as bigint) * 7 % 30"))
+    return v.table("lineitem").select(F.floor(F.col("l_orderkey") / 5000).alias("capture_id"), F.col("l_linenumber").cast("bigint").alias("image"),
+                                      F.col("l_orderkey").alias("feature_id"), F.array(w0, w1).alias("code"))
+
+
+@query("hamming_pairs", sql=NEAR_CODES)
+def hamming_pairs(v):
+    d = stage(binary_descriptors(v))
+    out = mt.hamming_pairs(d, mt.adjacent_images(d), 2, BOUND)
+    return out.withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@query("hamming_matches", sql=f"""
+    WITH d AS ({NEAR_CODES}),
+      t AS (SELECT *, row_number() OVER (PARTITION BY capture_id, first_image, query_id ORDER BY distance, target_id) AS place FROM d),
+      q AS (SELECT capture_id, first_image, second_image, query_id, arg_min(target_id, place) AS target_id, arg_min(copies, place) AS n, min(distance) AS distance, min(distance) FILTER (place = 2) AS second
+            FROM t WHERE place <= 2 GROUP BY ALL),
+      g AS (SELECT *, row_number() OVER (PARTITION BY capture_id, first_image, target_id ORDER BY distance, query_id) AS pos FROM q
+            WHERE distance < 0.75::DOUBLE * least(coalesce(second, {BOUND + 1}), CASE WHEN n > 1 THEN distance ELSE {BOUND + 1} END))
+    SELECT capture_id, first_image, second_image, query_id, target_id, distance FROM g WHERE pos = 1""")
+def hamming_matches(v):
+    d = stage(binary_descriptors(v))
+    m = mt.hamming_matches(d, mt.adjacent_images(d), 2, BOUND)
+    return m.withColumn("distance", F.col("distance").cast("bigint"))
+
+
 @query("sampson_medians", "descriptors", sql=f"""
     WITH m AS ({MATCHES}), f AS (SELECT feature_id, 320 + 200 * CAST(embedding[8] AS DOUBLE) AS u, 240 + 200 * CAST(embedding[9] AS DOUBLE) AS v FROM descriptors),
       n AS (SELECT m.*, (a.u - 320) / 500 AS xa, (a.v - 240) / 500 AS ya, (b.u - 320) / 500 AS xb, (b.v - 240) / 500 AS yb,
