@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from capstrata.functions import geometry as G
 from capstrata.functions.numeric import bottom_offset_interval, within_interval
 from capstrata.operators.ordered import group_diameter, quantiles
+from capstrata.operators.reviews import order_violations
 from capstrata.policies import GroundingPolicy
 from capstrata.session import stage
 
@@ -253,12 +254,12 @@ def thickness_violations(bounds: DataFrame) -> DataFrame:
 
 
 def corner_violations(corners: DataFrame, views: DataFrame) -> DataFrame:
-    """Marked views that are unknown, changed, malformed or too many.
+    """Marked views that are unknown, changed, malformed, too many or out of order.
 
     ``corners`` here has one row per marked view with polygon and the identity columns
-    frame_id, sha256, width and height.
+    frame_id, relative_sec, sha256, width and height, and ``position``, its place as written.
     """
-    ident = ["frame_id", "sha256", "width", "height"]
+    ident = ["frame_id", "relative_sec", "sha256", "width", "height"]
     v = views.select("capture_id", "rank", *[F.col(c).alias(f"_v_{c}") for c in ident])
     j = corners.join(v, ["capture_id", "rank"], "left")
     changed = F.lit(False)
@@ -269,10 +270,8 @@ def corner_violations(corners: DataFrame, views: DataFrame) -> DataFrame:
         F.when(~known, F.lit("GROUNDING_SELECTION_INVALID")), F.when(known & changed, F.lit("GROUNDING_ANNOTATION_SOURCE_CHANGED")),
         F.when(~G.valid_polygon(F.col("polygon"), F.col("width"), F.col("height"), corners=True), F.lit("GROUNDING_CORNERS_INVALID"))))
     rows = j.select("capture_id", "object_id", "rank", F.explode(codes).alias("code"))
-    n = corners.groupBy("capture_id", "object_id").agg(F.count("*").alias("_n"), F.count_distinct("rank").alias("_u"))
-    many = n.where((F.col("_n") > MAX_MARKED_VIEWS) | (F.col("_n") != F.col("_u"))).select(
-        "capture_id", "object_id", F.lit(None).cast("bigint").alias("rank"), F.lit("GROUNDING_SELECTION_INVALID").alias("code"))
-    return rows.unionByName(many)
+    order = order_violations(corners, ["capture_id", "object_id"], "position", "rank", at_most=MAX_MARKED_VIEWS)
+    return rows.unionByName(order.select("capture_id", "object_id", F.lit(None).cast("bigint").alias("rank"), F.lit("GROUNDING_SELECTION_INVALID").alias("code")))
 
 
 def polygon_spans(polygons: DataFrame, tile_px: int = 64) -> DataFrame:

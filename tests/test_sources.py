@@ -1,5 +1,6 @@
 """Small written captures: scans, hashes, rasters and publication."""
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -104,6 +105,36 @@ def test_publish_once(spark, tmp_path):
         publish.publish_once(spark, {"frames": t}, root, "c3", sources=[str(tmp_path)])
 
 
+def test_two_writers_one_publishes(spark, tmp_path):
+    root, t = str(tmp_path / "out"), spark.createDataFrame([("c1", 1)], "capture_id string, rank long")
+
+    def write(n):
+        try:
+            return publish.publish_once(spark, {"frames": t.withColumn("writer", F.lit(n))}, root, "c1")
+        except ContractViolation as refused:
+            return refused.code
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(write, range(4)))
+    won = [i for i, g in enumerate(got) if g not in ("OUTPUT_CLAIMED", "OUTPUT_EXISTS")]
+    assert len(won) == 1
+    assert [r["writer"] for r in publish.open_capture(spark, root, "frames").collect()] == won
+    assert publish.read_manifests(spark, root).count() == 1 and not [p for p in (tmp_path / "out" / "_claims").iterdir() if not p.name.startswith(".")]
+
+
+def test_stale_claims(spark, tmp_path):
+    root, t = str(tmp_path / "out"), spark.createDataFrame([("c1", 1)], "capture_id string, rank long")
+    publish.claim(spark, root, "c1", "dead")
+    with pytest.raises(ContractViolation) as e:
+        publish.publish_once(spark, {"frames": t}, root, "c1", stale_after_sec=3600)
+    assert e.value.code == "OUTPUT_CLAIMED"
+    publish.publish_once(spark, {"frames": t}, root, "c1", stale_after_sec=0)
+    assert publish.open_capture(spark, root, "frames").count() == 1
+    with pytest.raises(ContractViolation) as e:
+        publish.open_capture(spark, root, "poses")
+    assert e.value.code == "CAPTURE_NOT_READY"
+
+
 def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([(2, "b", 0.5), (1, "a", 1.5)], "k long, s string, x double").coalesce(1)
     publish.sink_csv_crlf(t, str(tmp_path / "csv"), ["k"])
