@@ -113,6 +113,28 @@ def room_slugs(paths: DataFrame) -> DataFrame:
     return numbered.unionByName(walked)
 
 
+def room_connections(rooms: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Declared connections of folders as connections of rooms, and the declarations left out.
+
+    ``rooms`` is a ``room_slugs`` result; ``declared`` has (capture_id, folder, position, target),
+    both folders as declared. A declaration counts if both folders hold photos. The others come
+    back with ``missing``: SOURCE or TARGET.
+    """
+    at = lambda folder, room: rooms.select("capture_id", F.col("folder").alias(folder), F.col("room_id").alias(room))
+    j = declared.join(at("folder", "room_id"), ["capture_id", "folder"], "left").join(at("target", "connected_room_id"), ["capture_id", "target"], "left")
+    missing = F.when(F.col("room_id").isNull(), "SOURCE").when(F.col("connected_room_id").isNull(), "TARGET")
+    j = j.withColumn("missing", missing)
+    return (j.where("missing IS NULL").select("capture_id", "room_id", "position", "connected_room_id"),
+            j.where("missing IS NOT NULL").select("capture_id", "folder", "position", "target", "missing"))
+
+
+def dangling_room_links(rooms: DataFrame, links: DataFrame) -> DataFrame:
+    """Connections that name no room of their capture."""
+    known = rooms.select("capture_id", F.col("room_id").alias("connected_room_id")).distinct()
+    return links.join(known, ["capture_id", "connected_room_id"], "left_anti").select(
+        "capture_id", "connected_room_id", F.lit("DANGLING_ROOM_LINK").alias("code")).distinct()
+
+
 def photo_findings(photos: DataFrame) -> DataFrame:
     """Missing EXIF or time, a name that disagrees with the EXIF time, unapplied orientation.
 

@@ -13,6 +13,7 @@ from capstrata.plans.q_timeseries import r6c
 from capstrata.plans.registry import query, r6
 from capstrata.session import run_folder
 from capstrata.sources import files
+from capstrata.session import stage
 
 
 @query("asset_identity", "assets", sql="""
@@ -53,21 +54,61 @@ SLUG_NAMES = ["Kitchen", "Kitchen 2", "kitchen", "Hall", "hall-2", "Hall 2 2", "
 SLUG_FOLDERS = f"""SELECT DISTINCT 'c' || (doc_id % 5) AS capture_id, 'f' || (doc_id // 40) || '/' || CASE WHEN doc_id % 8 = 7 THEN source ELSE [{', '.join(f"'{n}'" for n in SLUG_NAMES)}][1 + doc_id % 8] END AS folder FROM documents"""
 
 
-@query("room_slugs", sql=f"""
+ROOMS = f"""
     WITH RECURSIVE s AS (SELECT capture_id, folder, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_extract(folder, '[^/]*$')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'room') AS slug FROM ({SLUG_FOLDERS})),
       o AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY folder) AS n FROM s),
       w AS (SELECT capture_id, folder, n, slug AS room_id, [slug] AS taken FROM o WHERE n = 1
         UNION ALL SELECT capture_id, folder, n, room_id, list_append(taken, room_id) FROM (
           SELECT o.capture_id, o.folder, o.n, w.taken, CASE WHEN list_contains(w.taken, o.slug) THEN o.slug || '-' || list_filter(range(2, 3 + len(w.taken)), lambda i: NOT list_contains(w.taken, o.slug || '-' || i))[1] ELSE o.slug END AS room_id
           FROM w JOIN o ON o.capture_id = w.capture_id AND o.n = w.n + 1))
-    SELECT capture_id, folder, room_id FROM w""")
-def room_slugs(v):
-    d = F.col("doc_id")
+    SELECT capture_id, folder, room_id FROM w"""
+
+
+def _folder(d):
     name = F.coalesce(F.get(F.array(*map(F.lit, SLUG_NAMES)), (d % 8).cast("int")), F.col("source"))
-    p = v.table("documents").select(F.concat(F.lit("c"), (d % 5).cast("string")).alias("capture_id"), F.concat(F.lit("f"), F.floor(d / 40).cast("string"), F.lit("/"), name, F.lit("/x.jpg")).alias("path"))
+    return F.concat(F.lit("f"), F.floor(d / 40).cast("string"), F.lit("/"), name)
+
+
+def slug_rooms(v):
+    d = F.col("doc_id")
+    p = v.table("documents").select(F.concat(F.lit("c"), (d % 5).cast("string")).alias("capture_id"), F.concat(_folder(d), F.lit("/x.jpg")).alias("path"))
     return ig.room_slugs(p)
 
 
+@query("room_slugs", sql=ROOMS)
+def room_slugs(v):
+    return slug_rooms(v)
+
+
+def _folder_sql(d):
+    return f"""'f' || ({d} // 40) || '/' || CASE WHEN {d} % 8 = 7 THEN source ELSE [{', '.join(f"'{n}'" for n in SLUG_NAMES)}][1 + {d} % 8] END"""
+
+
+# Every document declares that its folder leads to that of the fifth document after it; some of these hold no photos.
+DECLARED = f"""SELECT 'c' || (doc_id % 5) AS capture_id, doc_id AS position, {_folder_sql('doc_id')} || CASE WHEN doc_id % 17 = 0 THEN ' old' ELSE '' END AS folder, {_folder_sql('(doc_id + 5)')} AS target FROM documents"""
+LINKS = f"""SELECT d.*, r.room_id, t.room_id AS connected_room_id FROM ({DECLARED}) d LEFT JOIN ({ROOMS}) r ON r.capture_id = d.capture_id AND r.folder = d.folder
+    LEFT JOIN ({ROOMS}) t ON t.capture_id = d.capture_id AND t.folder = d.target"""
+
+
+def connections(v):
+    d = F.col("doc_id")
+    declared = v.table("documents").select(
+        F.concat(F.lit("c"), (d % 5).cast("string")).alias("capture_id"), d.alias("position"),
+        F.concat(_folder(d), F.when(d % 17 == 0, " old").otherwise("")).alias("folder"), _folder(d + 5).alias("target"))
+    return ig.room_connections(stage(slug_rooms(v)), declared)
+
+
+@query("room_connections", sql=f"SELECT capture_id, room_id, position, connected_room_id FROM ({LINKS}) WHERE room_id IS NOT NULL AND connected_room_id IS NOT NULL")
+def room_connections(v):
+    return connections(v)[0]
+
+
+@query("unresolved_connections", sql=f"""SELECT capture_id, folder, position, target, CASE WHEN room_id IS NULL THEN 'SOURCE' ELSE 'TARGET' END AS missing
+    FROM ({LINKS}) WHERE room_id IS NULL OR connected_room_id IS NULL""")
+def unresolved_connections(v):
+    return connections(v)[1]
+
+
 _STEM = "printf('%04d%02d%02d_%02d%02d%02d', 2000 + doc_id % 30, 1 + doc_id % 12, 1 + doc_id % 28, doc_id % 24, doc_id % 60, n_chars % 60)"
 PHOTOS = f"""SELECT 'room/' || CASE WHEN doc_id % 5 = 0 THEN 'IMG_' || doc_id ELSE {_STEM} END || '.jpg' AS path, lang, doc_id % 7 <> 0 AS has_exif,
     CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 <> 0 THEN printf('%04d-%02d-%02dT%02d:%02d:%02d', 2000 + doc_id % 30, 1 + doc_id % 12, 1 + doc_id % 28, doc_id % 24, doc_id % 60, (n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % 60) END AS exif_time,

@@ -105,6 +105,25 @@ def test_publish_once(spark, tmp_path):
         publish.publish_once(spark, {"frames": t}, root, "c3", sources=[str(tmp_path)])
 
 
+def test_photo_rooms_and_connections(spark, tmp_path):
+    root = tmp_path / "house"
+    for name in ("Kitchen/a.jpg", "Kitchen/b.PNG", "Kitchen 2/c.jpeg", "x/Kitchen/d.jpg", "Hall/e.heic", "notes.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode())
+    photos, bad = files.discover_photos(spark, str(root))
+    assert {r["path"] for r in photos.collect()} == {"Kitchen/a.jpg", "Kitchen/b.PNG", "Kitchen 2/c.jpeg", "x/Kitchen/d.jpg"}
+    assert [(r["path"], r["code"]) for r in bad.collect()] == [("Hall/e.heic", "UNSUPPORTED_IMAGE_FORMAT")]
+    rooms = integrity.room_slugs(photos.select(F.lit("house").alias("capture_id"), "path"))
+    assert {(r["folder"], r["room_id"]) for r in rooms.collect()} == {("Kitchen", "kitchen"), ("Kitchen 2", "kitchen-2"), ("x/Kitchen", "kitchen-3")}
+    declared = spark.createDataFrame([("house", "Kitchen", 0, "x/Kitchen"), ("house", "Kitchen", 1, "Hall"), ("house", "Attic", 2, "Kitchen"), ("other", "Kitchen", 0, "Kitchen 2")],
+                                     "capture_id string, folder string, position long, target string")
+    links, left = integrity.room_connections(rooms, declared)
+    assert [tuple(r) for r in links.collect()] == [("house", "kitchen", 0, "kitchen-3")]
+    assert {(r["capture_id"], r["position"], r["missing"]) for r in left.collect()} == {("house", 1, "TARGET"), ("house", 2, "SOURCE"), ("other", 0, "SOURCE")}
+    loose = spark.createDataFrame([("house", "kitchen"), ("house", "cellar")], "capture_id string, connected_room_id string")
+    assert [tuple(r) for r in integrity.dangling_room_links(rooms, loose).collect()] == [("house", "cellar", "DANGLING_ROOM_LINK")]
+
+
 def test_two_writers_one_publishes(spark, tmp_path):
     root, t = str(tmp_path / "out"), spark.createDataFrame([("c1", 1)], "capture_id string, rank long")
 
