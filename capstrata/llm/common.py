@@ -23,6 +23,16 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def columns_of(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, which may hold dots."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: functions over batches take no names with dots or quotes."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def unit_hash(*cols: Column) -> Column:
     """A number strictly between 0 and 1 that depends on the columns only (52 bits of their 64-bit hash)."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / float(1 << 52)
@@ -45,4 +55,4 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out
         .drop(n)
     )
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return cut.join(starts, keys).withColumn(out, (within - 1 + F.col(before)).cast("long")).select(*df.columns, out)
+    return cut.join(starts, keys).withColumn(out, (within - 1 + F.col(before)).cast("long")).select(*columns_of(df.columns), out)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capstrata.llm.common import columns_of, fresh, numbered
 from capstrata.session import stage, unstage
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
@@ -64,16 +65,19 @@ def parse(html: str) -> Page:
     page = Page(["#page"], [{}], [0], [-1], [[]])
     open_: list[int] = [0]
 
+    depths: dict[str, list[int]] = {}  # places in open_ by tag, so that a stray end tag costs nothing
+
+    def innermost(tags: set[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     def close(tags: set[str], within: set[str]) -> None:
-        for depth in range(len(open_) - 1, 0, -1):
-            tag = page.tags[open_[depth]]
-            if tag in tags:
-                for i in open_[depth:]:
-                    page.ends[i] = len(page.tags)
-                del open_[depth:]
-                return
-            if tag in within:
-                return
+        depth = innermost(tags)
+        if not depth or depth < innermost(within):
+            return
+        for i in open_[depth:]:
+            page.ends[i] = len(page.tags)
+            depths[page.tags[i]].pop()
+        del open_[depth:]
 
     at = 0
     while m := TAG.search(html, at):
@@ -101,6 +105,7 @@ def parse(html: str) -> Page:
             page.items[i].append(unescape(html[at:end.start() if end else len(html)]) if tag in ("title", "textarea") else "")
             at = end.end() if end else len(html)
         elif tag not in VOID:
+            depths.setdefault(tag, []).append(len(open_))
             open_.append(i)
     if at < len(html):
         page.items[open_[-1]].append(unescape(html[at:]))
@@ -160,19 +165,20 @@ def regions(page: Page, out: list[bool]) -> list[int]:
     page around it, or if together they hold most of a page without a headline: else they are cards beside the text.
     """
     n = text_sizes(page, out)
-    headlines = [i for i in range(1, len(page.tags)) if page.tags[i] == "h1" and not out[i] and n[i]]
+    headlines = [0]  # how many come before an element
+    for i in range(len(page.tags)):
+        headlines.append(headlines[-1] + (page.tags[i] == "h1" and not out[i] and n[i] > 0))
     is_main = lambda i: page.tags[i] == "main" or page.attrs[i].get("role") == "main"
     is_body = lambda i: "articlebody" in page.attrs[i].get("itemprop", "").lower()
 
-    def around(i: int) -> int:
-        while i and not is_main(i):
-            i = page.parents[i]
-        return n[i]
+    around = [n[0]]  # the text of the main part or page around an element
+    for i in range(1, len(page.tags)):
+        around.append(n[i] if is_main(i) else around[page.parents[i]])
 
     def holds_text(found: list[int]) -> bool:
-        if any(i <= x < page.ends[i] for x in headlines for i in found) or any(2 * n[i] >= around(i) for i in found):
+        if any(headlines[page.ends[i]] > headlines[i] or 2 * n[i] >= around[i] for i in found):
             return True
-        return not headlines and 2 * sum(n[i] for i in found) >= around(found[0])
+        return not headlines[-1] and 2 * sum(n[i] for i in found) >= around[found[0]]
 
     for fits, sure in (
         (lambda i: page.tags[i] == "article", lambda found: False),
@@ -299,22 +305,23 @@ def extract_text(df: DataFrame, page_id: str, url: str, html: str, rule: Templat
     """
     blocks = stage(page_blocks(df, page_id, url, html))
     n_pages = df.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(page_id).cast("string"), F.col(url), F.lit("")).alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    mark = "hashes_of_page"
+    mark, host, first, second = fresh([*df.columns, out], "hashes_of_page", "host_of_page", "v1_of_page", "v2_of_page")
     of_page = blocks.join(site_templates(blocks, n_pages, rule), ["host", "hash"]).groupBy("host", "v1", "v2").agg(F.collect_set("hash").alias(mark))
-    of_page = stage(of_page).select(F.col("host").alias("host_of_page"), F.col("v1").alias("v1_of_page"), F.col("v2").alias("v2_of_page"), mark)
+    of_page = stage(of_page).select(F.col("host").alias(host), F.col("v1").alias(first), F.col("v2").alias(second), mark)
     unstage(blocks)
     names = [c for c in df.columns if c.lower() != out.lower()]
     at = names.index(html)
     v1, v2 = page_key(F.col(html))
-    keyed = df.select(*names, host_of(F.col(url)).alias("host_of_page"), v1.alias("v1_of_page"), v2.alias("v2_of_page"))
-    joined = keyed.join(of_page, ["host_of_page", "v1_of_page", "v2_of_page"], "left").select(*names, mark)
+    keyed = df.select(*columns_of(names), host_of(F.col(url)).alias(host), v1.alias(first), v2.alias(second))
+    joined = keyed.join(of_page, [host, first, second], "left").select(*columns_of(names), mark)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(parse(h), set(t) if t is not None else set()) if h else "" for h, t in zip(batch.iloc[:, at], batch[mark])]
-            made = batch.drop(columns=[mark])
-            made[out] = texts
+            texts = [main_text(parse(h), set(t) if t is not None else set()) if h else "" for h, t in zip(batch.iloc[:, at], batch.iloc[:, -1])]
+            made = batch.iloc[:, :-1].copy()
+            made["text"] = texts
             yield made
 
-    schema = df.select(*names).schema.add(out, "string")
-    return joined.mapInPandas(extract, schema)
+    plain = numbered(joined)
+    schema = plain.drop(plain.columns[-1]).schema.add("text", "string")
+    return plain.mapInPandas(extract, schema).toDF(*names, out)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capstrata.llm.common import fresh
 from capstrata.llm.wordhash import _FACTOR, Texts, mix, slices
 from capstrata.operators.graph import connected_components
 from capstrata.session import stage, unstage
@@ -271,14 +272,14 @@ def keep_one(df: DataFrame, key: str, text: str, rule: JaccardRule) -> DataFrame
     A document is its key and its text: repeated rows are one document and leave one row, rows of one key with
     different texts are different documents. Rows without a key come last in the order. Texts without words stay.
     """
+    of_id, of_version, first, mark = fresh(df.columns, "kj_id", "kj_version", "kj_twice", "kj_version_of_row")
     version = F.xxhash64(F.lit("text"), F.col(text))
     docs = df.select(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), version.alias("version")).alias("doc"), F.col(text).alias("text"))
     found = jaccard_components(docs, "doc", "text", rule)
     counts = stage(found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.any_value("component_id").alias("c")).where("n > 1 or doc <> c"))
-    flat = counts.select(F.col("doc.id").alias("kj_id"), F.col("doc.version").alias("kj_version"), (F.col("doc") == F.col("c")).alias("kj_twice"))
-    twice = stage(flat.where("kj_twice"))
-    same = F.col(key).eqNullSafe(F.col("kj_id")) & (version == F.col("kj_version"))
+    flat = counts.select(F.col("doc.id").alias(of_id), F.col("doc.version").alias(of_version), (F.col("doc") == F.col("c")).alias(first))
+    twice = stage(flat.where(F.col(first)))
+    same = F.col(key).eqNullSafe(F.col(of_id)) & (version == F.col(of_version))
     rest = df.join(flat, same, "left_anti")
-    mark = "kj_version_of_row"
     once = df.join(twice, same, "left_semi").withColumn(mark, version).dropDuplicates([key, mark]).drop(mark)
     return rest.unionByName(once)

@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from capstrata.llm.common import columns_of, numbered
 from capstrata.session import stage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -162,6 +164,7 @@ def identify(df: DataFrame, text: str, model: LanguageModel, lang_out: str = "la
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = list(shared.value.predict(t if isinstance(t, str) else None for t in batch.iloc[:, at]))
-            yield batch.assign(**{lang_out: [f[0] for f in found], score_out: [f[1] for f in found]})
+            yield batch.assign(lang=[f[0] for f in found], score=[f[1] for f in found])
 
-    return df.select(*names).mapInPandas(work, df.select(*names).schema.add(lang_out, "string").add(score_out, "double"))
+    rows = numbered(df.select(*columns_of(names)))
+    return rows.mapInPandas(work, StructType([*rows.schema.fields, StructField("lang", StringType()), StructField("score", DoubleType())])).toDF(*names, lang_out, score_out)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capstrata.llm.common import columns_of, fresh
 from capstrata.session import stage, unstage
 
 
@@ -161,11 +162,12 @@ def drop_repeated(df: DataFrame, key: str, text: str, rule: LineRule = LineRule(
     A document of which every line with a word is dropped goes as a whole: it holds nothing of its own. A document
     without such lines (null, empty or blank text) stays as it is.
     """
-    dropped = by_document(repeated_lines(df, key, text, rule)).select(F.col("id").alias("ld_id"), F.col("version").alias("ld_version"), F.col("drop_lines").alias("ld_lines"))
+    of_id, of_version, lines, left = fresh(df.columns, "ld_id", "ld_version", "ld_lines", "ld_kept")
+    dropped = by_document(repeated_lines(df, key, text, rule)).select(F.col("id").alias(of_id), F.col("version").alias(of_version), F.col("drop_lines").alias(lines))
     version = F.xxhash64(F.lit("text"), F.col(text))
-    joined = df.join(dropped, F.col(key).eqNullSafe(F.col("ld_id")) & (version == F.col("ld_version")), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("ld_lines", i))
-    joined = joined.withColumn("ld_kept", F.when(F.col("ld_lines").isNotNull(), F.array_join(kept, "\n")))
-    changed = F.coalesce(F.col("ld_kept"), F.col(text))
-    stays = F.col("ld_lines").isNull() | F.col("ld_kept").rlike(r"[^ \t\n\x0B\f\r]")
-    return joined.where(stays).select(*[changed.alias(c) if c.lower() == text.lower() else F.col(c) for c in df.columns])
+    joined = df.join(dropped, F.col(key).eqNullSafe(F.col(of_id)) & (version == F.col(of_version)), "left")
+    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(lines, i))
+    joined = joined.withColumn(left, F.when(F.col(lines).isNotNull(), F.array_join(kept, "\n")))
+    changed = F.coalesce(F.col(left), F.col(text))
+    stays = F.col(lines).isNull() | F.col(left).rlike(r"[^ \t\n\x0B\f\r]")
+    return joined.where(stays).select(*[changed.alias(c) if c.lower() == text.lower() else q for c, q in zip(df.columns, columns_of(df.columns))])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capstrata.llm.common import fresh
+from capstrata.llm.common import columns_of, fresh
 from capstrata.session import stage
 
 #: A mean is inverted in parts of at most LARGEST_MEAN; the sum of independent Poisson counts is Poisson.
@@ -91,6 +91,6 @@ def mix_sources(df: DataFrame, source: str, key: Sequence[str], text: str, weigh
     copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     place = md5_bits(F.concat(F.lit(f"{seed}|order|"), F.col(copy).cast("string"), F.lit("|"), ids), 15)
     placed = copies.withColumn(order, place)
-    kept = [F.col(c) for c in df.columns if c.lower() not in (copy_out.lower(), order_out.lower())]
+    kept = columns_of(c for c in df.columns if c.lower() not in (copy_out.lower(), order_out.lower()))
     mixed = placed.select(*kept, F.col(copy).cast("int").alias(copy_out), F.col(order).alias(order_out))
     return mixed.repartition(order_out).sortWithinPartitions(order_out, copy_out)

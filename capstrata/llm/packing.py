@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capstrata.llm.common import fresh, number_within
+from capstrata.llm.common import columns_of, fresh, number_within
 from capstrata.session import stage
 
 #: Letters of these texts have had the same Unicode classes for many versions, so both tokenizer libraries cut them alike.
@@ -179,21 +179,21 @@ def pack_best_fit(df: DataFrame, length: str, capacity: int, order: Sequence[str
     Rows that tie on `order` are interchangeable. Existing columns named like the results are replaced.
     """
     keep = [c for c in df.columns if c.lower() not in (sequence_out.lower(), offset_out.lower())]
-    rank, runs, at = fresh(df.columns, "rank_of_length", "runs_of_length", "run")
-    rows = stage(df.select(*keep))
+    rank, runs, at, planned = fresh(df.columns, "rank_of_length", "runs_of_length", "run", "plan_length")
+    rows = stage(df.select(*columns_of(keep)))
     counts = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}
     if None in counts:
         raise ValueError(f"{length} is null in {counts[None]} rows")
     per_length: dict[int, list] = {}
     for n, first_rank, first_bin, per, offset in best_fit_plan(counts, capacity):
         per_length.setdefault(n, []).append((first_rank, first_bin, per, offset))
-    plan = df.sparkSession.createDataFrame([(n, r) for n, r in per_length.items()] , f"plan_length long, {runs} array<struct<first_rank:long,first_bin:long,per_bin:long,offset:long>>")
+    plan = df.sparkSession.createDataFrame([(n, r) for n, r in per_length.items()] , f"{planned} long, {runs} array<struct<first_rank:long,first_bin:long,per_bin:long,offset:long>>")
     ranked = number_within(rows, [length], order, rank)
-    placed = ranked.join(F.broadcast(plan), F.col(length) == F.col("plan_length")).drop("plan_length")
+    placed = ranked.join(F.broadcast(plan), F.col(length) == F.col(planned)).drop(planned)
     placed = placed.withColumn(at, F.element_at(F.filter(F.col(runs), lambda r: r["first_rank"] <= F.col(rank)), -1))
     since = F.col(rank) - F.col(f"{at}.first_rank")
     return placed.select(
-        *keep,
+        *columns_of(keep),
         (F.col(f"{at}.first_bin") + F.floor(since / F.col(f"{at}.per_bin"))).cast("long").alias(sequence_out),
         (F.col(f"{at}.offset") + since % F.col(f"{at}.per_bin") * F.col(length)).cast("long").alias(offset_out),
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capstrata.llm.common import columns_of, fresh
 from capstrata.session import stage, unstage
 
 # Titles by gender, and given names by gender and script.
@@ -236,11 +237,12 @@ def replace_entities(df: DataFrame, text: str, secret_key: str, count_out: str =
     Only rows with a match are shuffled, and only their text and matches are staged.
     """
     names = [c for c in df.columns if c.lower() != count_out.lower()]
-    rows = df.select(*names)
+    inner = fresh([], *[f"c{i}" for i in range(len(names))])
+    rows = df.select(*columns_of(names))
     has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     plain = rows.where(~has).withColumn(count_out, F.lit(0))
     hit = stage(rows.where(has).select(
-        F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("rid"),
+        F.struct(*[c.alias(i) for c, i in zip(columns_of(names), inner)]).alias("row"), F.monotonically_increasing_id().alias("rid"),
         F.split(text, ANY, -1).alias("between"), F.expr(f"regexp_extract_all(`{text}`, {_literal(ANY)}, 0)").alias("found"),
     ))
     mentions = hit.select("rid", F.posexplode("found").alias("at", "value")).withColumn("parts", parts_of(F.col("value")))
@@ -251,7 +253,7 @@ def replace_entities(df: DataFrame, text: str, secret_key: str, count_out: str =
     by_row = whole.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new"))
     joined = hit.join(by_row, "rid")
     changed = F.array_join(F.zip_with("between", F.concat(F.col("new"), F.array(F.lit(""))), lambda b, n: F.concat(b, n)), "")
-    done = joined.select(*[changed.alias(c) if c.lower() == text.lower() else F.col(f"row.{c}").alias(c) for c in names], F.size("new").alias(count_out))
+    done = joined.select(*[changed.alias(c) if c.lower() == text.lower() else F.col(f"row.{i}").alias(c) for c, i in zip(names, inner)], F.size("new").alias(count_out))
     return plain.unionByName(done)
 
 

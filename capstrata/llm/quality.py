@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from capstrata.llm.common import fresh
+from capstrata.llm.common import columns_of, fresh, numbered
 from capstrata.llm.wordhash import Texts, mix, repeated, slices
 from capstrata.session import stage
 
@@ -58,8 +58,9 @@ def rule_statistics(df: DataFrame, text: str) -> DataFrame:
     One pass without a shuffle. Words are [^\\x20\\x09-\\x0D]+, lines are cut at line feeds.
     """
     low = [s.lower() for s in STATISTICS]
-    kept = df.select(*[c for c in df.columns if c.lower() not in low])
-    names = [*kept.columns, *STATISTICS]
+    kept = df.select(*columns_of(c for c in df.columns if c.lower() not in low))
+    plain = numbered(kept)
+    names = [*plain.columns, *STATISTICS]
     at = [c.lower() for c in kept.columns].index(text.lower())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +70,7 @@ def rule_statistics(df: DataFrame, text: str) -> DataFrame:
                 counts = count_rules(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(counts[s].astype(np.int64)) for s in STATISTICS]], names=names)
 
-    return kept.mapInArrow(count, StructType([*kept.schema.fields, *[StructField(s, LongType()) for s in STATISTICS]]))
+    return plain.mapInArrow(count, StructType([*plain.schema.fields, *[StructField(s, LongType()) for s in STATISTICS]])).toDF(*kept.columns, *STATISTICS)
 
 
 def base_failed() -> Column:
@@ -152,13 +153,15 @@ def sample_features(rows: DataFrame, key: str, n: int, seed: int) -> np.ndarray:
 def with_scores(stats: DataFrame, forest: IsolationForest, out: str) -> DataFrame:
     shared = stats.sparkSession.sparkContext.broadcast(forest)  # its size depends on its parameters alone
     names = [c for c in stats.columns if c.lower() != out.lower()]
+    plain = numbered(stats.select(*columns_of(names)))
+    made = [*plain.columns, "score"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = {k: batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in STATISTICS}
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(features(s)))], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(features(s)))], names=made)
 
-    return stats.select(*names).mapInArrow(add, StructType([*[stats.schema[c] for c in names], *StructType.fromDDL(f"`{out}` double").fields]))
+    return plain.mapInArrow(add, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*names, out)
 
 
 def calibrate(scored: DataFrame, score: str, good: str, false_cost: float) -> float:
@@ -210,9 +213,8 @@ def judge(stats: DataFrame, model: QualityModel, score_out: str = "anomaly", fai
 
 def keep_good(docs: DataFrame, text: str, model: QualityModel) -> DataFrame:
     """The documents that pass, in one pass over the texts without a shuffle; columns stay as they were."""
-    stats = rule_statistics(docs, text)
-    lost = [c for c in docs.columns if c not in stats.columns]
-    if lost:
-        raise ValueError(f"columns {lost} have the names of statistics; rename them")
+    inner = fresh(STATISTICS, *[f"c{i}" for i in range(len(docs.columns))])  # no column is lost to a statistic of its name
+    at = [c.lower() for c in docs.columns].index(text.lower())
+    stats = rule_statistics(docs.toDF(*inner), inner[at])
     score, failed, kept = fresh(stats.columns, "anomaly", "base_failed", "kept")
-    return judge(stats, model, score, failed, kept).where(F.col(kept)).select(*docs.columns)
+    return judge(stats, model, score, failed, kept).where(F.col(kept)).select(*inner).toDF(*docs.columns)

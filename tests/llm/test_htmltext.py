@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -45,6 +46,17 @@ def test_deep_and_long_pages():
     assert text("<a b=\"" * 2000) is not None
 
 
+def test_work_grows_with_the_page():
+    """Stray tags, deep cards and headlines in megabytes: each took a time that grows with the square of the page."""
+    n = 100000
+    start = time.perf_counter()
+    assert text("<div>" * n + "x" + "</foo>" * n) == "x"
+    assert text("<b><table>" + "<div>" * n + "x" + "</b>" * n) == "x"
+    assert text("<div>" * n + "<article>card</article>" * n + "</div>" * n + "<h1>T</h1>") == "card " * n + "T"
+    assert text("<h1>T</h1>" * n + "<article>card</article>" * n) == "T " * n + " ".join(["card"] * n)
+    assert time.perf_counter() - start < 60
+
+
 def pages(seed):
     """Two sites with templates of their own, in elements that no name gives away; a third, small site."""
     rng = random.Random(seed)

@@ -83,5 +83,5 @@ def test_without_labels_or_rows(spark, frame):
     empty = stage(quality.rule_statistics(df.where("doc_id < 0"), "text"))
     model = quality.fit_quality(empty, none, "doc_id", "quality", 5, 16)
     assert quality.judge(empty, model).count() == 0
-    with pytest.raises(ValueError):
-        quality.keep_good(df.withColumn("N_words", F.lit(1)), "text", model)
+    named = quality.keep_good(df.withColumn("N_words", F.lit(7)), "text", model)  # a statistic's name is no obstacle
+    assert named.columns == ["doc_id", "text", "N_words"] and {r[2] for r in named.collect()} == {7} and named.count() == 30
