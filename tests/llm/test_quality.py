@@ -3,7 +3,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
