@@ -164,8 +164,9 @@ def region_violations(regions: DataFrame, views: DataFrame, planes: DataFrame) -
     """
     ident = ["image", "width", "height", "sha256"]
     v = views.select("capture_id", "rank", *[F.col(c).alias(f"_v_{c}") for c in ident])
-    j = regions.join(v, ["capture_id", "rank"], "left").join(
-        planes.select("capture_id", "plane_index", "orientation"), ["capture_id", "plane_index"], "left")
+    # views and planes grow with the captures, and Spark guesses exploded tables too small: never broadcast them
+    j = regions.join(v.hint("merge"), ["capture_id", "rank"], "left").join(
+        planes.select("capture_id", "plane_index", "orientation").hint("merge"), ["capture_id", "plane_index"], "left")
     changed = F.lit(False)
     for c in ident:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_v_{c}"))

@@ -261,7 +261,8 @@ def corner_violations(corners: DataFrame, views: DataFrame) -> DataFrame:
     """
     ident = ["frame_id", "relative_sec", "sha256", "width", "height"]
     v = views.select("capture_id", "rank", *[F.col(c).alias(f"_v_{c}") for c in ident])
-    j = corners.join(v, ["capture_id", "rank"], "left")
+    # views grow with the captures, and Spark guesses exploded tables too small: never broadcast them
+    j = corners.join(v.hint("merge"), ["capture_id", "rank"], "left")
     changed = F.lit(False)
     for c in ident:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_v_{c}"))

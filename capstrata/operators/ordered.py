@@ -78,7 +78,8 @@ def sequence_over(
     carried += [F.max(f"_m_{o}").over(before).alias(f"_m_{o}") for o in running_max_before]
     carried += [F.sum(f"_t_{o}").over(whole).alias(o) for o in total_sum]
     carried += [F.min(f"_t_{o}").over(whole).alias(o) for o in total_min]
-    joined = sliced.join(summary.select(*keys, SLICE, *carried), [*keys, SLICE])
+    # the windows below need this shuffle anyway; a broadcast would take a row per key through the driver
+    joined = sliced.join(summary.select(*keys, SLICE, *carried).hint("shuffle_hash"), [*keys, SLICE])
 
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
