@@ -7,13 +7,19 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capstrata.functions import geometry as G
 from capstrata.operators.ordered import quantiles, sequence_over
+from capstrata.session import stage
 
 BLOCK = 1024
+# Binary codes of a block, and lookups of chunks made at once.
+CODES = 16384
+CANDIDATES = 1 << 24
+PAIR_COLUMNS = ["capture_id", "first_image", "second_image", "query_id", "target_id", "copies", "distance"]
 
 
 def adjacent_images(descriptors: DataFrame) -> DataFrame:
@@ -64,36 +70,70 @@ def ratio_matches(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.75)
     return best.select(*key, F.col("_q.query_id").alias("query_id"), "target_id", F.col("_q.distance").alias("distance"))
 
 
+def _near_codes(words: int, bound: int, radius: int):
+    """Pairs of codes within the bound from one pair of blocks, found by equal chunks after at most ``radius`` flips."""
+    flips = np.array([sum(1 << i for i in at) for n in range(radius + 1) for at in combinations(range(16), n)], np.int64)
+
+    def chunks(codes):
+        return [(codes[:, i] >> shift) & 65535 for i in range(words) for shift in (0, 16)]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = [batch.column(i)[row].as_py() for i in range(3)]
+                a_id, a, b_id, copies, b = (np.asarray(batch.column(i)[row].values) for i in range(3, 8))
+                a, b = a.reshape(-1, words), b.reshape(-1, words)
+                for place, (ca, cb) in enumerate(zip(chunks(a), chunks(b))):
+                    order = np.argsort(cb, kind="stable")
+                    cb = cb[order]
+                    step = max(1, CANDIDATES // max(1, len(b) * len(flips)))
+                    for at in range(0, len(a), step):
+                        want = (ca[at:at + step, None] ^ flips).ravel()
+                        low, high = np.searchsorted(cb, want, "left"), np.searchsorted(cb, want, "right")
+                        n = high - low
+                        i = np.repeat(np.repeat(np.arange(at, min(at + step, len(a))), len(flips)), n)
+                        j = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                        unlike = a[i] ^ b[j]
+                        distance = np.bitwise_count(unlike).sum(1)
+                        keep = np.nonzero(distance <= bound)[0]
+                        earlier = [np.bitwise_count(c) <= radius for c in chunks(unlike[keep])[:place]]
+                        if earlier:
+                            keep = keep[~np.logical_or.reduce(earlier)]  # a pair counts at its first chunk only
+                        if len(keep):
+                            yield pa.RecordBatch.from_arrays(
+                                [*(pa.array(np.full(len(keep), k, np.int64)) for k in key), pa.array(a_id[i[keep]]), pa.array(b_id[j[keep]]), pa.array(copies[j[keep]]),
+                                 pa.array(distance[keep].astype(np.int32))], names=PAIR_COLUMNS)
+
+    return near
+
+
 def hamming_pairs(descriptors: DataFrame, pairs: DataFrame, words: int, bound: int) -> DataFrame:
     """All distinct descriptors of image pairs that differ in at most ``bound`` bits, each pair once.
 
-    ``descriptors`` has (capture_id, image, feature_id, code): ``words`` integers of 32 bits. Codes
-    are cut into chunks of 16 bits. Two codes within the bound agree in some chunk up to
-    ``bound // chunks`` bits, so the first image looks up every chunk with up to that many bits
+    ``descriptors`` has (capture_id, image, feature_id, code): ``words`` integers of 32 bits. The codes of an image
+    are dealt by hash into blocks of about ``CODES`` and blocks meet pairwise, so a code travels once per block of the
+    other image. Within a pair of blocks, codes are cut into chunks of 16 bits. Two codes within the bound agree in some
+    chunk up to ``bound // chunks`` bits, so the first block looks up every chunk with up to that many bits
     flipped, and a pair counts at its first such chunk only. Equal codes of an image are one row
     with the smallest feature_id and their number ``copies``.
     """
     radius = bound // (2 * words)
     if not 0 <= radius <= 3:
         raise ValueError("a chunk of 16 bits takes at most 3 flips: bound <= 8 * words - 1")
-    flips = F.array(*[F.lit(sum(1 << i for i in at)).cast("bigint") for n in range(radius + 1) for at in combinations(range(16), n)])
-    codes = descriptors.select("capture_id", "image", "feature_id", *[F.col("code")[i].alias(f"w{i}") for i in range(words)])
-    codes = codes.groupBy("capture_id", "image", *[f"w{i}" for i in range(words)]).agg(F.min("feature_id").alias("id"), F.count("*").alias("copies"))
-
-    def chunk(word, low):
-        return (word if low else F.shiftright(word, 16)).bitwiseAND(65535)
-
-    values = F.posexplode(F.array(*[chunk(F.col(f"w{i}"), low) for i in range(words) for low in (True, False)])).alias("place", "value")
-    b = codes.select("capture_id", F.col("image").alias("second_image"), F.col("id").alias("target_id"), "copies",
-                     *[F.col(f"w{i}").alias(f"b{i}") for i in range(words)], values)
-    a = pairs.join(codes.drop("copies").withColumnRenamed("image", "first_image"), ["capture_id", "first_image"]).select(
-        "capture_id", "first_image", "second_image", F.col("id").alias("query_id"), *[f"w{i}" for i in range(words)], values)
-    a = a.withColumn("_flip", F.explode(flips)).withColumn("value", F.col("value").bitwiseXOR(F.col("_flip"))).drop("_flip")
-    unlike = [F.col(f"w{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(words)]
-    distance = sum((F.bit_count(x) for x in unlike[1:]), F.bit_count(unlike[0]))
-    first = F.coalesce(*[F.when(F.bit_count(chunk(x, low)) <= radius, 2 * i + (0 if low else 1)) for i, x in enumerate(unlike) for low in (True, False)])
-    return a.join(b, ["capture_id", "second_image", "place", "value"]).where((distance <= bound) & (first == F.col("place"))).select(
-        "capture_id", "first_image", "second_image", "query_id", "target_id", "copies", distance.alias("distance"))
+    w = [f"w{i}" for i in range(words)]
+    key = ["capture_id", "image"]
+    codes = descriptors.select(*key, "feature_id", *[F.col("code")[i].alias(c) for i, c in enumerate(w)]).where(
+        " AND ".join(f"{c} IS NOT NULL" for c in [*key, *w]))
+    codes = stage(codes.groupBy(*key, *w).agg(F.min("feature_id").alias("id"), F.count("*").alias("copies")))
+    size = codes.groupBy(*key).agg(F.ceil(F.count("*") / CODES).alias("_blocks"))
+    dealt = codes.join(size, key).groupBy(*key, F.pmod(F.xxhash64(*w), F.col("_blocks")).alias("_b")).agg(
+        F.collect_list(F.struct("id", "copies", F.array(*w).alias("code"))).alias("f"))
+    blocks = dealt.select(*key, F.col("f.id").alias("id"), F.col("f.copies").alias("copies"), F.flatten("f.code").alias("codes"))
+    a = blocks.select("capture_id", F.col("image").alias("first_image"), F.col("id").alias("a_id"), F.col("codes").alias("a_codes"))
+    b = blocks.select("capture_id", F.col("image").alias("second_image"), F.col("id").alias("b_id"), "copies", F.col("codes").alias("b_codes"))
+    met = pairs.join(a, ["capture_id", "first_image"]).join(b, ["capture_id", "second_image"])
+    return met.select("capture_id", "first_image", "second_image", "a_id", "a_codes", "b_id", "copies", "b_codes").mapInArrow(
+        _near_codes(words, bound, radius), ", ".join(f"{c} {'int' if c == 'distance' else 'bigint'}" for c in PAIR_COLUMNS))
 
 
 def hamming_matches(descriptors: DataFrame, pairs: DataFrame, words: int, bound: int, ratio: float = 0.75) -> DataFrame:
