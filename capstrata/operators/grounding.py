@@ -17,6 +17,7 @@ from capstrata.policies import GroundingPolicy
 from capstrata.session import stage
 
 MAX_MARKED_VIEWS = 12
+RAY = ["rx", "ry", "rz"]
 
 
 def corner_rays(corners: DataFrame, cameras: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -60,14 +61,25 @@ def _solved_corners(sums: DataFrame, keys: list[str], cosine: Column, policy: Gr
     return out.withColumn("corner_status", status)
 
 
+def _widest_of(rays: str) -> Column:
+    """The smallest cosine between two rays of different views, from the rays of one corner as an array."""
+    def against(a):
+        others = F.filter(rays, lambda b: a["rank"] < b["rank"])
+        return F.array_min(F.transform(others, lambda b: F.struct(F.abs(G.dot([a[c] for c in RAY], [b[c] for c in RAY])).alias("cosine"))))
+
+    return F.array_min(F.transform(rays, against))["cosine"]
+
+
 def triangulate(rays: DataFrame, extra: list[str] | None = None, policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
     """Closest point to the rays of each corner, from nine sums and a closed 3x3 solve.
 
-    One row per corner with its ray angle, system condition and status.
+    One row per corner with its ray angle, system condition and status. The rays of a corner, at most 12 by contract,
+    are gathered in the shuffle of the sums, and their pairs are compared in place.
     """
     k = ["capture_id", "object_id", *(extra or []), "corner"]
-    sums = rays.groupBy(*k).agg(F.count_distinct("rank").alias("views"), *[F.sum(c).alias(n) for n, c in _ray_terms().items()])
-    return _solved_corners(sums.join(widest_rays(rays, k), k, "left"), k, F.col("_wide.cosine"), policy)
+    sums = rays.groupBy(*k).agg(F.collect_list(F.struct("rank", *RAY)).alias("_rays"), *[F.sum(c).alias(n) for n, c in _ray_terms().items()])
+    sums = sums.withColumns({"views": F.size(F.array_distinct(F.transform("_rays", lambda r: r["rank"]))).cast("bigint"), "_cosine": _widest_of("_rays")}).drop("_rays")
+    return _solved_corners(sums, k, F.col("_cosine"), policy)
 
 
 def corner_errors(rays: DataFrame, solved: DataFrame, cameras: DataFrame, extra: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from capstrata.operators import boundaries, grounding
+from capstrata.operators import boundaries, grounding, matching, surfaces
 from capstrata.operators.ordered import sequence_over
 
 
@@ -10,26 +10,26 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def exploded(spark, tmp_path):
+def exploded(spark, folder):
     """One row per capture in a file far below the broadcast limit; what it explodes to looks as small to Spark."""
-    spark.range(50).withColumnRenamed("id", "capture_id").write.parquet(str(tmp_path / "captures"))
-    one = spark.read.parquet(str(tmp_path / "captures"))
+    spark.range(50).withColumnRenamed("id", "capture_id").write.parquet(folder)
+    one = spark.read.parquet(folder)
     return one.select("capture_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("rank"))
 
 
-SQUARE = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((1, 1), (50, 1), (50, 50), (1, 50))])
+def square():
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((1, 1), (50, 1), (50, 50), (1, 50))])
 
 
 def test_views_and_planes_are_not_broadcast(spark, tmp_path):
-    views = exploded(spark, tmp_path).select(
+    views = exploded(spark, str(tmp_path / "views")).select(
         "capture_id", "rank", F.lit("v").alias("image"), F.lit(100).alias("width"), F.lit(90).alias("height"), F.lit("h").alias("sha256"),
         F.lit(1).alias("frame_id"), F.lit(1.0).alias("relative_sec"))
-    planes = exploded(spark, tmp_path).select("capture_id", F.col("rank").alias("plane_index"), F.lit("vertical").alias("orientation"))
-    regions = views.join(planes, "capture_id").where("plane_index = 3").select(
-        "*", F.col("rank").alias("region_index"), F.lit("WALL").alias("role"), SQUARE.alias("polygon")).drop("orientation")
+    planes = exploded(spark, str(tmp_path / "planes")).select("capture_id", F.col("rank").alias("plane_index"), F.lit("vertical").alias("orientation"))
+    regions = views.select("*", F.lit(3).cast("bigint").alias("plane_index"), F.col("rank").alias("region_index"), F.lit("WALL").alias("role"), square().alias("polygon"))
     found = boundaries.region_violations(regions, views, planes)
-    assert plan_of(found).count("SortMergeJoin") >= 2 and found.count() == 0
-    marked = views.select("*", F.lit(1).alias("object_id"), F.col("rank").alias("position"), SQUARE.alias("polygon"))
+    assert "Broadcast" not in plan_of(found) and found.count() == 0
+    marked = views.select("*", F.lit(1).alias("object_id"), F.col("rank").alias("position"), square().alias("polygon"))
     found = grounding.corner_violations(marked, views)
     assert "Broadcast" not in plan_of(found) and found.count() == 0
 
@@ -39,3 +39,34 @@ def test_sequences_do_not_broadcast_their_keys(spark):
     seq = sequence_over(df, ["k"], ["v"], rank="pos", lag={"before": "v"})
     assert "Broadcast" not in plan_of(seq)
     assert {(r["k"], r["pos"], r["before"]) for r in seq.collect()} == {(k, p, k + 60 * (p - 1) if p else None) for k in range(60) for p in range(5)}
+
+
+def test_codes_travel_once_per_block_not_once_per_flip(spark, monkeypatch):
+    rows = [(1, image, 1000 * image + i, [i * 2654435761 % 2**32, i * 2246822519 % 2**32]) for image in (1, 2) for i in range(300)]
+    d = spark.createDataFrame(rows, "capture_id long, image long, feature_id long, code array<bigint>")
+    found = matching.hamming_pairs(d, matching.adjacent_images(d), 2, 7)
+    assert "explode" not in plan_of(found).lower()
+    whole = sorted(map(tuple, found.collect()))
+    assert {(1, 1, 2, 1000 + i, 2000 + i, 1, 0) for i in range(300)} <= set(whole)
+    monkeypatch.setattr(matching, "CODES", 16)  # many blocks meet
+    assert sorted(map(tuple, matching.hamming_pairs(d, matching.adjacent_images(d), 2, 7).collect())) == whole
+
+
+def test_votes_leave_a_task_as_counts(spark):
+    rows = [(i % 2, float(i % 7), 1.0 if i % 3 else float(i % 5), float(i % 11)) for i in range(400)] + [(None, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "capture_id long, x double, y double, z double").repartition(3)
+    trials = spark.createDataFrame([(0, [(0, 0.0, 1.0, 0.0, -1.0), (1, 1.0, 0.0, 0.0, -50.0)]), (1, [(0, 0.0, 1.0, 0.0, -1.0)])],
+                                   "capture_id long, _hyps array<struct<_t:long,a:double,b:double,c:double,d:double>>")
+    votes = surfaces._votes(points, trials, 0.5)
+    got = {(r["capture_id"], r["_t"]): r["n"] for r in votes.groupBy("capture_id", "_h._t").agg(F.sum("_n").alias("n")).collect()}
+    want = lambda k: sum(c == k and x is not None and abs(y - 1) <= 0.5 for c, x, y, _ in rows)
+    assert got == {(0, 0): want(0), (1, 0): want(1)} and votes.count() <= 3 * 4
+
+
+def test_rays_of_a_corner_are_shuffled_once(spark):
+    rows = [(1, 1, r, 0, 0.0, 0.0, float(r), 0.0, 0.0, x / (x * x + 1) ** 0.5, 0.0, 1 / (x * x + 1) ** 0.5) for r in range(5) for x in [(1 - r) / 3]] * 2
+    rays = spark.createDataFrame(rows, "capture_id long, object_id long, rank long, corner long, px double, py double, ox double, oy double, oz double, rx double, ry double, rz double")
+    solved = grounding.triangulate(rays)
+    assert "Join" not in plan_of(solved) and plan_of(solved).count("Exchange") == 1
+    row = solved.first()
+    assert row["views"] == 5 and abs(row["max_ray_angle_degrees"] - 63.4349488) < 1e-6 and abs(row["x"] - 1) < 1e-9 and abs(row["z"] - 3) < 1e-9
