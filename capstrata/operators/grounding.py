@@ -29,9 +29,9 @@ def corner_rays(corners: DataFrame, cameras: DataFrame, extra: list[str] | None
                     *[c.alias(n) for c, n in zip(d, ("rx", "ry", "rz"))])
 
 
-def _ray_terms() -> dict[str, Column]:
-    """What one ray adds to the nine sums of its corner's 3x3 system."""
-    d, o = G.vec("rx", "ry", "rz"), G.vec("ox", "oy", "oz")
+def _ray_terms(ray: Column | None = None) -> dict[str, Column]:
+    """What one ray, of columns or of a struct, adds to the nine sums of its corner's 3x3 system."""
+    d, o = ([F.col(c) if ray is None else ray[c] for c in names] for names in (RAY, ["ox", "oy", "oz"]))
     terms = {}
     for i in range(3):
         for j in range(i, 3):
@@ -40,14 +40,6 @@ def _ray_terms() -> dict[str, Column]:
     return terms
 
 
-def widest_rays(rays: DataFrame, keys: list[str]) -> DataFrame:
-    """The two views of each key whose rays differ most in direction, as ``_wide``: cosine, rank, other."""
-    a = rays.select(*keys, "rank", "rx", "ry", "rz")
-    b = rays.select(*keys, F.col("rank").alias("other"), *[F.col(f"r{c}").alias(f"s{c}") for c in "xyz"])
-    cosine = F.abs(G.dot(G.vec("rx", "ry", "rz"), G.vec("sx", "sy", "sz")))
-    return a.join(b, keys).where("rank < other").groupBy(*keys).agg(F.min(F.struct(cosine.alias("cosine"), "rank", "other")).alias("_wide"))
-
-
 def _solved_corners(sums: DataFrame, keys: list[str], cosine: Column, policy: GroundingPolicy) -> DataFrame:
     """Point, condition, angle and status of each corner from its sums and the cosine of its widest rays."""
     angle = F.coalesce(F.degrees(F.acos(G.clamp(cosine, -1.0, 1.0))), F.lit(0.0))
@@ -155,38 +147,51 @@ def reference_state(states: DataFrame, rectangles: DataFrame, pose_views: DataFr
     return j.select(*k, "size_error", "usable_views", "ambiguous_views", "center_spread_m", "normal_spread_degrees", state.alias("state"))
 
 
+def _ends_of(rays: Column) -> Column:
+    """The two views of a corner whose rays differ most in direction: cosine, rank, other."""
+    def against(a):
+        others = F.filter(rays, lambda b: a["rank"] < b["rank"])
+        return F.array_min(F.transform(others, lambda b: F.struct(
+            F.abs(G.dot([a[c] for c in RAY], [b[c] for c in RAY])).alias("cosine"), a["rank"].alias("rank"), b["rank"].alias("other"))))
+
+    return F.array_min(F.transform(rays, against))
+
+
 def leave_one_out(corners: DataFrame, cameras: DataFrame, policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
     """Largest error in each held-out view when the other views triangulate the object.
 
     The sums of the other views are all sums minus the held view's own terms. Their widest rays
     are those of all views unless the held view is one of the two; only for these two views are
-    the remaining rays compared again. So work grows with the views and, for the angle, with
-    three times their pairs, not with the pairs of every held-out copy.
+    the remaining rays compared again. The rays of a corner, at most 12 by contract, are gathered
+    once per object, and each view is held out in place; solved corners travel once more, to their camera.
     """
     k = ["capture_id", "object_id"]
     kc = [*k, "corner"]
+    held = F.col("held_out_rank")
     views = corners.select(*k, "rank").distinct()
-    enough = views.groupBy(*k).agg(F.count("*").alias("_n")).where(F.col("_n") > policy.min_views).select(*k)
-    rays = stage(corner_rays(corners.join(enough, k, "left_semi"), cameras))
-    terms = list(_ray_terms())
-    own = rays.groupBy(*kc, F.col("rank").alias("held_out_rank")).agg(*[F.sum(c).alias(f"_{n}") for n, c in _ray_terms().items()])
-    total = own.groupBy(*kc).agg(F.count("*").alias("_views"), *[F.sum(f"_{n}").alias(n) for n in terms])
-    wide = stage(widest_rays(rays, kc))
-    held = views.join(enough, k, "left_semi").withColumnRenamed("rank", "held_out_rank")
-    either = wide.select(*kc, F.explode(F.array("_wide.rank", "_wide.other")).alias("held_out_rank"))
-    again = widest_rays(rays.join(either, kc).where("rank <> held_out_rank"), [*kc, "held_out_rank"]).withColumnRenamed("_wide", "_again")
-    j = held.join(total, k).join(own.withColumn("_in", F.lit(1)), [*kc, "held_out_rank"], "left").join(wide, kc, "left").join(
-        again, [*kc, "held_out_rank"], "left")
-    left = j.select(*kc, "held_out_rank", (F.col("_views") - F.coalesce("_in", F.lit(0))).alias("views"), "_wide", "_again",
-                    *[(F.col(n) - F.coalesce(F.col(f"_{n}"), F.lit(0.0))).alias(n) for n in terms]).where("views > 0")
-    one_of_two = F.col("held_out_rank").isin(F.col("_wide.rank"), F.col("_wide.other"))
-    cosine = F.when(one_of_two, F.col("_again.cosine")).otherwise(F.col("_wide.cosine"))
-    solved = stage(_solved_corners(left, [*kc, "held_out_rank"], cosine, policy))
-    e = corner_errors(rays.withColumn("held_out_rank", F.col("rank")), solved, cameras, ["held_out_rank"])
-    e = e.groupBy(*k, "held_out_rank").agg(F.max("error_px").alias("held_out_max_px"), F.min("depth").alias("_d"), F.count("*").alias("_c"))
-    state = solved.groupBy(*k, "held_out_rank").agg(F.min(F.col("corner_status") == "SOLVED").alias("_ok"))
+    enough = views.groupBy(*k).agg(F.count("*").alias("_n"), F.collect_set("rank").alias("_ranks"), F.max(F.col("rank").isNull()).alias("_none")).where(
+        F.col("_n") > policy.min_views).select(*k, F.when(F.col("_none"), F.concat("_ranks", F.array(F.lit(None)))).otherwise(F.col("_ranks")).alias("_held"))
+    rays = corner_rays(corners, cameras).join(enough, k)
+    ray = F.struct("rank", "px", "py", *RAY, "ox", "oy", "oz")
+    at = rays.groupBy(*kc).agg(F.collect_list(ray).alias("_rays"), F.any_value("_held").alias("_held"), *[F.sum(c).alias(n) for n, c in _ray_terms().items()])
+    at = at.withColumn("_views", F.size(F.array_distinct(F.transform("_rays", lambda r: r["rank"])))).withColumn("_wide", _ends_of(F.col("_rays")))
+    j = at.withColumn("held_out_rank", F.explode("_held")).withColumn("_own", F.filter("_rays", lambda r: r["rank"] == held))
+    rest = F.filter("_rays", lambda r: r["rank"] != held)
+    one_of_two = held.isin(F.col("_wide.rank"), F.col("_wide.other"))
+    j = j.withColumn("_cosine", F.when(one_of_two, _ends_of(rest)["cosine"]).otherwise(F.col("_wide.cosine")))
+    j = j.withColumn("views", (F.col("_views") - F.when(F.size("_own") > 0, 1).otherwise(0)).cast("bigint")).where("views > 0")
+    none = F.struct(*[F.lit(0.0).alias(n) for n in _ray_terms()])
+    add = lambda s, r: F.struct(*[(s[n] + c).alias(n) for n, c in _ray_terms(r).items()])
+    left = j.withColumn("_less", F.aggregate("_own", none, add)).withColumns({n: F.col(n) - F.col(f"_less.{n}") for n in _ray_terms()})
+    solved = _solved_corners(left, [*kc, "held_out_rank", "_own"], F.col("_cosine"), policy)
+    solved = solved.select(*k, "held_out_rank", (F.col("corner_status") == "SOLVED").alias("_ok"), "x", "y", "z", F.transform("_own", lambda r: F.struct(r["px"].alias("px"), r["py"].alias("py"))).alias("_own"))
+    seen = solved.join(cameras.withColumnRenamed("rank", "held_out_rank").withColumn("_in", F.lit(True)), ["capture_id", "held_out_rank"], "left").withColumn("_own", F.explode_outer("_own"))
+    u, v, depth = G.project_pixel(G.vec("x", "y", "z"))
+    error = F.sqrt((u - F.col("_own.px")) ** 2 + (v - F.col("_own.py")) ** 2)
+    met = F.col("_ok") & F.col("_in") & F.col("_own").isNotNull()
+    e = seen.groupBy(*k, "held_out_rank").agg(F.min("_ok").alias("_ok"), F.max(F.when(met, error)).alias("held_out_max_px"), F.min(F.when(met, depth)).alias("_d"), F.count_if(met).alias("_c"))
     full = F.col("_ok") & (F.col("_c") == 4)
-    return state.join(e, [*k, "held_out_rank"], "left").select(
+    return e.select(
         *k, "held_out_rank", F.when(full, "TRIANGULATED").otherwise("INSUFFICIENT").alias("training_state"),
         F.when(full, F.col("held_out_max_px")).alias("held_out_max_px"), F.when(full, F.col("_d") > 0).alias("held_out_positive_depth"))
 
