@@ -82,3 +82,9 @@ def test_held_out_views_stage_nothing_and_never_pair_rays(spark, monkeypatch):
         (F.col("id") * 0.3).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"))
     held = grounding.leave_one_out(corners, cams)
     assert held.count() == 3
+
+
+def test_roles_are_met_without_a_join(spark):
+    rows = lambda *r: spark.createDataFrame([(x,) for x in r], "role string")
+    met = integrity.admitted_roles(rows("a", "a", "b", None), rows("a", None, "c", "c"))
+    assert "Join" not in plan_of(met) and sorted(r["role"] or "" for r in met.collect()) == ["", "a"]
