@@ -9,6 +9,7 @@ from capstrata.functions import geometry as G
 from capstrata.operators.graph import component_sizes, connected_components, k_core
 from capstrata.operators.ordered import distribution, group_diameter, sequence_over
 from capstrata.policies import TrackPolicy
+from capstrata.session import stage
 
 
 def covisible_pairs(obs: DataFrame) -> DataFrame:
@@ -117,11 +118,16 @@ def rejection_reasons(metrics: DataFrame) -> DataFrame:
         F.count("*").alias("points"))
 
 
+def _tracks(obs: DataFrame) -> DataFrame:
+    """Each view of each track once, dealt by track, so that windows over a track need no second shuffle."""
+    seen = obs.select("capture_id", "point_id", "rank").where("capture_id IS NOT NULL AND point_id IS NOT NULL AND rank IS NOT NULL")
+    return seen.repartition("capture_id", "point_id").distinct()
+
+
 def view_edges(obs: DataFrame) -> DataFrame:
     """Enough edges to join the views of each track: every view to the track's first view."""
-    seen = obs.select("capture_id", "point_id", "rank").distinct()
-    first = seen.groupBy("capture_id", "point_id").agg(F.min("rank").alias("anchor"))
-    return seen.join(first, ["capture_id", "point_id"]).where("rank <> anchor").select("capture_id", "anchor", "rank").distinct()
+    first = F.min("rank").over(Window.partitionBy("capture_id", "point_id"))
+    return _tracks(obs).withColumn("anchor", first).where("rank <> anchor").select("capture_id", "anchor", "rank").distinct()
 
 
 def view_components(views: DataFrame, obs: DataFrame) -> DataFrame:
@@ -129,9 +135,19 @@ def view_components(views: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def two_core_views(obs: DataFrame) -> DataFrame:
-    """Views that keep two co-visible partners after pruning."""
-    pairs = covisible_pairs(obs)
-    return k_core(pairs, ["capture_id"], "first_rank", "second_rank", 2).withColumnRenamed("vertex", "rank")
+    """Views that keep two co-visible partners after pruning.
+
+    The views of a track of three or more always keep each other, so they stay without forming its pairs;
+    only the links of tracks of two views are peeled against them.
+    """
+    track = Window.partitionBy("capture_id", "point_id")
+    n, low, high = F.count(F.lit(1)).over(track), F.min("rank").over(track), F.max("rank").over(track)
+    links = _tracks(obs).select("capture_id", "rank", n.alias("_n"), low.alias("_low"), high.alias("_high")).where("_n > 1").select(
+        "capture_id", "rank", F.when(F.col("_n") == 2, F.when(F.col("rank") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("partner"))
+    links = stage(links.distinct())
+    stays = links.where("partner IS NULL").select("capture_id", F.col("rank").alias("vertex"))
+    pairs = links.where("rank < partner").select("capture_id", F.col("rank").alias("first_rank"), F.col("partner").alias("second_rank"))
+    return k_core(pairs, ["capture_id"], "first_rank", "second_rank", 2, stays).withColumnRenamed("vertex", "rank")
 
 
 def core_violations(views: DataFrame, core: DataFrame, minimum: int = 3) -> DataFrame:

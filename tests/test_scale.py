@@ -88,3 +88,38 @@ def test_roles_are_met_without_a_join(spark):
     rows = lambda *r: spark.createDataFrame([(x,) for x in r], "role string")
     met = integrity.admitted_roles(rows("a", "a", "b", None), rows("a", None, "c", "c"))
     assert "Join" not in plan_of(met) and sorted(r["role"] or "" for r in met.collect()) == ["", "a"]
+
+
+def test_captures_met_in_one_chunk_are_finished_without_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(c, a, b) for c in range(40) for a, b in ((5, 4), (4, 9), (2, 9), (20, 21), (21, 20), (7, 7))] + [(None, 1, 2), (1, None, 2)],
+                                  "capture_id long, a long, b long").repartition(5)
+    views = spark.createDataFrame([(c, v) for c in range(40) for v in (2, 4, 5, 7, 9, 20, 21, 30)], "capture_id long, rank long")
+    want = {(c, v, w) for c in range(40) for v, w in ((2, 2), (4, 2), (5, 2), (9, 2), (7, 7), (20, 20), (21, 20), (30, 30))}
+    rounds, real = [], graph._star_rounds
+    monkeypatch.setattr(graph, "_star_rounds", lambda e, keys: rounds.append(e.count()) or real(e, keys))
+    find = lambda: {tuple(r) for r in graph.connected_components(views, edges, ["capture_id"], "rank", "a", "b").collect()}
+    assert find() == want and rounds == [0]
+
+
+def test_captures_cut_by_chunks_go_on_to_the_rounds(spark):
+    chain = spark.range(5000).select((F.col("id") % 2).alias("capture_id"), F.col("id").alias("a"), (F.col("id") + 2).alias("b"))
+    views = chain.select("capture_id", F.col("a").alias("rank"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    real = graph.contracted.__globals__["CHUNK"]
+    try:
+        graph.CHUNK = 300
+        found = graph.connected_components(views, chain, ["capture_id"], "rank", "a", "b").where("component = capture_id").count()
+    finally:
+        graph.CHUNK = real
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == 5000
+
+
+def test_core_of_long_tracks_needs_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "covisible_pairs", lambda obs: 1 / 0)
+    seen = {1: (1, 2, 3, 3), 2: (3, 4), 3: (4, 5), 4: (5, 1), 5: (6, 7), 6: (2, 8), 7: (9,), 8: (10, 11), 9: (11, 12), 10: (12, 10)}
+    obs = spark.createDataFrame([(1, p, r) for p, views in seen.items() for r in views] + [(2, p, r) for p, r in ((1, 1), (1, 2), (2, 2), (2, 3))] + [(None, 1, 1), (1, 1, None)],
+                                "capture_id long, point_id long, rank long")
+    core = {tuple(r) for r in tracks.two_core_views(obs).collect()}
+    assert core == {(1, r) for r in (1, 2, 3, 4, 5, 10, 11, 12)}
