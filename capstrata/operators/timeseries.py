@@ -39,7 +39,7 @@ def slot_gaps(frames: DataFrame) -> DataFrame:
 
 def pose_speed_events(poses: DataFrame, threshold_m_s: float) -> DataFrame:
     """Neighbouring frames whose apparent speed exceeds the limit; diagnosis stays open."""
-    seq = sequence_over(poses, ["capture_id"], ["rank"],
+    seq = sequence_over(poses.select("capture_id", "rank", "sensor_sec", "relative_sec", "px", "py", "pz"), ["capture_id"], ["rank"],
                         lag={"_px": "px", "_py": "py", "_pz": "pz", "_sec": "sensor_sec"})
     step = G.norm(G.minus(G.vec("px", "py", "pz"), G.vec("_px", "_py", "_pz")))
     seq = seq.withColumn("step_m", step).withColumn(

@@ -44,31 +44,31 @@ def overlap_violations(views: DataFrame, partners: DataFrame, minimum: int = 2)
 def revisit_pairs(views: DataFrame, policy: TrackPolicy = TrackPolicy()) -> DataFrame:
     """Pairs to match: all pairs of a small capture, else a rank window plus near revisits.
 
-    ``views`` has rank, relative_sec, px, py, pz and the rotation w00..w22. The window is an
-    equi-join on shifted ranks. Revisit candidates meet through a grid of the distance
-    limit, so only views in the same or a touching cell are compared.
+    ``views`` has rank, relative_sec, px, py, pz and the rotation w00..w22. Both kinds meet in blocks:
+    positions in blocks of the reach, so a view goes to its block and the next, and revisits in square
+    columns of twice the distance limit, so a view goes to the four it may touch.
     """
-    keyed = sequence_over(views, ["capture_id"], ["rank"], rank="_i", total_sum={"_n": F.lit(1)})
     rot = [f"w{i}{j}" for i in range(3) for j in range(3)]
+    keyed = stage(sequence_over(views.select("capture_id", "rank", "relative_sec", "px", "py", "pz", *rot), ["capture_id"], ["rank"],
+                                rank="_i", total_sum={"_n": F.lit(1)}))
     small = policy.exhaustive_views
     reach = F.when(F.col("_n") <= small, small).otherwise(policy.temporal_window)
-    ahead = keyed.select("capture_id", F.col("rank").alias("first_rank"), F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + reach)).alias("_i"))
-    window = ahead.join(keyed.select("capture_id", "_i", F.col("rank").alias("second_rank")), ["capture_id", "_i"]).select(
-        "capture_id", "first_rank", "second_rank")
+    block = F.floor(F.col("_i") / max(small, policy.temporal_window))
+    ahead = keyed.select("capture_id", F.col("rank").alias("first_rank"), F.col("_i").alias("_a"), (F.col("_i") + reach).alias("_to"), F.explode(F.array(block, block + 1)).alias("_b"))
+    window = ahead.join(keyed.select("capture_id", "_i", F.col("rank").alias("second_rank"), block.alias("_b")), ["capture_id", "_b"]).where(
+        "_i > _a AND _i <= _to").select("capture_id", "first_rank", "second_rank")
 
     size = policy.revisit_distance_m
-    cell = [F.floor(F.col(c) / size) for c in ("px", "py", "pz")]
+    cell = lambda c, off=0.0: F.floor((F.col(c) + off) / (2 * size))
     base = keyed.where(F.col("_n") > small).select(
-        "capture_id", "_i", "rank", F.col("relative_sec").cast("double").alias("sec"), "px", "py", "pz", *rot,
-        *[c.alias(n) for c, n in zip(cell, ("_x", "_y", "_z"))])
-    steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z"))
-                      for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    spread = base.withColumn("_o", F.explode(steps))
-    for a in "xyz":
-        spread = spread.withColumn(f"_{a}", F.col(f"_{a}") + F.col(f"_o.{a}"))
-    later = base.select("capture_id", "_x", "_y", "_z", *[F.col(c).alias(f"b_{c}") for c in ("_i", "rank", "sec", "px", "py", "pz", *rot)])
-    met = spread.drop("_o").join(later, ["capture_id", "_x", "_y", "_z"]).where(
-        (F.col("b__i") > F.col("_i") + policy.temporal_window) & (F.col("b_sec") - F.col("sec") >= policy.revisit_seconds))
+        "capture_id", "_i", "rank", F.col("relative_sec").cast("double").alias("sec"), "px", "py", "pz", *rot)
+    # a margin keeps rounding from losing a pair at the limit
+    near_cells = lambda c: F.explode(F.sequence(cell(c, -1.001 * size), cell(c, 1.001 * size)))
+    spread = base.withColumn("_x", near_cells("px")).withColumn("_z", near_cells("pz"))
+    later = base.select("capture_id", cell("px").alias("_x"), cell("pz").alias("_z"), *[F.col(c).alias(f"b_{c}") for c in ("_i", "rank", "sec", "px", "py", "pz", *rot)])
+    met = spread.join(later, ["capture_id", "_x", "_z"]).where(
+        (F.col("b__i") > F.col("_i") + policy.temporal_window) & (F.col("b_sec") - F.col("sec") >= policy.revisit_seconds)
+        & (F.abs(F.col("b_py") - F.col("py")) < size))
     ra = [[F.col(f"w{i}{j}") for j in range(3)] for i in range(3)]
     rb = [[F.col(f"b_w{i}{j}") for j in range(3)] for i in range(3)]
     distance, angle = G.pose_delta(G.vec("px", "py", "pz"), ra, G.vec("b_px", "b_py", "b_pz"), rb)

@@ -33,7 +33,7 @@ def quaternion_pose(v):
 def camera_inverse(v):
     w = [[F.col(f"w{i}{j}") for j in range(3)] for i in range(3)]
     r, t = G.camera_from_world(w, G.vec("px", "py", "pz"))
-    return v.frame_poses.select("capture_id", "rank", *[c.alias(n) for c, n in zip(t, ("tx", "ty", "tz"))], r[0][1].alias("r01"), r[1][2].alias("r12"), G.rigid_violation(w).alias("violation")).select(
+    return v.poses.select("capture_id", "rank", *[c.alias(n) for c, n in zip(t, ("tx", "ty", "tz"))], r[0][1].alias("r01"), r[1][2].alias("r12"), G.rigid_violation(w).alias("violation")).select(
         "capture_id", "rank", *r6c("tx", "ty", "tz", "r01", "r12"), "violation")
 
 
@@ -61,7 +61,7 @@ def backprojected_points(v):
       {r6(f'degrees(acos(greatest(-1.0, least(1.0, ({DELTA} - 1) / 2))))')} AS angle_degrees FROM frame_poses a JOIN frame_poses b ON a.capture_id = b.capture_id AND b.rank = a.rank + 1""")
 def pose_deltas(v):
     cols = ["px", "py", "pz", *R]
-    seq = sequence_over(v.frame_poses, ["capture_id"], ["rank"], lag={f"_{c}": c for c in cols})
+    seq = sequence_over(v.poses.select("capture_id", "rank", *cols), ["capture_id"], ["rank"], lag={f"_{c}": c for c in cols})
     rot = lambda p: [[F.col(f"{p}w{i}{j}") for j in range(3)] for i in range(3)]
     d, a = G.pose_delta(G.vec("_px", "_py", "_pz"), rot("_"), G.vec("px", "py", "pz"), rot(""))
     return seq.where("rank > 0").select("capture_id", "rank", d.alias("distance_m"), a.alias("angle_degrees")).select("capture_id", "rank", *r6c("distance_m", "angle_degrees"))

@@ -70,7 +70,7 @@ SPEED = """SELECT capture_id, rank - 1 AS first_rank, rank AS second_rank, CAST(
 @query("pose_speed_events", "frame_poses", sql=f"""SELECT capture_id, first_rank, second_rank,
     {r6('seconds')} AS seconds, {r6('step_m')} AS step_m, {r6('speed_m_s')} AS speed_m_s FROM ({SPEED})""")
 def pose_speed_events(v):
-    out = ts.pose_speed_events(v.frame_poses, POLICY.pose_speed_warning_m_s)
+    out = ts.pose_speed_events(v.poses, POLICY.pose_speed_warning_m_s)
     return out.select("capture_id", "first_rank", "second_rank", *r6c("seconds", "step_m", "speed_m_s"))
 
 
@@ -232,8 +232,9 @@ SCORED = f"""SELECT *, 0.45 * least(1.0, ln(1 + laplacian_variance) / ln(1 + p90
     JOIN (SELECT capture_id, greatest(quantile_cont(laplacian_variance, 0.9), 1e-6) AS p90 FROM ({CANDIDATES}) GROUP BY ALL) USING (capture_id)"""
 
 
-def candidates(v):
-    c = sel.bucket_downsample(v.frame_poses, POLICY)
+def candidates(v, *wide):
+    """Downsampled frames with what scores need; other columns only as named, since every one is shuffled."""
+    c = sel.bucket_downsample(v.poses.select("capture_id", "rank", "relative_sec", "tracking_state", "k", "event_id", *wide), POLICY)
     return stage(c.select("*", (F.col("tracking_state") == "normal").alias("tracking_normal"),
                     (F.col("k").cast("double") * (1 + F.col("event_id") % 9)).alias("laplacian_variance"),
                     (F.col("k") * 3).alias("texture_corners"), ((F.col("event_id") % 10) / 40).alias("dark_fraction"),
@@ -242,7 +243,7 @@ def candidates(v):
 
 @query("bucket_downsample", "frame_poses", sql=f"SELECT capture_id, rank, bucket FROM ({CANDIDATES})")
 def bucket_downsample(v):
-    return sel.bucket_downsample(v.frame_poses, POLICY).select("capture_id", "rank", "bucket")
+    return sel.bucket_downsample(v.poses.select("capture_id", "rank", "relative_sec"), POLICY).select("capture_id", "rank", "bucket")
 
 
 @query("session_quality_scores", "frame_poses", sql=f"""
@@ -268,7 +269,7 @@ def session_quality_scores(v):
 def quality_flags(v):
     c = sel.quality_scores(candidates(v))
     motion = gyro_motion(v, c.select("capture_id", "rank", "relative_sec"), POLICY.gyro_half_window_seconds)
-    hit = sel.event_overlap(c.select("capture_id", "rank"), ts.pose_speed_events(v.frame_poses, POLICY.pose_speed_warning_m_s))
+    hit = sel.event_overlap(c.select("capture_id", "rank"), ts.pose_speed_events(v.poses, POLICY.pose_speed_warning_m_s))
     c = c.join(motion.select("capture_id", "rank", "maximum_magnitude"), ["capture_id", "rank"], "left")
     c = c.join(hit.withColumn("in_speed_event", F.lit(True)), ["capture_id", "rank"], "left")
     return sel.quality_flags(c, POLICY).select("capture_id", "rank", F.array_join("flags", ";").alias("flags"))
@@ -281,7 +282,7 @@ def quality_flags(v):
     UNION ALL SELECT capture_id, rank, 'POSE_EVENT_CONTEXT' FROM c WHERE EXISTS
       (SELECT 1 FROM e WHERE e.capture_id = c.capture_id AND abs(CAST(c.relative_sec AS DOUBLE) - e.seconds) <= 18000)""")
 def event_overlap_flags(v):
-    c, e = candidates(v), ts.pose_speed_events(v.frame_poses, POLICY.pose_speed_warning_m_s)
+    c, e = candidates(v), ts.pose_speed_events(v.poses, POLICY.pose_speed_warning_m_s)
     inside = sel.event_overlap(c, e).select("capture_id", "rank", F.lit("POSE_SPEED_WARNING").alias("reason"))
     return inside.unionByName(sel.event_context(c, e, POLICY))
 
@@ -319,15 +320,15 @@ ANCHORS = f"""WITH RECURSIVE cov AS ({COVERED}),
 
 @query("anchor_scan", "frame_poses", sql=ANCHORS)
 def anchor_scan(v):
-    c = stage(sel.quality_scores(candidates(v)))
+    c = stage(sel.quality_scores(candidates(v, "px", "py", "pz", *ts.POSE)))
     return sel.anchor_scan(c, sel.coverage_views(c, POLICY), POLICY)
 
 
 def chosen(v):
     """The candidates and the views that each rule but the recovery pass selects."""
-    c = stage(sel.quality_scores(candidates(v)))
+    c = stage(sel.quality_scores(candidates(v, "px", "py", "pz", *ts.POSE)))
     covered = sel.coverage_views(c, POLICY)
-    events = ts.pose_speed_events(v.frame_poses, POLICY.pose_speed_warning_m_s)
+    events = ts.pose_speed_events(v.poses, POLICY.pose_speed_warning_m_s)
     return c, covered, sel.anchor_scan(c, covered, POLICY), sel.event_context(c, events, POLICY)
 
 
@@ -411,10 +412,10 @@ def gap_components(v):
     FROM f LEFT JOIN c USING (capture_id) LEFT JOIN s USING (capture_id) LEFT JOIN g USING (capture_id) LEFT JOIN e USING (capture_id)""")
 def preparation_report(v):
     c, kept, pairs = linked_pairs(v)
-    at = v.frame_poses.select("capture_id", "rank", "px", "py", "pz")
+    at = v.poses.select("capture_id", "rank", "px", "py", "pz")
     a = at.select("capture_id", F.col("rank").alias("first_rank"), *[F.col(x).alias(f"a{x}") for x in ("px", "py", "pz")])
     b = at.select("capture_id", F.col("rank").alias("second_rank"), *[F.col(x).alias(f"b{x}") for x in ("px", "py", "pz")])
     move = F.sqrt(sum((F.col(f"a{x}") - F.col(f"b{x}")) ** 2 for x in ("px", "py", "pz")))
     pairs = pairs.join(a, ["capture_id", "first_rank"]).join(b, ["capture_id", "second_rank"]).withColumn("translation_m", move)
-    out = sel.preparation_report(v.frames, c, kept, pairs, ts.pose_speed_events(v.frame_poses, POLICY.pose_speed_warning_m_s), POLICY)
+    out = sel.preparation_report(v.frames, c, kept, pairs, ts.pose_speed_events(v.poses, POLICY.pose_speed_warning_m_s), POLICY)
     return out.withColumn("maximum_gap_sec", round6(F.col("maximum_gap_sec")))

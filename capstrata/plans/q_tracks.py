@@ -51,7 +51,7 @@ _T = " + ".join(f"a.w{k}{i}*b.w{k}{i}" for i in range(3) for k in range(3))
             AND {_D} < 0.5 AND degrees(acos(greatest(-1.0, least(1.0, ({_T} - 1) / 2)))) < 60)
     SELECT * FROM w UNION SELECT capture_id, first_rank, second_rank FROM c WHERE place <= 6""")
 def revisit_pairs(v):
-    return tr.revisit_pairs(v.frame_poses, REVISIT)
+    return tr.revisit_pairs(v.poses, REVISIT)
 
 
 GEOM = """SELECT o.capture_id, o.point_id, o.rank, z + tz AS depth,

@@ -66,24 +66,31 @@ class Views:
             .when(F.col("event_type") == "purchase", "limited").otherwise("normal").alias("tracking_state"),
             (F.col("value") / 1000).alias("exposure_sec"), "k", "event_id"))
 
-    @cached_property
-    def frame_poses(self) -> DataFrame:
-        """Frames with a world-from-camera pose and the histogram of their image."""
+    def _posed(self, *wide) -> DataFrame:
         n = self.table("embeddings").count()
         emb = self.table("embeddings").select(
             F.col("vec_id").alias("pose_no"),
             *[F.col("embedding")[i].cast("double").alias(c)
-              for i, c in enumerate(("px", "py", "pz", "qw", "qx", "qy", "qz"))],
-            F.transform("embedding", lambda v: v.cast("double")).alias("histogram"))
+              for i, c in enumerate(("px", "py", "pz", "qw", "qx", "qy", "qz"))], *wide)
         joined = self.frames.withColumn("pose_no", F.col("event_id") % n).join(emb, "pose_no")
         q = G.vec("qw", "qx", "qy", "qz")
         size = F.sqrt(G.dot(q, q))
         unit = joined.select(
-            *self.frames.columns, "histogram", "px", "py", "pz",
+            *self.frames.columns, *emb.columns[8:], "px", "py", "pz",
             *[(F.col(c) / size).alias(c) for c in ("qw", "qx", "qy", "qz")])
         rot, _, _ = G.quaternion_to_pose(G.vec("qw", "qx", "qy", "qz"), 1e-4)
         return stage(unit.select("*", *[rot[i][j].alias(f"w{i}{j}") for i in range(3) for j in range(3)]))
 
+    @cached_property
+    def poses(self) -> DataFrame:
+        """Frames with a world-from-camera pose."""
+        return self._posed()
+
+    @cached_property
+    def frame_poses(self) -> DataFrame:
+        """Poses with the histogram of their image, which is wider than all else; only its own query reads it."""
+        return self._posed(F.transform("embedding", lambda v: v.cast("double")).alias("histogram"))
+
     @cached_property
     def order_stream(self) -> DataFrame:
         return self.table("orders").select(

@@ -1,9 +1,13 @@
 """Steps that must not grow faster than their input."""
 
+from decimal import Decimal
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from capstrata.operators import boundaries, graph, grounding, integrity, matching, surfaces, tracks
+from capstrata.operators import boundaries, graph, grounding, integrity, matching, surfaces, timeseries, tracks
 from capstrata.operators.ordered import sequence_over
+from capstrata.policies import TrackPolicy
 
 
 def plan_of(df):
@@ -123,3 +127,50 @@ def test_core_of_long_tracks_needs_no_pairs(spark, monkeypatch):
                                 "capture_id long, point_id long, rank long")
     core = {tuple(r) for r in tracks.two_core_views(obs).collect()}
     assert core == {(1, r) for r in (1, 2, 3, 4, 5, 10, 11, 12)}
+
+
+def test_poses_travel_without_their_histogram(spark):
+    from capstrata.plans import q_timeseries
+    from capstrata.plans.views import Views
+    v = Views(spark, "/none")
+    v.poses = spark.createDataFrame([(1, r, Decimal(r), Decimal(r), "normal", r, r, float(r), 0.0, 0.0, [0.5] * 4) for r in range(3)],
+                                    "capture_id long, rank long, relative_sec decimal(20,6), sensor_sec decimal(20,6), tracking_state string, k long, event_id long, "
+                                    "px double, py double, pz double, histogram array<double>")
+    c = q_timeseries.candidates(v)
+    assert not {"histogram", "px"} & set(c.columns) and "px" in q_timeseries.candidates(v, "px").columns and c.count() == 2
+    seen = []
+    real = timeseries.sequence_over
+    try:
+        timeseries.sequence_over = lambda df, *a, **k: seen.extend(df.columns) or real(df, *a, **k)
+        assert timeseries.pose_speed_events(v.poses, 0.5).count() == 2
+    finally:
+        timeseries.sequence_over = real
+    assert "histogram" not in seen
+
+
+def test_revisits_meet_in_few_copies(spark):
+    policy = TrackPolicy(exhaustive_views=4, temporal_window=2, revisit_distance_m=0.5, revisit_degrees=60.0, revisit_seconds=3.0, revisit_neighbors=3)
+    rng = np.random.default_rng(4)
+    eye = np.eye(3).ravel().tolist()
+    rows = [(c, r, Decimal(r), *rng.uniform(-2, 2, 3).tolist(), *eye) for c, n in ((1, 60), (2, 4), (3, 5)) for r in range(n)]
+    rows += [(4, r, Decimal(r), r * 0.5 * (r in (0, 9)) / 9 * 0.999 - 1.0, 50.0 * (r not in (0, 9)) * r, 0.5, *eye) for r in range(10)]
+    df = spark.createDataFrame(rows, "capture_id long, rank long, relative_sec decimal(20,6), px double, py double, pz double, " + ", ".join(f"w{i}{j} double" for i in range(3) for j in range(3)))
+    want = set()
+    for c in (1, 2, 3, 4):
+        mine = [r for r in rows if r[0] == c]
+        reach = 4 if len(mine) <= 4 else 2
+        want |= {(c, a[1], b[1]) for a in mine for b in mine if 0 < b[1] - a[1] <= reach}
+        if len(mine) > 4:
+            for a in mine:
+                near = sorted((float(np.linalg.norm(np.subtract(a[3:6], b[3:6]))), b[1]) for b in mine if b[1] > a[1] + 2 and b[1] - a[1] >= 3)
+                want |= {(c, a[1], b) for d, b in [x for x in near if x[0] < 0.5][:3]}
+    found = tracks.revisit_pairs(df, policy)
+    assert {tuple(r) for r in found.collect()} == want and (4, 0, 9) in want and "_y" not in plan_of(found)
+
+
+def test_audit_derives_each_table_once(spark, monkeypatch):
+    from capstrata.plans import q_clouds
+    calls = []
+    cells = spark.createDataFrame([(0, i, 1, 1, 2, 0.5) for i in range(40)], "capture_id long, vx long, vy long, vz long, n long, x double")
+    monkeypatch.setattr(q_clouds, "RECOMPUTED", [("voxel", ["vx", "vy", "vz"], "vz", 31, "n", "x", lambda v: calls.append(v) or cells)])
+    assert q_clouds.recompute_audit(None).where("difference = 'DERIVED_ONLY'").count() > 0 and len(calls) == 1
