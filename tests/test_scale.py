@@ -78,14 +78,14 @@ def test_rays_of_a_corner_are_shuffled_once(spark):
 
 def test_held_out_views_stage_nothing_and_never_pair_rays(spark, monkeypatch):
     monkeypatch.setattr(grounding, "stage", lambda df: 1 / 0)
-    corners = spark.range(4).crossJoin(spark.range(3).withColumnRenamed("id", "rank")).select(
+    corners = spark.range(4).crossJoin(spark.range(4).withColumnRenamed("id", "rank")).select(
         F.lit(1).alias("capture_id"), F.lit(1).alias("object_id"), "rank", F.col("id").alias("corner"), (F.col("id") * 10.0 + F.col("rank") * 60).alias("px"), (F.col("id") * 7.0).alias("py"))
-    cams = spark.range(3).select(
+    cams = spark.range(4).select(
         F.lit(1).alias("capture_id"), F.col("id").alias("rank"), F.lit(500.0).alias("fx"), F.lit(500.0).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"),
         *[F.lit(1.0 if i == j else 0.0).alias(f"r{i}{j}") for i in range(3) for j in range(3)], (F.col("id") * -0.3).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"),
         (F.col("id") * 0.3).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"))
     held = grounding.leave_one_out(corners, cams)
-    assert held.count() == 3
+    assert held.count() == 4
 
 
 def test_roles_are_met_without_a_join(spark):
