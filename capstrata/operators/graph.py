@@ -83,10 +83,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str],
     """Smallest vertex of each component.
 
     Integer vertices are first contracted in chunks of edges. Captures that lie in one chunk are finished by
-    that; only the others go on to the rounds.
+    that; only the others go on to the rounds, as does a single graph without keys.
     """
     e = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    if not isinstance(e.schema["u"].dataType, T.IntegralType):
+    if not keys or not isinstance(e.schema["u"].dataType, T.IntegralType):
         label = _star_rounds(e.distinct(), keys)
     else:
         e = e.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))

@@ -94,6 +94,15 @@ def test_components_of_a_long_chain(spark):
     assert {v for v, c in got.items() if c == 0} == set(range(21)) and got[40] == 21 and got[42] == 42
 
 
+def test_components_of_a_graph_without_keys(spark):
+    v = spark.createDataFrame([(i,) for i in range(8)], "v long")
+    e = spark.createDataFrame([(5, 3), (3, 4), (4, 1), (6, 7), (2, 2), (None, 2), (7, None), (6, 7)], "a long, b long")
+    got = {r["v"]: r["component"] for r in graph.connected_components(v, e, [], "v", "a", "b").collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6}
+    none = graph.connected_components(v, e.limit(0), [], "v", "a", "b").collect()
+    assert {r["v"]: r["component"] for r in none} == {i: i for i in range(8)}
+
+
 def test_track_reasons(spark):
     def case(pid, z, centres, ranks=None, move=0.0):
         ranks = ranks or range(len(centres))
