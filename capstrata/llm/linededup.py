@@ -29,9 +29,13 @@ def words_of(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, rule: LineRule) -> DataFrame:
-    """(id, version, text) to one row per line that counts: id, version, pos, words."""
-    lines = docs.select("id", "version", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("id", "version", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= rule.min_words)
+    """(id, version, text) to one row per line that counts: id, version, pos, words.
+
+    Lines are cut into words before they are exploded: a condition on words made afterwards would be pushed below
+    them and cut every line twice. Null texts give one row without words, which does not count.
+    """
+    lines = F.transform(F.split("text", "\n"), words_of)
+    return docs.select("id", "version", F.posexplode_outer(lines).alias("pos", "words")).where(F.size("words") >= rule.min_words)
 
 
 def place() -> Column:

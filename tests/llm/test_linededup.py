@@ -79,5 +79,12 @@ def test_replaced_word_among_many(frame):
     assert {r.id for r in got} == set(range(1, 200)) and {r.kept.id for r in got} == {0}
 
 
+def test_lines_are_cut_into_words_once(frame):
+    docs = linededup.versions(frame([(1, "one two three\nfour five"), (2, None), (3, "")], "doc_id long, text string"), "doc_id", "text")
+    lines = linededup.line_rows(docs, LineRule())
+    assert [(r.id, r.pos, r.words) for r in lines.collect()] == [(1, 0, ["one", "two", "three"])]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("array_remove(") == 1
+
+
 def test_empty_table(frame):
     assert linededup.drop_repeated(frame([], "doc_id long, text string"), "doc_id", "text").collect() == []
