@@ -23,7 +23,7 @@ LONGEST = 4
 UNDETERMINED = "und"
 #: Weight of a word or n-gram that a language never showed.
 UNSEEN = 0.1
-#: Distinct words a task counts before it hands them on, and vectors of unseen words it remembers.
+#: Distinct words a task counts before it hands them on, and rows of unseen words it remembers.
 HELD = 1_000_000
 
 
@@ -86,16 +86,39 @@ class LanguageModel:
     tables: list[dict[str, int]]
     logs: np.ndarray
 
-    def vector(self, word: str) -> np.ndarray:
-        """Log frequencies of a word, or the mean of its longest known n-grams'; zeros if nothing is known."""
-        at = self.tables[0].get(word)
-        if at is not None:
-            return self.logs[at]
+    def gram_rows(self, word: str) -> list[int]:
+        """Rows of an unseen word's longest known n-grams; none if nothing is known."""
         for n in range(LONGEST, 0, -1):
             rows = [r for g in grams(word, n) if (r := self.tables[n].get(g)) is not None]
             if rows:
-                return self.logs[rows].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return rows
+        return []
+
+    def vector(self, word: str) -> np.ndarray:
+        """Log frequencies of a word, or the mean of its longest known n-grams'; zeros if nothing is known."""
+        return self.total(Counter([word]), {}).astype(np.float32)
+
+    def total(self, counts: Counter, seen: dict[str, list[int]]) -> np.ndarray:
+        """Sum of all words' vectors. Their rows are fetched at once; `seen` keeps the rows of unseen words."""
+        rows, starts, weights = [], [], []
+        for word, n in counts.items():
+            at = self.tables[0].get(word)
+            if at is None:
+                found = seen.get(word)
+                if found is None:
+                    found = seen[word] = self.gram_rows(word)
+                if not found:
+                    continue
+            starts.append(len(rows))
+            weights.append(n)
+            if at is None:
+                rows.extend(found)
+            else:
+                rows.append(at)
+        if not rows:
+            return np.zeros(len(self.langs))
+        sums = np.add.reduceat(self.logs[rows], starts, axis=0)
+        return np.array(weights, float) @ (sums / np.diff(starts, append=len(rows)).astype(np.float32)[:, None]).astype(float)
 
     def predict(self, texts: Iterator[str | None]) -> Iterator[tuple[str, float]]:
         """(language, posterior probability under equal priors) of each whole text.
@@ -103,22 +126,15 @@ class LanguageModel:
         Ties go to the language learned from more words. Texts without a letter, and all texts of a model that learned
         nothing, are undetermined with score 0.
         """
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[str, list[int]] = {}
         for text in texts:
             words = words_of(text) if text else []
             if not self.langs or not has_letter(words):
                 yield UNDETERMINED, 0.0
                 continue
-            counts = Counter(words)
             if len(seen) > HELD // 10:
                 seen.clear()
-            rows = []
-            for w in counts:
-                v = seen.get(w)
-                if v is None:
-                    v = seen[w] = self.vector(w)
-                rows.append(v)
-            total = np.array(list(counts.values()), float) @ np.array(rows, float)
+            total = self.total(Counter(words), seen)
             p = np.exp(total - total.max())
             best = int(total.argmax())
             yield self.langs[best], float(p[best] / p.sum())

@@ -50,6 +50,19 @@ def test_backoff_goes_from_long_to_short():
     assert model.vector("qx").tolist() == [6, 7] and model.vector("xy").tolist() == [3, 4] and model.vector("日").tolist() == [0, 0]
 
 
+def test_rows_of_a_text_are_fetched_at_once():
+    rng = np.random.default_rng(1)
+    logs = rng.normal(size=(9, 2)).astype(np.float32)
+    model = langid.LanguageModel(["a", "b"], [{"word": 0, "w": 1}, {"x": 2, "y": 3}, {"_q": 4, "qx": 5}, {"abc": 6}, {"abcd": 7, "bcd_": 8}], logs)
+    known = {"word": [0], "w": [1], "qx": [4, 5], "xyx": [2, 3, 2], "abcd": [7, 8], "zabcz": [6], "日": []}
+    assert {w: [model.tables[0][w]] if w in model.tables[0] else model.gram_rows(w) for w in known} == known
+    counts, seen = Counter({w: i + 1 for i, w in enumerate(known)}), {}
+    want = sum(n * logs[known[w]].mean(axis=0, dtype=float) for w, n in counts.items() if known[w])
+    assert np.allclose(model.total(counts, seen), want, rtol=1e-5) and np.allclose(model.total(counts, seen), want, rtol=1e-5)
+    assert set(seen) == set(known) - {"word", "w"}  # words of the model need no memory
+    assert model.total(Counter(["日"]), seen).tolist() == [0, 0]
+
+
 def test_held_out_accuracy_and_odd_texts(frame):
     train, test = docs(300, 2), docs(200, 3)
     model = langid.fit_languages(frame(train, "doc_id long, text string, lang string"), "text", "lang")
