@@ -167,11 +167,15 @@ def fingerprints(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: i
         return spread(np.add.reduceat(spread(spread(ids + 1) + np.uint64(seed) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts) + (stops - starts).astype(np.uint64))
 
 
+#: Parts the ids of a group's key; no id is negative.
+BETWEEN = np.int32(-1).tobytes()
+
+
 class Dictionary:
     """The distinct groups of a block, their id pairs, and how many of the block's documents hold each pair."""
 
     def __init__(self) -> None:
-        self.index: dict[tuple[bytes, bytes], int] = {}
+        self.index: dict[bytes, int] = {}  # ids of A, -1, ids of B: one short key per group, as a block has very many
         self.texts: list[str] = []
         self.pair_index: dict[int, int] = {}
         self.group_pairs: list[int] = []  # indexes of pairs, group after group
@@ -180,7 +184,8 @@ class Dictionary:
         self.docs = np.zeros(0, np.int64)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> int:
-        key = (a.tobytes(), b.tobytes())
+        """The group's number; ids are 32-bit integers."""
+        key = a.tobytes() + BETWEEN + b.tobytes()
         at = self.index.get(key)
         if at is None:
             at = self.index[key] = len(self.index)
@@ -248,7 +253,8 @@ def align_batches(key_type: pa.DataType, a_path: str, b_path: str, a_ranks: str
                 _, where, of = np.unique(first, return_index=True, return_inverse=True)
                 if (second[where][of] != second).any():  # 64 bits were not enough
                     _, where, of = np.unique(np.stack([first, second]), axis=1, return_index=True, return_inverse=True)
-                group = np.array([seen.add(a[s:t], b[u:v]) for s, t, u, v in zip(a_start[where].tolist(), a_stop[where].tolist(), b_start[where].tolist(), b_stop[where].tolist())])[of.ravel()]
+                short_a, short_b = a.astype(np.int32), b.astype(np.int32)
+                group = np.array([seen.add(short_a[s:t], short_b[u:v]) for s, t, u, v in zip(a_start[where].tolist(), a_stop[where].tolist(), b_start[where].tolist(), b_stop[where].tolist())])[of.ravel()]
                 seen.count_documents(doc, group)
                 links = np.cumsum((a_stop - a_start) * (b_stop - b_start))
                 stop = np.searchsorted(doc, np.arange(len(texts)), side="right")

@@ -83,6 +83,16 @@ def test_empty_table_and_texts_without_tokens(frame):
     assert result(none.collect()) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_groups_have_one_short_key():
+    seen, ids = align.Dictionary(), lambda *x: np.array(x, np.int32)
+    groups = [(ids(1, 2), ids(3)), (ids(1), ids(2, 3)), (ids(1, 2, 3), ids(4)), (ids(2, 2), ids(3, 3)), (ids(40000), ids(31999))]
+    assert [seen.add(a, b) for a, b in groups] == [seen.add(a, b) for a, b in groups] == list(range(5))
+    assert [len(k) for k in seen.index] == [16, 16, 20, 20, 12]
+    assert seen.texts == ["1,2|3", "1|2,3", "1,2,3|4", "2,2|3,3", "40000|31999"]
+    pairs = list(seen.pair_index)
+    assert (1 << 32 | 3) in pairs and (40000 << 32 | 31999) in pairs and seen.group_weights[-2:] == [4, 1]
+
+
 ends = st.lists(st.integers(1, 300), max_size=60, unique=True).map(sorted)
 
 
