@@ -294,6 +294,23 @@ def align_batches(key_type: pa.DataType, a_path: str, b_path: str, a_ranks: str
     return work
 
 
+#: Group occurrences whose values are gathered at once: a block has millions, and their values take many times their memory.
+GATHERED = 1 << 16
+
+
+def list_sums(values: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """For each list of column numbers, the sums of those columns of `values`; lists of any length are gathered in chunks."""
+    at = lists.flatten().to_numpy(zero_copy_only=False)
+    stops = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    total, before = np.zeros((len(values), len(lists)), np.int64), np.zeros((len(values), 1), np.int64)
+    for start in range(0, len(at), GATHERED):
+        sums = np.cumsum(values[:, at[start:start + GATHERED]], axis=1) + before
+        first, last = np.searchsorted(stops, [start, start + sums.shape[1]], side="right")
+        total[:, first:last] = sums[:, stops[first:last] - start - 1]
+        before = sums[:, -1:]
+    return np.diff(total, axis=1, prepend=0)
+
+
 @dataclass(frozen=True)
 class Alignment:
     """What align_tokens found, as staged tables.
@@ -325,23 +342,21 @@ class Alignment:
         both = found.unionByName(self.blocks.drop("docs", "group_texts"), allowMissingColumns=True)
 
         def work(block: pa.Table, counted: pa.Table) -> pa.Table:
-            names = block.column("pairs").is_valid()
-            docs = block.filter(pc.invert(names))
-            n_best = count_sum = np.zeros(docs.num_rows, np.int64)
+            of_group = np.zeros((2, 0), np.int64)
             if counted.num_rows:
-                row = block.filter(names)
+                row = block.filter(block.column("pairs").is_valid())
                 get = lambda c: row.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
                 pairs, order = get("pairs"), np.argsort(counted.column("pair").to_numpy())
                 at = order[np.searchsorted(counted.column("pair").to_numpy()[order], pairs)]
                 n, best = counted.column("n_docs").to_numpy()[at], counted.column("best").to_numpy(zero_copy_only=False)[at].astype(np.int64)
                 use, weight, start = get("group_pairs"), get("group_weights"), get("group_stops")[:-1]
                 of_group = np.stack([np.add.reduceat(weight * best[use], start), np.add.reduceat(weight * n[use], start)])
-                groups = docs.column("groups").combine_chunks()
-                stops = np.append(0, np.cumsum(groups.value_lengths().to_numpy(zero_copy_only=False)))
-                total = np.append(np.zeros((2, 1), np.int64), np.cumsum(of_group[:, groups.flatten().to_numpy(zero_copy_only=False)], axis=1), axis=1)
-                n_best, count_sum = (total[:, stops[1:]] - total[:, stops[:-1]])
-            kept = docs.select(["key", *fixed]).append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
-            return kept.append_column("digest", docs.column("digest"))
+            kept = []
+            for batch in block.select(["key", *fixed, "digest", "groups", "pairs"]).to_batches():
+                docs = batch.filter(pc.is_null(batch.column("pairs")))
+                n_best, count_sum = list_sums(of_group, docs.column("groups"))
+                kept.append(pa.table([*(docs.column(c) for c in ["key", *fixed]), pa.array(n_best), pa.array(count_sum), docs.column("digest")], ["key", *fixed, "n_best", "count_sum", "digest"]))
+            return pa.concat_tables(kept)
 
         schema = f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, digest string"
         scored = both.groupBy("block").cogroup(wanted.groupBy("of_block")).applyInArrow(work, schema)

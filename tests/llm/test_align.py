@@ -123,3 +123,34 @@ def both():
     if not _made:
         _made.append(align.TokenizerPair(A, B, RANKS))
     return _made[0]
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 1000])
+def test_sums_of_lists_gathered_in_chunks(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(align, "GATHERED", size)
+    lists = [[], [], [0, 2, 2], [], [1], [2, 1, 0, 0, 0, 1], [], []]
+    values = np.array([[1, 10, 100], [-7, 1 << 60, 3]])
+    want = [[sum(int(v[i]) for i in x) for x in lists] for v in values]
+    assert align.list_sums(values, pa.array(lists, pa.list_(pa.int32()))).tolist() == want
+    assert align.list_sums(np.zeros((2, 0), np.int64), pa.array([[], []], pa.list_(pa.int32()))).tolist() == [[0, 0], [0, 0]]
+    assert align.list_sums(values, pa.array([], pa.list_(pa.int32()))).shape == (2, 0)
+    assert align.list_sums(values, pa.array(lists, pa.list_(pa.int32()))[4:6]).tolist() == [w[4:6] for w in want]
+
+
+def test_scores_of_a_block_take_little_memory_beside_it():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 4_000_000  # group occurrences: one value of each would take 64 MB
+    lists = pa.ListArray.from_arrays(np.arange(0, n + 1, n // 1000, dtype=np.int32), np.arange(n, dtype=np.int32) % 5)
+    tracemalloc.start()
+    try:
+        got = align.list_sums(np.arange(10).reshape(2, 5), lists)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == [[8000] * 1000, [28000] * 1000]
+    assert peak < 8 << 20
