@@ -12,20 +12,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capstrata.session import SLICES_KEY, stage
+from capstrata.session import SLICES_KEY, stage, unstage
 
 SLICE = "_slice"
+#: About so many rows go into a slice at most. Spark sizes partitions by compressed bytes, and sorted keys and positions
+#: compress to a few bytes a row, so that a task would get and sort very many of them.
+SLICE_ROWS = 500_000
 
 
 def with_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The table staged once with the slice number of each row; it rises with ``order`` within a key.
 
     There are as many slices as shuffle partitions, or as ``spark.capstrata.slices`` says; AQE
-    merges small ones. Rows equal in all keys and order columns share a slice.
+    merges small ones, and slices of too many rows are cut again. Rows equal in all keys and order
+    columns share a slice.
     """
+    return _slices(df, keys, order)[0]
+
+
+def _slices(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, int]:
+    """The sliced table and its number of rows."""
     wanted = df.sparkSession.conf.get(SLICES_KEY, None)
     ranged = df.repartitionByRange(int(wanted), *keys, *order) if wanted else df.repartitionByRange(*keys, *order)
-    return stage(ranged.withColumn(SLICE, F.spark_partition_id()))
+    sliced = stage(ranged.withColumn(SLICE, F.spark_partition_id()))
+    rows, most = sliced.groupBy(SLICE).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    if not wanted and most and most > 2 * SLICE_ROWS:
+        coarse = sliced
+        finer = coarse.drop(SLICE).repartitionByRange(-(-rows // SLICE_ROWS), *keys, *order)
+        sliced = stage(finer.withColumn(SLICE, F.spark_partition_id()))
+        unstage(coarse)
+    return sliced, rows
 
 
 def sequence_over(
@@ -50,7 +66,7 @@ def sequence_over(
     lag, lead = lag or {}, lead or {}
     running_sum, running_max_before = running_sum or {}, running_max_before or {}
     total_sum, total_min = total_sum or {}, total_min or {}
-    sliced = with_slices(df, keys, order)
+    sliced, rows = _slices(df, keys, order)
     position = F.struct(*order)
 
     parts = [F.count(F.lit(1)).alias("_c")]
@@ -79,6 +95,9 @@ def sequence_over(
     carried += [F.sum(f"_t_{o}").over(whole).alias(o) for o in total_sum]
     carried += [F.min(f"_t_{o}").over(whole).alias(o) for o in total_min]
     # the windows below need this shuffle anyway; a broadcast would take a row per key through the driver
+    if rows > SLICE_ROWS:  # a number of its own keeps AQE from merging partitions into tasks of very many rows
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * -(-rows // SLICE_ROWS))
+        sliced = sliced.repartition(parts, *keys, SLICE)
     joined = sliced.join(summary.select(*keys, SLICE, *carried).hint("shuffle_hash"), [*keys, SLICE])
 
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
