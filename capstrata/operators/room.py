@@ -93,11 +93,12 @@ def sparse_room(points: DataFrame, min_points: int = 100) -> DataFrame:
     floor = quantiles(points, [k], "y", {"floor_y": 0.02})
     # floor coordinates are u = x and v = -z for a world with +Y up
     uv = points.select(k, F.col("x").alias("u"), (-F.col("z")).alias("v"))
-    lim = quantiles(uv, [k], "u", {"u0": 0.02, "u1": 0.98}).join(quantiles(uv, [k], "v", {"v0": 0.02, "v1": 0.98}), k)
+    # one row per capture, staged: Spark knows its size and does not sort the points of a capture in one task to meet it
+    lim = stage(quantiles(uv, [k], "u", {"u0": 0.02, "u1": 0.98}).join(quantiles(uv, [k], "v", {"v0": 0.02, "v1": 0.98}), k))
     core = uv.join(lim, k).where(F.col("u").between(F.col("u0"), F.col("u1")) & F.col("v").between(F.col("v0"), F.col("v1"))).select(k, "u", "v")
     cov = core.groupBy(k).agg(F.var_samp("u").alias("_a"), F.covar_samp("u", "v").alias("_b"), F.var_samp("v").alias("_c"))
     turn = 0.5 * F.atan2(2 * F.col("_b"), F.col("_a") - F.col("_c"))
-    axes = cov.select(k, F.cos(turn).alias("ax"), F.sin(turn).alias("ay"), (-F.sin(turn)).alias("bx"), F.cos(turn).alias("by"))
+    axes = stage(cov.select(k, F.cos(turn).alias("ax"), F.sin(turn).alias("ay"), (-F.sin(turn)).alias("bx"), F.cos(turn).alias("by")))
     local = core.join(axes, k).select(k, (F.col("u") * F.col("ax") + F.col("v") * F.col("ay")).alias("p0"),
                                       (F.col("u") * F.col("bx") + F.col("v") * F.col("by")).alias("p1"))
     b = quantiles(local, [k], "p0", {"lo0": 0.02, "hi0": 0.98}).join(quantiles(local, [k], "p1", {"lo1": 0.02, "hi1": 0.98}), k)

@@ -150,3 +150,26 @@ def test_slices_and_tasks_hold_bounded_rows(spark, monkeypatch):
             r = rows[k, v]
             assert (r.pos, r.s, r.n) == (i, total, len(vs))
             assert r.before == (vs[i - 1] if i else None) and r.after == (vs[i + 1] if i + 1 < len(vs) else None)
+
+
+def test_points_meet_limits_of_their_capture_without_a_sort(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from capstrata.operators import room, surfaces
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    points = spark.range(3000).select((F.col("id") % 2).alias("capture_id"), (F.col("id") % 50 / 10).alias("x"),
+                                      (F.col("id") % 7 / 10).alias("y"), (F.col("id") % 31 / 10).alias("z"))
+    seen = {}
+    real = room.quantiles
+    monkeypatch.setattr(room, "quantiles", lambda df, keys, value, *a, **kw: seen.update({value: plan(df)}) or real(df, keys, value, *a, **kw))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # the points are larger, the limits of two captures smaller
+    try:
+        trimmed = surfaces.trim_quantiles(points, ["x", "z"], 0.02)
+        assert "SortMergeJoin" not in plan(trimmed) and 2700 < trimmed.count() <= 3000
+        assert room.sparse_room(points).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(seen) >= {"p0", "p1"} and not any("SortMergeJoin" in p for p in seen.values())
