@@ -28,6 +28,11 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), "")
 
 
+def word_hashes() -> Column:
+    """64 bits for each word: parts of a line are many, and hash faster and travel lighter as numbers than as words."""
+    return F.transform("words", lambda w: F.xxhash64(w))
+
+
 def line_rows(docs: DataFrame, rule: LineRule) -> DataFrame:
     """(id, version, text) to one row per line that counts: id, version, pos, words.
 
@@ -51,13 +56,13 @@ def line_hashes() -> list[Column]:
 def half_keys(rule: LineRule) -> list[Column]:
     """Hashes of which near lines share one: an edit of one word leaves the first or the last half of the words alone.
 
-    A line of n words is compared with lines of n and of n + 1 words under size n, and of n - 1 words under n - 1.
+    Read from the words' hashes in `hashes`. A line of n words is compared with lines of n and of n + 1 words under size n, and of n - 1 words under n - 1.
     """
-    n, out = F.size("words"), []
+    n, out = F.size("hashes"), []
     for size in (n, n - 1):
         half = F.floor(size / 2).cast("int")
         rest = size - half
-        for tag, part in (("first", F.slice("words", F.lit(1), half)), ("last", F.slice("words", n - rest + 1, rest))):
+        for tag, part in (("first", F.slice("hashes", F.lit(1), half)), ("last", F.slice("hashes", n - rest + 1, rest))):
             out.append(F.when(size >= rule.near_words, F.xxhash64(F.lit(tag), size, part)))
     return out
 
@@ -74,12 +79,12 @@ def variants(lines: DataFrame) -> DataFrame:
 
     at is the deleted word's number, 0 for the line itself.
     """
-    n = F.size("words")
+    n = F.size("hashes")
     spots = F.sequence(F.lit(0), n)
-    left = F.when(F.col("at") == 0, F.xxhash64("words")).otherwise(
-        F.xxhash64(F.concat(F.slice("words", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0))), F.slice("words", F.col("at") + 1, n)))
+    left = F.when(F.col("at") == 0, F.xxhash64("hashes")).otherwise(
+        F.xxhash64(F.concat(F.slice("hashes", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0))), F.slice("hashes", F.col("at") + 1, n)))
     )
-    return lines.select("h1", "h2", "place", "words", F.explode(spots).alias("at")).select("h1", "h2", "place", "at", left.alias("variant"))
+    return lines.select("h1", "h2", "place", word_hashes().alias("hashes")).select("h1", "h2", "place", "hashes", F.explode(spots).alias("at")).select("h1", "h2", "place", "at", left.alias("variant"))
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -135,7 +140,7 @@ def repeated_lines(df: DataFrame, key: str, text: str, rule: LineRule = LineRule
     disregard case and the amount of white space. Other columns are not read.
     """
     docs = versions(df, key, text).select("id", "version", "text")
-    lines = line_rows(docs, rule)
+    lines = line_rows(docs, rule).withColumn("hashes", word_hashes())
     keys = [k.alias(f"k{i}") for i, k in enumerate(half_keys(rule))]
     hashed = stage(lines.select("id", "version", "pos", *line_hashes(), *keys))  # texts are cut into words once
     unique = stage(

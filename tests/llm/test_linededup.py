@@ -88,3 +88,17 @@ def test_lines_are_cut_into_words_once(frame):
 
 def test_empty_table(frame):
     assert linededup.drop_repeated(frame([], "doc_id long, text string"), "doc_id", "text").collect() == []
+
+
+def test_variants_carry_numbers_instead_of_words(frame):
+    words = [f"w{i}" for i in range(12)]
+    other = words[:4] + ["new"] + words[5:]
+    lines = frame([(1, 1, 0, words), (2, 2, 1, words[:6] + words[7:]), (3, 3, 2, other)], "h1 long, h2 long, place int, words array<string>")
+    found = linededup.variants(lines)
+    generates = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert generates and not any("words#" in x for x in generates)
+    of = {}
+    for r in found.collect():
+        of.setdefault(r.h1, {})[r.at] = r.variant
+    assert [len(set(of[h].values())) for h in (1, 2, 3)] == [13, 12, 13]
+    assert of[1][7] == of[2][0] and of[1][5] == of[3][5] and of[1][0] != of[3][0]
