@@ -8,6 +8,7 @@ whole-stage code generation.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,17 +144,21 @@ def pose_delta(ta: Vec, ra: list[Vec], tb: Vec, rb: list[Vec]) -> tuple[Column,
 
 # --- pixels ----------------------------------------------------------------
 
-def to_camera(xyz: Vec, prefix: str = "") -> Vec:
-    r = [[F.col(f"{prefix}r{i}{j}") for j in AXES] for i in AXES]
-    t = [F.col(f"{prefix}t{a}") for a in "xyz"]
-    return [dot(r[i], xyz) + t[i] for i in AXES]
+def _camera(prefix: str, of: Column | None) -> Callable[[str], Column]:
+    """The fields of a camera: flat columns, or those of a struct such as an element of an array."""
+    return lambda c: F.col(f"{prefix}{c}") if of is None else of[c]
+
+
+def to_camera(xyz: Vec, prefix: str = "", of: Column | None = None) -> Vec:
+    at = _camera(prefix, of)
+    return [dot([at(f"r{i}{j}") for j in AXES], xyz) + at(f"t{a}") for i, a in enumerate("xyz")]
 
 
-def project_pixel(xyz: Vec, prefix: str = "") -> tuple[Column, Column, Column]:
+def project_pixel(xyz: Vec, prefix: str = "", of: Column | None = None) -> tuple[Column, Column, Column]:
     """Pixel and depth; the pixel is NULL where the depth is not usable."""
-    o = to_camera(xyz, prefix)
+    o = to_camera(xyz, prefix, of)
     z = F.when(F.abs(o[2]) >= 1e-15, o[2])
-    fx, fy, cx, cy = (F.col(f"{prefix}{c}") for c in ("fx", "fy", "cx", "cy"))
+    fx, fy, cx, cy = (_camera(prefix, of)(c) for c in ("fx", "fy", "cx", "cy"))
     return fx * o[0] / z + cx, fy * o[1] / z + cy, o[2]
 
 
@@ -182,16 +187,23 @@ def backproject_pixel(x: Column, y: Column, depth: Column, prefix: str = "") ->
     return [sum(r[k][i] * shifted[k] for k in AXES) for i in AXES]
 
 
-def pixel_ray(x: Column, y: Column, prefix: str = "") -> Vec:
-    """Unit world direction through an image-edge coordinate."""
-    fx, fy, cx, cy = (F.col(f"{prefix}{c}") for c in ("fx", "fy", "cx", "cy"))
-    o = [(x - cx) / fx, (y - cy) / fy, F.lit(1.0)]
-    r = [[F.col(f"{prefix}r{i}{j}") for j in AXES] for i in AXES]
-    d = [sum(r[k][i] * o[k] for k in AXES) for i in AXES]
+def pixel_direction(x: Column, y: Column, prefix: str = "", of: Column | None = None) -> Vec:
+    """World direction through an image-edge coordinate, of any length."""
+    at = _camera(prefix, of)
+    o = [(x - at("cx")) / at("fx"), (y - at("cy")) / at("fy"), F.lit(1.0)]
+    return [sum(at(f"r{k}{i}") * o[k] for k in AXES) for i in AXES]
+
+
+def unit(d: Vec) -> Vec:
     n = norm(d)
     return [c / n for c in d]
 
 
+def pixel_ray(x: Column, y: Column, prefix: str = "") -> Vec:
+    """Unit world direction through an image-edge coordinate."""
+    return unit(pixel_direction(x, y, prefix))
+
+
 def rescale_grid(x: Column, y: Column, display: Vec, native: Vec) -> Vec:
     return [x * native[0] / display[0], y * native[1] / display[1]]
 

@@ -18,6 +18,7 @@ from capstrata.session import stage
 
 MAX_MARKED_VIEWS = 12
 RAY = ["rx", "ry", "rz"]
+CAMERA = ["fx", "fy", "cx", "cy", *[f"r{i}{j}" for i in range(3) for j in range(3)], *[f"{c}{a}" for c in "to" for a in "xyz"]]
 
 
 def corner_rays(corners: DataFrame, cameras: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -74,6 +75,39 @@ def triangulate(rays: DataFrame, extra: list[str] | None = None, policy: Groundi
     return _solved_corners(sums, k, F.col("_cosine"), policy)
 
 
+def gathered_views(corners: DataFrame, cameras: DataFrame) -> DataFrame:
+    """The marked views of each corner with their cameras, at most 12 by contract, in one row, ``_views``.
+
+    The rows are dealt by object, so that variants of an object (trials, moved cameras) are exploded and summed up in
+    place: a shuffle gets every mark once, however many variants there are.
+    """
+    j = corners.select("capture_id", "object_id", "rank", "corner", "px", "py").join(cameras.select("capture_id", "rank", *CAMERA), ["capture_id", "rank"])
+    return j.repartition("capture_id", "object_id").groupBy("capture_id", "object_id", "corner").agg(F.collect_list(F.struct("rank", "px", "py", *CAMERA)).alias("_views"))
+
+
+def solved_in_place(gathered: DataFrame, extra: list[str], policy: GroundingPolicy) -> DataFrame:
+    """``triangulate`` and ``corner_errors`` for gathered views: the corner with its worst error and least depth, if it is solved."""
+    k = ["capture_id", "object_id", *extra, "corner"]
+    ray = F.transform("_views", lambda w: F.struct(w["rank"].alias("rank"), *[w[f"o{a}"].alias(f"o{a}") for a in "xyz"],
+                                                   *[c.alias(n) for c, n in zip(G.pixel_direction(w["px"], w["py"], of=w), RAY)]))
+    ray = F.transform(ray, lambda r: F.struct(*[r[c].alias(c) for c in ("rank", "ox", "oy", "oz")], *[c.alias(n) for c, n in zip(G.unit([r[c] for c in RAY]), RAY)]))
+    none = F.struct(*[F.lit(None).cast("double").alias(n) for n in _ray_terms()])
+    add = lambda s, r: F.struct(*[F.coalesce(s[n] + c, s[n], c).alias(n) for n, c in _ray_terms(r).items()])  # noqa: E731  (as F.sum: without nulls)
+    at = gathered.withColumn("_rays", ray).withColumns({
+        "_sums": F.aggregate("_rays", none, add), "_cosine": _widest_of("_rays"),
+        "views": F.size(F.array_distinct(F.transform("_rays", lambda r: r["rank"]))).cast("bigint")}).drop("_rays")
+    at = at.withColumns({n: F.col(f"_sums.{n}") for n in _ray_terms()})
+    out = _solved_corners(at, [*k, "_views"], F.col("_cosine"), policy)
+
+    def fit(w):
+        u, v, depth = G.project_pixel(G.vec("x", "y", "z"), of=w)
+        return F.struct(F.sqrt((u - w["px"]) ** 2 + (v - w["py"]) ** 2).alias("error_px"), depth.alias("depth"))
+
+    known = (F.col("corner_status") == "SOLVED") & F.col("object_id").isNotNull() & F.col("corner").isNotNull()
+    out = out.withColumn("_fits", F.when(known, F.transform("_views", fit))).drop("_views")
+    return out.withColumns({"error_px": F.array_max("_fits.error_px"), "depth": F.array_min("_fits.depth")}).drop("_fits")
+
+
 def corner_errors(rays: DataFrame, solved: DataFrame, cameras: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Reprojection error and depth of each solved corner in each of its views."""
     k = ["capture_id", "object_id", *(extra or []), "corner"]
@@ -83,28 +117,45 @@ def corner_errors(rays: DataFrame, solved: DataFrame, cameras: DataFrame, extra:
     return j.select(*k, "rank", F.sqrt((u - F.col("seen_x")) ** 2 + (v - F.col("seen_y")) ** 2).alias("error_px"), depth.alias("depth"))
 
 
+def _state_sums() -> list[Column]:
+    """What the state of an object needs of its corners."""
+    return [F.min("views").alias("views"), F.max(F.col("corner_status") == "INSUFFICIENT_OBSERVATIONS").alias("_few"),
+            F.max(F.col("corner_status") == "INSUFFICIENT_PARALLAX").alias("_flat"), F.max("condition").alias("condition"),
+            F.min("max_ray_angle_degrees").alias("min_corner_angle_degrees"), F.count("*").alias("_corners")]
+
+
+def _error_sums() -> list[Column]:
+    return [F.max("error_px").alias("reprojection_max_px"), F.min("depth").alias("min_depth")]
+
+
+def _state(policy: GroundingPolicy) -> Column:
+    good = (F.col("min_depth") > 0) & (F.col("reprojection_max_px") <= policy.max_reprojection_pixels)
+    return (F.when(F.col("_few") | (F.col("_corners") < 4), "INSUFFICIENT_OBSERVATIONS").when(F.col("_flat"), "INSUFFICIENT_PARALLAX")
+            .when(good, "TRIANGULATED").otherwise("DISAGREEMENT_REVIEW_REQUIRED"))
+
+
 def object_state(solved: DataFrame, errors: DataFrame, extra: list[str] | None = None,
                  policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
     """State of each object from its four corners and their reprojection."""
     k = ["capture_id", "object_id", *(extra or [])]
-    c = solved.groupBy(*k).agg(
-        F.min("views").alias("views"), F.max(F.col("corner_status") == "INSUFFICIENT_OBSERVATIONS").alias("_few"),
-        F.max(F.col("corner_status") == "INSUFFICIENT_PARALLAX").alias("_flat"), F.max("condition").alias("condition"),
-        F.min("max_ray_angle_degrees").alias("min_corner_angle_degrees"), F.count("*").alias("_corners"))
-    e = errors.groupBy(*k).agg(F.max("error_px").alias("reprojection_max_px"), F.min("depth").alias("min_depth"))
-    good = (F.col("min_depth") > 0) & (F.col("reprojection_max_px") <= policy.max_reprojection_pixels)
-    state = (F.when(F.col("_few") | (F.col("_corners") < 4), "INSUFFICIENT_OBSERVATIONS").when(F.col("_flat"), "INSUFFICIENT_PARALLAX")
-             .when(good, "TRIANGULATED").otherwise("DISAGREEMENT_REVIEW_REQUIRED"))
-    return c.join(e, k, "left").select(*k, "views", "min_corner_angle_degrees", "condition", "reprojection_max_px", "min_depth", state.alias("state"))
+    j = solved.groupBy(*k).agg(*_state_sums()).join(errors.groupBy(*k).agg(*_error_sums()), k, "left")
+    return j.select(*k, "views", "min_corner_angle_degrees", "condition", "reprojection_max_px", "min_depth", _state(policy).alias("state"))
+
+
+def _corner_points() -> list[Column]:
+    """How many corners of an object are solved, and their points."""
+    solved = F.col("corner_status") == "SOLVED"
+    return [F.count_if(solved).alias("_n"), *[F.max(F.when(solved & (F.col("corner") == i), F.col(c))).alias(f"c{i}{c}") for i in range(4) for c in "xyz"]]
 
 
 def object_rectangles(solved: DataFrame, references: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Edge lengths, errors and plane of each object whose four corners are solved."""
     k = ["capture_id", "object_id", *(extra or [])]
-    corner = lambda i, c: F.max(F.when(F.col("corner") == i, F.col(c))).alias(f"c{i}{c}")
-    wide = solved.where("corner_status = 'SOLVED'").groupBy(*k).agg(
-        F.count("*").alias("_n"), *[corner(i, c) for i in range(4) for c in "xyz"]).where("_n = 4")
-    j = wide.join(references.select("capture_id", "object_id", "width_m", "height_m"), ["capture_id", "object_id"])
+    return _rectangles(solved.where("corner_status = 'SOLVED'").groupBy(*k).agg(*_corner_points()), references, k)
+
+
+def _rectangles(points: DataFrame, references: DataFrame, k: list[str]) -> DataFrame:
+    j = points.where("_n = 4").join(references.select("capture_id", "object_id", "width_m", "height_m"), ["capture_id", "object_id"])
     pts = [[F.col(f"c{i}{c}") for c in "xyz"] for i in range(4)]
     m = G.rectangle_metrics(pts, F.col("width_m"), F.col("height_m"))
     centre = [(pts[0][a] + pts[1][a] + pts[2][a] + pts[3][a]) / 4 for a in range(3)]
@@ -226,20 +277,20 @@ def sensitivity_range(corners: DataFrame, cameras: DataFrame, references: DataFr
     """Range of measured sizes over seeded corner perturbations of the marked pixels.
 
     The noise comes from a hash of seed, trial and corner, so it does not depend on the
-    partitioning. The number of trials is a small fixed policy value.
+    partitioning. The number of trials is a small fixed policy value; they are made from the
+    gathered views of an object and summed up where they are made.
     """
     k = ["capture_id", "object_id"]
-    t = corners.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(policy.sensitivity_trials))))
+    t = gathered_views(corners, cameras).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(policy.sensitivity_trials))))
 
-    def noise(axis):
-        h = F.xxhash64(F.lit(policy.seed), F.lit(axis), "trial", "capture_id", "object_id", "rank", "corner")
-        return (F.pmod(h, F.lit(2_000_001)).cast("double") / 1_000_000 - 1) * policy.sensitivity_pixels
+    def moved(w, axis):
+        h = F.xxhash64(F.lit(policy.seed), F.lit(axis), "trial", "capture_id", "object_id", w["rank"], "corner")
+        return w[f"p{axis}"] + (F.pmod(h, F.lit(2_000_001)).cast("double") / 1_000_000 - 1) * policy.sensitivity_pixels
 
-    t = t.withColumn("px", F.col("px") + noise("x")).withColumn("py", F.col("py") + noise("y"))
-    rays = corner_rays(t, cameras, ["trial"])
-    solved = triangulate(rays, ["trial"], policy)
-    ok = object_state(solved, corner_errors(rays, solved, cameras, ["trial"]), ["trial"], policy).where("state = 'TRIANGULATED'")
-    r = object_rectangles(solved, references, ["trial"]).join(ok.select(*k, "trial"), [*k, "trial"], "left_semi")
+    t = t.withColumn("_views", F.transform("_views", lambda w: F.struct(
+        w["rank"].alias("rank"), moved(w, "x").alias("px"), moved(w, "y").alias("py"), *[w[c].alias(c) for c in CAMERA])))
+    trials = solved_in_place(t, ["trial"], policy).groupBy(*k, "trial").agg(*_state_sums(), *_error_sums(), *_corner_points())
+    r = _rectangles(trials.where(_state(policy) == "TRIANGULATED"), references, [*k, "trial"])
     w = (F.col("width_edge_0_m") + F.col("width_edge_1_m")) / 2
     h = (F.col("height_edge_0_m") + F.col("height_edge_1_m")) / 2
     out = r.groupBy(*k).agg(F.count("*").alias("usable_trials"), F.min(w).alias("width_min_m"), F.max(w).alias("width_max_m"),

@@ -136,7 +136,7 @@ CORNERS = f"""SELECT capture_id, object_id, rank, c AS corner, 500 * (qx - ox) /
 
 def marks(v):
     k = F.col("o_orderkey")
-    m = sequence_over(v.table("orders"), ["o_custkey"], ["o_orderkey"], rank="_r")
+    m = sequence_over(v.table("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], rank="_r")
     return stage(m.select(F.col("o_custkey").alias("capture_id"), F.col("o_custkey").alias("object_id"), (F.col("_r") + 1).alias("rank"), k.alias("k"),
                           (((k * 7) % 41 - 20) * 0.05).alias("ox"), (((k * 3) % 11 - 5) * 0.05).alias("oy")))
 

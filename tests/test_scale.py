@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from capstrata.operators import boundaries, graph, grounding, integrity, matching, surfaces, timeseries, tracks
 from capstrata.operators.ordered import sequence_over
-from capstrata.policies import TrackPolicy
+from capstrata.policies import GroundingPolicy, TrackPolicy
 
 
 def plan_of(df):
@@ -174,3 +174,47 @@ def test_audit_derives_each_table_once(spark, monkeypatch):
     cells = spark.createDataFrame([(0, i, 1, 1, 2, 0.5) for i in range(40)], "capture_id long, vx long, vy long, vz long, n long, x double")
     monkeypatch.setattr(q_clouds, "RECOMPUTED", [("voxel", ["vx", "vy", "vz"], "vz", 31, "n", "x", lambda v: calls.append(v) or cells)])
     assert q_clouds.recompute_audit(None).where("difference = 'DERIVED_ONLY'").count() > 0 and len(calls) == 1
+
+
+CAMERA = "capture_id long, rank long, fx double, fy double, cx double, cy double, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3)) + ", tx double, ty double, tz double, ox double, oy double, oz double"
+
+
+def marked_objects(spark):
+    """Objects with repeated, missing and lone marks; a camera comes twice, and one lacks its position."""
+    eye = [1.0 if i == j else 0.0 for i in range(3) for j in range(3)]
+    cams = [(c, r, 500.0, 500.0, 320.0, 240.0, *eye, -0.3 * r, -0.1 * (r % 2), 0.0, 0.3 * r, 0.1 * (r % 2), 0.0) for c in (1, 2) for r in range(5)]
+    cams += [(1, 1, 510.0, 500.0, 321.0, 240.0, *eye, -0.31, -0.1, 0.0, 0.31, 0.1, 0.0), (1, 6, 500.0, 500.0, 320.0, 240.0, *eye, -0.1, 0.0, 0.0, None, 0.0, 0.0), (None, 0, *cams[0][2:])]
+    at = ((0.0, 0.0), (0.3, 0.0), (0.3, 0.2), (0.0, 0.2))
+    mark = lambda c, o, r, i, off=0.0: (c, o, r, i, 500 * (at[i][0] - 0.3 * r) / 3 + 320 + off * (r * 3 + i) % 2, 500 * (at[i][1] - 0.1 * (r % 2)) / 3 + 240)
+    rows = [mark(c, o, r, i, 0.25 * o) for c, o, n in ((1, 1, 5), (1, 2, 3), (2, 3, 2), (2, 4, 5), (2, 5, 5)) for r in range(n) for i in range(4)]
+    rows += [mark(1, 2, 2, 1, 0.5), (2, 4, 3, 0, None, 1.0), (2, 5, 1, None, 300.0, 250.0), (1, 1, 6, 2, 330.0, 250.0), (1, 7, 9, 0, 1.0, 1.0)]
+    rows += [mark(2, None, r, i) for r in range(4) for i in range(4)] + [mark(None, 8, 0, 0)]
+    return spark.createDataFrame(rows, "capture_id long, object_id long, rank long, corner long, px double, py double"), spark.createDataFrame(cams, CAMERA)
+
+
+def shuffled_by(df):
+    return [line for line in plan_of(df).splitlines() if "Exchange " in line]
+
+
+def rounded(df, *columns):
+    return sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.select(*columns).na.fill(-1.0).na.fill(-1).collect())
+
+
+def test_trials_never_reach_a_shuffle(spark):
+    corners, cams = marked_objects(spark)
+    policy = GroundingPolicy(sensitivity_trials=8, max_reprojection_pixels=30.0)
+    sizes = corners.select("capture_id", "object_id").distinct().select("*", F.lit(0.3).alias("width_m"), F.lit(0.2).alias("height_m"))
+    found = grounding.sensitivity_range(corners, cams, sizes, policy)
+    assert shuffled_by(found) and not [x for x in shuffled_by(found) if "trial" in x]
+    # the same trials as rows of their own
+    t = corners.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    noise = lambda a: (F.pmod(F.xxhash64(F.lit(policy.seed), F.lit(a), "trial", "capture_id", "object_id", "rank", "corner"), F.lit(2_000_001)).cast("double") / 1_000_000 - 1) * policy.sensitivity_pixels
+    rays = grounding.corner_rays(t.withColumns({"px": F.col("px") + noise("x"), "py": F.col("py") + noise("y")}), cams, ["trial"])
+    solved = grounding.triangulate(rays, ["trial"], policy)
+    states = grounding.object_state(solved, grounding.corner_errors(rays, solved, cams, ["trial"]), ["trial"], policy).where("state = 'TRIANGULATED'")
+    rect = grounding.object_rectangles(solved, sizes, ["trial"]).join(states.select("capture_id", "object_id", "trial"), ["capture_id", "object_id", "trial"], "left_semi")
+    w, h = (F.col("width_edge_0_m") + F.col("width_edge_1_m")) / 2, (F.col("height_edge_0_m") + F.col("height_edge_1_m")) / 2
+    want = rect.groupBy("capture_id", "object_id").agg(F.count("*").alias("usable_trials"), F.min(w).alias("width_min_m"), F.max(w).alias("width_max_m"), F.min(h).alias("height_min_m"), F.max(h).alias("height_max_m"))
+    columns = ["capture_id", "object_id", "usable_trials", "width_min_m", "width_max_m", "height_min_m", "height_max_m"]
+    assert rounded(found.where("usable_trials > 0"), *columns) == rounded(want, *columns) and want.count() >= 2
+    assert found.count() == corners.select("capture_id", "object_id").distinct().count()
