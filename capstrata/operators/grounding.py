@@ -249,18 +249,12 @@ def leave_one_out(corners: DataFrame, cameras: DataFrame, policy: GroundingPolic
 
 def pixel_shift_check(corners: DataFrame, cameras: DataFrame, policy: GroundingPolicy = GroundingPolicy()) -> DataFrame:
     """The object state under principal points moved by half a pixel either way."""
-    shift = F.explode(F.array(F.lit(-0.5), F.lit(0.5)))
-    c = cameras.withColumn("shift", shift).withColumn("cx", F.col("cx") + F.col("shift")).withColumn("cy", F.col("cy") + F.col("shift"))
     k = ["capture_id", "object_id", "shift"]
-    j = corners.join(c, ["capture_id", "rank"])
-    d = G.pixel_ray(F.col("px"), F.col("py"))
-    rays = j.select("capture_id", "object_id", "shift", "rank", "corner", "px", "py", "ox", "oy", "oz", *[x.alias(n) for x, n in zip(d, ("rx", "ry", "rz"))])
-    solved = triangulate(rays, ["shift"], policy)
-    p = rays.select(*k, "corner", "rank", F.col("px").alias("seen_x"), F.col("py").alias("seen_y")).join(
-        solved.where("corner_status = 'SOLVED'").select(*k, "corner", "x", "y", "z"), [*k, "corner"]).join(c, ["capture_id", "rank", "shift"])
-    u, v, depth = G.project_pixel(G.vec("x", "y", "z"))
-    e = p.select(*k, "corner", "rank", F.sqrt((u - F.col("seen_x")) ** 2 + (v - F.col("seen_y")) ** 2).alias("error_px"), depth.alias("depth"))
-    return object_state(solved, e, ["shift"], policy)
+    c = gathered_views(corners, cameras).withColumn("shift", F.explode(F.array(F.lit(-0.5), F.lit(0.5))))
+    c = c.withColumn("_views", F.transform("_views", lambda w: F.struct(
+        *[(w[n] + F.col("shift") if n in ("cx", "cy") else w[n]).alias(n) for n in ("rank", "px", "py", *CAMERA)])))
+    states = solved_in_place(c, ["shift"], policy).groupBy(*k).agg(*_state_sums(), *_error_sums())
+    return states.select(*k, "views", "min_corner_angle_degrees", "condition", "reprojection_max_px", "min_depth", _state(policy).alias("state"))
 
 
 def residual_breakdown(errors: DataFrame) -> DataFrame:

@@ -218,3 +218,17 @@ def test_trials_never_reach_a_shuffle(spark):
     columns = ["capture_id", "object_id", "usable_trials", "width_min_m", "width_max_m", "height_min_m", "height_max_m"]
     assert rounded(found.where("usable_trials > 0"), *columns) == rounded(want, *columns) and want.count() >= 2
     assert found.count() == corners.select("capture_id", "object_id").distinct().count()
+
+
+def test_shifted_cameras_never_reach_a_shuffle(spark):
+    corners, cams = marked_objects(spark)
+    policy = GroundingPolicy(max_reprojection_pixels=2.5)
+    found = grounding.pixel_shift_check(corners, cams, policy)
+    assert shuffled_by(found) and not [x for x in shuffled_by(found) if "shift" in x]
+    columns = ["object_id", "views", "min_corner_angle_degrees", "condition", "reprojection_max_px", "min_depth", "state"]
+    for shift in (-0.5, 0.5):
+        c = cams.withColumns({"cx": F.col("cx") + shift, "cy": F.col("cy") + shift})
+        rays = grounding.corner_rays(corners, c)
+        solved = grounding.triangulate(rays, policy=policy)
+        want = rounded(grounding.object_state(solved, grounding.corner_errors(rays, solved, c), policy=policy), "capture_id", *columns)
+        assert rounded(found.where(F.col("shift") == shift), "capture_id", *columns) == want and len({r[-1] for r in want}) >= 3
