@@ -164,6 +164,9 @@ def runs_of(df: DataFrame, keys: list[str], bin_col: str, run: str = "run") -> D
     return seq.join(first, [*keys, "_island"]).select(*keys, bin_col, run)
 
 
+DIRECTIONS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1)]
+
+
 def group_diameter(df: DataFrame, keys: list[str], xyz: list[str], out: str) -> DataFrame:
     """Largest pairwise distance per group, exact, without forming all pairs.
 
@@ -173,10 +176,9 @@ def group_diameter(df: DataFrame, keys: list[str], xyz: list[str], out: str) ->
     """
     x, y, z = (F.col(c) for c in xyz)
     points = df.select(*keys, *xyz).distinct()
-    directions = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1)]
     at = F.struct(*xyz)
     ends = []
-    for i, (a, b, c) in enumerate(directions):
+    for i, (a, b, c) in enumerate(DIRECTIONS):
         along = a * x + b * y + c * z
         ends += [F.max_by(at, along).alias(f"_h{i}"), F.min_by(at, along).alias(f"_l{i}")]
     box = [f(c).alias(f"_{n}_{c}") for c in xyz for n, f in (("min", F.min), ("max", F.max))]
@@ -185,7 +187,7 @@ def group_diameter(df: DataFrame, keys: list[str], xyz: list[str], out: str) ->
     def gap2(p, q):
         return sum((F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) ** 2 for c in xyz)
 
-    bound = F.greatest(*[gap2(f"_h{i}", f"_l{i}") for i in range(len(directions))])
+    bound = F.greatest(*[gap2(f"_h{i}", f"_l{i}") for i in range(len(DIRECTIONS))])
     stats = stats.select(*keys, bound.alias("_bound"), *[f"_{n}_{c}" for c in xyz for n in ("min", "max")])
     reach = sum(F.greatest(F.abs(F.col(c) - F.col(f"_min_{c}")), F.abs(F.col(c) - F.col(f"_max_{c}"))) ** 2
                 for c in xyz)
@@ -198,3 +200,26 @@ def group_diameter(df: DataFrame, keys: list[str], xyz: list[str], out: str) ->
                .groupBy(*keys).agg(F.sqrt(F.max(pair2)).alias(out)))
     return stats.select(*keys).join(longest, keys, "left").select(
         *keys, F.coalesce(F.col(out), F.lit(0.0)).alias(out))
+
+
+def with_diameter(df: DataFrame, points: str, xyz: list[str], out: str, few: int = 16) -> DataFrame:
+    """Largest pairwise distance between the points of each row, an array of structs.
+
+    For many small groups: gathering a group costs less than the extremes of ``group_diameter``, which
+    each of its rows would carry. Of more than ``few`` points only those that may end a longest pair are compared.
+    """
+    def gap2(p, q):
+        return sum((p[c] - q[c]) * (p[c] - q[c]) for c in xyz)
+
+    def along(d):
+        return F.transform(points, lambda p: F.struct(sum(k * p[c] for k, c in zip(d, xyz)).alias("_at"), p.alias("_p")))
+
+    many = F.size(points) > few
+    df = df.withColumn("_ends", F.when(many, F.array(*[F.struct(F.array_max(along(d))["_p"].alias("h"), F.array_min(along(d))["_p"].alias("l")) for d in DIRECTIONS])))
+    df = df.withColumn("_bound", F.array_max(F.transform("_ends", lambda e: gap2(e["h"], e["l"]))))
+    box = F.struct(*[f(f"{points}.{c}").alias(f"{n}_{c}") for c in xyz for n, f in (("min", F.array_min), ("max", F.array_max))])
+    df = df.withColumn("_box", F.when(many, box))
+    reach = lambda p: sum(F.greatest(F.abs(p[c] - F.col(f"_box.min_{c}")), F.abs(p[c] - F.col(f"_box.max_{c}"))) ** 2 for c in xyz)
+    df = df.withColumn("_outer", F.when(many, F.filter(points, lambda p: reach(p) >= F.col("_bound") * (1 - 1e-12))).otherwise(F.col(points)))
+    longest = F.array_max(F.transform("_outer", lambda p: F.array_max(F.transform("_outer", lambda q: gap2(p, q)))))
+    return df.withColumn(out, F.coalesce(F.sqrt(longest), F.lit(0.0))).drop("_ends", "_bound", "_box", "_outer")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from capstrata.functions import geometry as G
 from capstrata.operators.graph import component_sizes, connected_components, k_core
-from capstrata.operators.ordered import distribution, group_diameter, sequence_over
+from capstrata.operators.ordered import distribution, sequence_over, with_diameter
 from capstrata.policies import TrackPolicy
 from capstrata.session import stage
 
@@ -92,15 +92,19 @@ def observation_geometry(points: DataFrame, obs: DataFrame, cameras: DataFrame)
 
 
 def track_metrics(geometry: DataFrame, policy: TrackPolicy = TrackPolicy()) -> DataFrame:
-    """Acceptance of each track with its reasons; nothing is dropped."""
+    """Acceptance of each track with its reasons; nothing is dropped.
+
+    A track is gathered once, with the distinct tips of its directions: tracks are many and short, and where
+    ``geometry`` comes dealt by track they are summed up without another shuffle.
+    """
     k = ["capture_id", "point_id"]
     bad = F.col("residual").isNull() | F.isnan("residual") | (F.col("residual") > policy.max_reprojection_pixels)
+    tip = ["dx", "dy", "dz"]
     agg = geometry.groupBy(*k).agg(
-        F.count("*").alias("observations"), F.count_distinct("rank").alias("views"), F.min("depth").alias("min_depth"),
-        F.max("residual").alias("max_residual"), F.max(bad).alias("_bad"))
+        F.count("*").alias("observations"), F.size(F.collect_set("rank")).cast("bigint").alias("views"), F.min("depth").alias("min_depth"),
+        F.max("residual").alias("max_residual"), F.max(bad).alias("_bad"), F.collect_set(F.struct(*tip)).alias("_tips"))
     # the widest angle between unit directions is the longest chord between their tips
-    chord = group_diameter(geometry, k, ["dx", "dy", "dz"], "_chord")
-    m = agg.join(chord, k).withColumn(
+    m = with_diameter(agg.where("capture_id IS NOT NULL AND point_id IS NOT NULL"), "_tips", tip, "_chord").withColumn(
         "max_angle_degrees", F.degrees(2 * F.asin(F.least(F.col("_chord") / 2, F.lit(1.0)))))
     flag = lambda c, n: F.when(c, F.lit(n))
     reasons = F.array_compact(F.array(

@@ -72,7 +72,7 @@ METRICS = f"""WITH g AS MATERIALIZED ({GEOM}),
 
 
 def geometry(v):
-    return stage(tr.observation_geometry(v.track_points, v.track_obs, v.track_cameras))
+    return tr.observation_geometry(v.track_points, v.track_obs, v.track_cameras)
 
 
 @query("track_metrics", "track_obs", sql=f"""SELECT capture_id, point_id, observations, {r6('min_depth')} AS min_depth,
@@ -108,7 +108,7 @@ def rejection_reasons(v):
         AND residual_median <= 2 AND residual_p90 <= 4, false) THEN 'SUPPORTED' ELSE 'WEAK' END AS geometry_signal
     FROM v JOIN t USING (capture_id) LEFT JOIN comp USING (capture_id) LEFT JOIN d USING (capture_id)""")
 def track_report(v):
-    g = geometry(v)
+    g = stage(geometry(v))
     out = tr.track_report(v.track_cameras, g, stage(tr.track_metrics(g)))
     return out.select("capture_id", "input_views", "candidate_points", "accepted_points", "rejected_points", "supported_images",
                       "largest_component", "components", *r6c("residual_median", "residual_p90", "length_median", "angle_p90", "depth_max"),

@@ -172,9 +172,9 @@ class Views:
 
     @cached_property
     def track_points(self) -> DataFrame:
-        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("point_id")).agg(
+        return self.table("lineitem").groupBy((F.col("l_orderkey") % 3).alias("capture_id"), F.col("l_orderkey").alias("point_id")).agg(
             F.max("l_quantity").alias("q"), F.max("l_discount").alias("e"), F.max("l_extendedprice").alias("p")).select(
-            (F.col("point_id") % 3).alias("capture_id"), "point_id",
+            "capture_id", "point_id",
             (F.col("q") / 25 - 1).alias("x"), (F.col("e") * 10 - 0.5).alias("y"), (F.col("p") / 50000 + 0.05).alias("z"))
 
     @cached_property

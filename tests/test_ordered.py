@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from capstrata.operators.intervals import covering_blocks, interval_join, interval_stats
-from capstrata.operators.ordered import SLICE, group_diameter, quantiles, runs_of, sequence_over, with_slices
+from capstrata.operators.ordered import SLICE, group_diameter, quantiles, runs_of, sequence_over, with_diameter, with_slices
 from capstrata.session import SLICES_KEY
 
 
@@ -173,3 +173,15 @@ def test_points_meet_limits_of_their_capture_without_a_sort(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert set(seen) >= {"p0", "p1"} and not any("SortMergeJoin" in p for p in seen.values())
+
+
+def test_diameter_of_gathered_points(spark):
+    rng = np.random.default_rng(5)
+    groups = {0: [[1.0, 2.0, 3.0]], 1: rng.normal(size=(5, 3)).tolist(), 2: rng.normal(size=(300, 3)).tolist(), 3: rng.uniform(size=(17, 3)).tolist(), 4: [[0.5, 0.5, 0.5]] * 40, 5: []}
+    df = spark.createDataFrame([(g, p) for g, p in groups.items()], "g long, p array<struct<x:double,y:double,z:double>>")
+    for few in (0, 16, 1000):
+        got = {r["g"]: r["d"] for r in with_diameter(df, "p", ["x", "y", "z"], "d", few).collect()}
+        for g, p in groups.items():
+            want = max((float(np.linalg.norm(np.subtract(a, b))) for a in p for b in p), default=0.0)
+            assert abs(got[g] - want) < 1e-12
+    assert with_diameter(df, "p", ["x", "y", "z"], "d").columns == ["g", "p", "d"]

@@ -232,3 +232,21 @@ def test_shifted_cameras_never_reach_a_shuffle(spark):
         solved = grounding.triangulate(rays, policy=policy)
         want = rounded(grounding.object_state(solved, grounding.corner_errors(rays, solved, c), policy=policy), "capture_id", *columns)
         assert rounded(found.where(F.col("shift") == shift), "capture_id", *columns) == want and len({r[-1] for r in want}) >= 3
+
+
+def test_tracks_are_gathered_in_one_shuffle(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, p, r, float(rng.uniform(1, 4)), float(rng.uniform(0, 5)), *rng.normal(size=3).tolist()) for c, p, n in ((1, 1, 2), (1, 2, 4), (2, 1, 40), (2, 3, 1)) for r in range(n)]
+    rows += [(1, 2, 3, 2.0, None, 0.0, 0.0, 1.0), (None, 1, 1, 1.0, 1.0, 0.0, 0.0, 1.0), (1, None, 1, 1.0, 1.0, 0.0, 0.0, 1.0)]
+    geometry = spark.createDataFrame(rows, "capture_id long, point_id long, rank long, depth double, residual double, dx double, dy double, dz double")
+    metrics = tracks.track_metrics(geometry)
+    assert len(shuffled_by(metrics)) == 1 and "Join" not in plan_of(metrics)
+    assert len(shuffled_by(tracks.track_metrics(geometry.repartition("capture_id", "point_id")))) == 1
+    got = {(r["capture_id"], r["point_id"]): r for r in metrics.collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 3)}
+    for key, m in got.items():
+        mine = [r for r in rows if r[:2] == key]
+        chord = max(float(np.linalg.norm(np.subtract(a[5:], b[5:]))) for a in mine for b in mine)
+        assert m["observations"] == len(mine) and abs(m["max_angle_degrees"] - np.degrees(2 * np.arcsin(min(chord / 2, 1.0)))) < 1e-9
+        assert ("DUPLICATE_IMAGE_IN_TRACK" in m["reasons"]) == (len({r[2] for r in mine}) < len(mine))
+        assert ("REPROJECTION" in m["reasons"]) == any(r[4] is None or r[4] > 4 for r in mine) and ("SHORT_TRACK" in m["reasons"]) == (len(mine) < 3)
