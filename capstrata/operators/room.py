@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capstrata.functions import geometry as G
@@ -298,20 +298,39 @@ def zbuffer_visible(points: DataFrame, cameras: DataFrame, pixel_bin: int = 3, t
     """Points of each view at most ``tolerance_m`` behind the nearest one of their pixel bin.
 
     A point meets only the cameras that may see its tile of ``tile_m`` metres, so the rows before
-    the frame test follow the visible pairs. The nearest depth is a map-side minimum per bin that
-    is joined back. ``points`` is read twice.
+    the frame test follow the visible pairs, and they are made twice where the points of a tile are.
+    First only the nearest depth of each tile in each pixel bin leaves, to be compared with the bin's
+    other tiles. Then tiles in front meet their cameras again, with the depths of their open bins, by
+    which hidden points stay behind; what is left meets its own bin.
     """
     side = ["_i", "_j", "_k"]
+    place = ["capture_id", *side]
     tiled = points.withColumns({t: F.floor(F.col(c) / tile_m) for t, c in zip(side, "xyz")})
-    views = tiles_in_view(tiled.select("capture_id", *side).distinct(), cameras, tile_m, min_depth=0.05)
-    px, py, depth = G.project_pixel(G.vec("x", "y", "z"))
-    p = tiled.join(views, ["capture_id", *side]).where(
-        (depth > 0.05) & (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height")))
-    p = p.select(*points.columns, "rank", px.alias("px"), py.alias("py"), depth.alias("depth"))
-    p = p.withColumn("_bx", F.floor(F.col("px") / pixel_bin)).withColumn("_by", F.floor(F.col("py") / pixel_bin))
-    k = ["capture_id", "rank", "_bx", "_by"]
-    near = p.groupBy(*k).agg(F.min("depth").alias("_near"))
-    return p.join(near, k).where(F.col("depth") <= F.col("_near") + tolerance_m).drop("_bx", "_by", "_near")
+    views = tiles_in_view(tiled.select(*place).distinct(), cameras, tile_m, min_depth=0.05)
+    dealt = tiled.repartition(*place)
+    bins = ["_bx", "_by"]
+
+    def seen(by: DataFrame, *more: str) -> DataFrame:
+        px, py, depth = G.project_pixel(G.vec("x", "y", "z"))
+        p = dealt.join(by, place).where((depth > 0.05) & (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height")))
+        # both passes read one shuffle of the points: this column keeps one pass from pruning it and from pushing filters below it
+        whole = F.when(F.spark_partition_id() >= 0, F.xxhash64(*points.columns)).alias("_whole")
+        p = p.select(*points.columns, *side, "rank", px.alias("px"), py.alias("py"), depth.alias("depth"), *more, whole)
+        return p.withColumns({b: F.floor(F.col(c) / pixel_bin) for b, c in zip(bins, ("px", "py"))})
+
+    tile = seen(views).groupBy(*place, "rank", *bins).agg(F.min("depth").alias("_tile"), F.max("_whole").alias("_whole")).where("_whole IS NOT NULL")
+    ahead = Window.partitionBy("capture_id", "rank", *bins)
+    near = tile.withColumn("_near", F.min("_tile").over(ahead)).where(F.col("_tile") <= F.col("_near") + tolerance_m)
+    near = near.where(" AND ".join(f"{c} IS NOT NULL" for c in (*place, "rank", *bins))).select(*place, "rank", *bins, "_near")
+    # bins of a tile share 64 slots: exact for a tile of up to 8 x 8 bins, else a few hidden points go on
+    slot = F.pmod("_bx", F.lit(8)) * 8 + F.pmod("_by", F.lit(8))
+    slots = near.groupBy(*place, "rank", slot.alias("_slot")).agg(F.max("_near").alias("_far"))
+    slots = slots.groupBy(*place, "rank").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_far"))).alias("_open"))
+    p = seen(slots.join(cameras, ["capture_id", "rank"]).repartition(*place), "_open")
+    p = p.where(F.col("_whole").isNotNull() & (F.col("depth") <= F.try_element_at("_open", slot) + tolerance_m))
+    p = p.select(*points.columns, "rank", "px", "py", "depth", *bins).join(
+        near.groupBy("capture_id", "rank", *bins).agg(F.min("_near").alias("_near")), ["capture_id", "rank", *bins])
+    return p.where(F.col("depth") <= F.col("_near") + tolerance_m).select(*points.columns, "rank", "px", "py", "depth")
 
 
 def object_support(visible: DataFrame, regions: DataFrame, rooms: DataFrame) -> DataFrame:

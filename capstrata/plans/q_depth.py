@@ -189,7 +189,7 @@ VISIBLE = f"""WITH j AS (SELECT p.*, image AS rank, 50 * (x + tx) / z + 20 AS px
 
 
 def visible(v):
-    return rm.zbuffer_visible(stage(object_points(v)), v.depth_cameras.withColumnRenamed("image", "rank"))
+    return rm.zbuffer_visible(object_points(v), v.depth_cameras.withColumnRenamed("image", "rank"))
 
 
 @query("zbuffer_visible", "depth_cameras", sql=f"SELECT capture_id, point_id, rank, {r6('px')} AS px, {r6('py')} AS py FROM ({VISIBLE})")

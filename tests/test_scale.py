@@ -5,7 +5,7 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
-from capstrata.operators import boundaries, graph, grounding, integrity, matching, surfaces, timeseries, tracks
+from capstrata.operators import boundaries, graph, grounding, integrity, matching, room, surfaces, timeseries, tracks
 from capstrata.operators.ordered import sequence_over
 from capstrata.policies import GroundingPolicy, TrackPolicy
 
@@ -250,3 +250,40 @@ def test_tracks_are_gathered_in_one_shuffle(spark):
         assert m["observations"] == len(mine) and abs(m["max_angle_degrees"] - np.degrees(2 * np.arcsin(min(chord / 2, 1.0)))) < 1e-9
         assert ("DUPLICATE_IMAGE_IN_TRACK" in m["reasons"]) == (len({r[2] for r in mine}) < len(mine))
         assert ("REPROJECTION" in m["reasons"]) == any(r[4] is None or r[4] > 4 for r in mine) and ("SHORT_TRACK" in m["reasons"]) == (len(mine) < 3)
+
+
+def exchanged(df, column):
+    """Rows written by the shuffles that deal by a column, after the query ran."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        mine = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" and f"{column}#" in node.outputPartitioning().toString() else 0
+        return mine + sum(walk(x) for x in below)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_hidden_points_stay_with_their_tile(spark):
+    rng = np.random.default_rng(8)
+    cams = [(c, r, 50.0, 50.0, 20.0, 15.0, 40, 30, *[float(i == j) for i in range(3) for j in range(3)], -0.1 * r, 0.0, 0.0) for c in (1, 2) for r in (0, 1)] + [(1, None, *[1.0] * 4, 4, 3, *[0.0] * 12)]
+    cameras = spark.createDataFrame(cams, "capture_id long, rank long, fx double, fy double, cx double, cy double, width long, height long, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3)) + ", tx double, ty double, tz double")
+    wall = [(1, i, float(x), float(y), 1.0 + 0.05 * float(z)) for i, (x, y, z) in enumerate(rng.uniform((-0.5, -0.4, 0), (0.6, 0.4, 1), (1500, 3)))]
+    behind = [(1, 2000 + i, *map(float, p)) for i, p in enumerate(rng.uniform((-0.4, -0.4, 3.0), (0.4, 0.4, 3.4), (6000, 3)))]
+    open_ = [(2, 9000 + i, *map(float, p)) for i, p in enumerate(rng.uniform((-0.4, -0.4, 1.0), (0.4, 0.4, 3.0), (300, 3)))]
+    pts = wall + behind + open_ + open_[:3] + [(2, 1, None, 0.0, 1.0), (None, 2, 0.0, 0.0, 1.0), (2, 3, float("nan"), 0.0, 1.0)]
+    points = spark.createDataFrame(pts, "capture_id long, point_id long, x double, y double, z double")
+    for pixel_bin, tile_m in ((3, 0.25), (1, 2.0)):
+        want, framed = [], 0
+        for c, r, *_ in cams[:4]:
+            bins = {}
+            for cap, pid, x, y, z in pts[:-3]:
+                u, v = 50 * (x - 0.1 * r) / z + 20, 50 * y / z + 15
+                if cap == c and 0 <= u < 40 and 0 <= v < 30:
+                    framed += 1
+                    bins.setdefault((u // pixel_bin, v // pixel_bin), []).append((z, pid))
+            want += [(c, pid, r) for near in bins.values() for d, pid in near if d <= min(near)[0] + 0.12]
+        found = room.zbuffer_visible(points, cameras, pixel_bin, 0.12, tile_m)
+        got = sorted((x["capture_id"], x["point_id"], x["rank"]) for x in found.collect())
+        assert got == sorted(want) and found.columns == [*points.columns, "rank", "px", "py", "depth"]
+        if tile_m < 1:
+            assert len(want) < framed / 2 and exchanged(found, "_bx") < 0.6 * framed
